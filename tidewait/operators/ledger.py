@@ -8,6 +8,8 @@ dropped first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -225,24 +227,26 @@ def tracked_departures(services: DataFrame, ledger: DataFrame, params: Params) -
 
 
 def tracker_watch(services: DataFrame, positions: DataFrame, board: DataFrame,
-                  terminals: DataFrame, now: Column, params: Params) -> DataFrame:
+                  terminals: DataFrame, now: Callable[[Column], Column], params: Params) -> DataFrame:
     """At `now`: each service `departed`, `not_away` or NULL when the tracker abstains.
 
-    `tracker_at` is the day's latest feed time. Services not yet due say nothing.
+    `now` maps a local date column to the instant that date is looked at; one fixed instant
+    for a live board. `tracker_at` is the day's latest feed time. A service not yet due says
+    nothing, and neither does a day whose departures could not be given an end.
     """
-    known = positions.filter(F.col("reported_at") <= now)
+    seen_on = local_date(F.col("reported_at"), params.zone)
+    known = positions.filter(F.col("reported_at") <= now(seen_on))
     days = ledger_days(known, terminals, params)
     facts = days.groupBy(*DAY).agg(F.max("observed_at").alias("tracker_at"))
     ledger = departure_ledger(known, board, terminals, params)
-    spoken = ledger.groupBy(*DAY).agg(
-        (F.count("terminal") == 0).alias("nameless")
-    )
+    spoken = ledger.groupBy(*DAY).agg((F.count("terminal") == 0).alias("nameless"))
     day = facts.join(spoken, DAY, "left").withColumnRenamed("ledger_date", "service_date")
     paired = tracked_departures(services, ledger, params).join(day, ["route", "service_date"], "left")
-    due = F.col("scheduled") <= now
+    moment = now(F.col("service_date"))
     open_until = add_minutes(F.col("scheduled"), params.late_tolerance_minutes)
+    speaks = F.col("tracker_at").isNotNull() & ~F.coalesce(F.col("nameless"), F.lit(False))
     state = F.when(
-        due & ~F.coalesce(F.col("nameless"), F.lit(False)),
-        F.when(F.col("tracked_at") <= now, "departed").when(now <= open_until, "not_away"),
+        (F.col("scheduled") <= moment) & speaks,
+        F.when(F.col("tracked_at") <= moment, "departed").when(moment <= open_until, "not_away"),
     )
     return paired.withColumn("tracker_state", state).drop("nameless")
