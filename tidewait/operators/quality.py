@@ -27,7 +27,7 @@ def capture_totals(frames: DataFrame, board: DataFrame, readings: DataFrame, ser
 
     services(service_date, outcome) is the timetable of the window with NULL or `unknown`
     where nothing is known; spend(created_at, cost_usd). Each table is reduced to one row in a
-    single pass, and the five rows are put side by side.
+    single pass, and the single rows are folded into one.
     """
     since = add_minutes(now, -window_days * 1440)
     first_day = F.to_date(since)
@@ -59,9 +59,10 @@ def capture_totals(frames: DataFrame, board: DataFrame, readings: DataFrame, ser
     spent = spend.filter((F.col("created_at") >= month) & (F.col("created_at") <= now)).groupBy().agg(
         F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("month_spend")
     )
-    one = captured
+    sides = captured
     for other in (scraped, read, waiting, covered, spent):
-        one = one.join(other)  # every side is a single row
+        sides = sides.unionByName(other, allowMissingColumns=True)
+    one = sides.groupBy().agg(*[F.max(c).alias(c) for c in sides.columns])
     expected = (1440 // max(1, params.poll_minutes)) * window_days * max(1, cameras)
     ratio = lambda a, b: F.when(b > 0, F.round(a / b, 4))
     figures = one.withColumns(
