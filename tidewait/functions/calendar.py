@@ -64,23 +64,44 @@ def easter_sunday(year: Column) -> Column:
     return F.date_add(F.make_date(year, F.lit(3), F.lit(22)), offset.cast("int"))
 
 
+def is_good_friday(day: Column) -> Column:
+    """A Friday two days before the first Sunday after the paschal full moon.
+
+    The moon is counted in days after 21 March, so no date has to be built for the year.
+    """
+    year = F.year(day)
+    century, golden = _div(year, 100), _mod(year, 19)
+    shift = 15 + century - _div(century, 4) - _div(8 * century + 13, 25)
+    moon = _mod(19 * golden + shift, 30)
+    early = (moon == 29) | ((moon == 28) & (golden > 10))
+    sunday = F.datediff(day, F.make_date(year, F.lit(3), F.lit(19)))
+    gap = sunday - moon + F.when(early, 1).otherwise(0)
+    return (F.weekday(day) == FRIDAY) & F.month(day).isin(3, 4) & gap.between(1, 7)
+
+
+def _rule(month: Column, dom: Column, weekday: Column, m: int, first: int, last: int, wanted) -> Column:
+    test = (month == m) & (dom.between(first, last) if first != last else dom == first)
+    return test if wanted is None else test & (weekday == wanted)
+
+
 def holiday_name(day: Column) -> Column:
     """Name of the statutory holiday on a date, or NULL."""
-    month, dom, weekday = F.month(day), F.dayofmonth(day), F.weekday(day)
-    chain = F.when(
-        (weekday == FRIDAY) & month.isin(3, 4) & (F.date_add(day, 2) == easter_sunday(F.year(day))),
-        F.lit("Good Friday"),
-    )
-    for name, m, first, last, wanted in HOLIDAY_RULES:
-        test = (month == m) & dom.between(first, last)
-        if wanted is not None:
-            test = test & (weekday == wanted)
-        chain = chain.when(test, F.lit(name))
+    parts = F.month(day), F.dayofmonth(day), F.weekday(day)
+    chain = F.when(is_good_friday(day), F.lit("Good Friday"))
+    for name, *rule in HOLIDAY_RULES:
+        chain = chain.when(_rule(*parts, *rule), F.lit(name))
     return chain
 
 
 def is_holiday(day: Column) -> Column:
-    return holiday_name(day).isNotNull()
+    """As holiday_name, folded to two compact tests of the date's month and day."""
+    md = F.month(day) * 100 + F.dayofmonth(day)
+    fixed = [m * 100 + first for _, m, first, _, weekday in HOLIDAY_RULES if weekday is None]
+    mondays = F.lit(False)
+    for _, m, first, last, weekday in HOLIDAY_RULES:
+        if weekday is not None:
+            mondays = mondays | md.between(m * 100 + first, m * 100 + last)
+    return md.isin(*fixed) | ((F.weekday(day) == MONDAY) & mondays) | is_good_friday(day)
 
 
 def holidays_of_years(years: DataFrame, year: str = "year") -> DataFrame:
@@ -113,12 +134,18 @@ def day_type(day: Column) -> Column:
 
 
 def season(day: Column) -> Column:
-    """Peak summer runs from 25 June through Labour Day itself."""
-    md = F.month(day) * 100 + F.dayofmonth(day)
-    labour_day = nth_weekday(F.year(day), 9, MONDAY, 1)
+    """Peak summer runs from 25 June through Labour Day itself.
+
+    Within September the Monday of a date's own week tells which side of Labour Day, the
+    month's first Monday, it lies on.
+    """
+    md, weekday = F.month(day) * 100 + F.dayofmonth(day), F.weekday(day)
+    monday = F.dayofmonth(day) - weekday
+    past_labour_day = (monday >= 1) & ((monday > 7) | (weekday > MONDAY))
+    september = md.between(901, 930)
     return (
-        F.when((md >= 625) & (day <= labour_day), "peak_summer")
-        .when(md.between(401, 624) | ((day > labour_day) & (md <= 1031)), "shoulder")
+        F.when(md.between(625, 831) | (september & ~past_labour_day), "peak_summer")
+        .when(md.between(401, 624) | september | md.between(1001, 1031), "shoulder")
         .otherwise("winter")
     )
 

@@ -26,7 +26,8 @@ def minutes_floor(later: Column, earlier: Column) -> Column:
 
 def minutes_clamped(later: Column, earlier: Column) -> Column:
     """Whole minutes cut toward zero and never negative: fill gaps."""
-    return F.greatest(minutes_floor(later, earlier), F.lit(0))
+    gap = minutes_floor(later, earlier)
+    return F.when(gap.isNotNull(), F.greatest(gap, F.lit(0)))
 
 
 def seconds_apart(a: Column, b: Column) -> Column:
@@ -52,7 +53,8 @@ def hhmm_minutes(hhmm: Column) -> Column:
 
 def minutes_hhmm(minutes: Column) -> Column:
     m = F.pmod(minutes, F.lit(1440))
-    return F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), F.pmod(m, F.lit(60)).cast("int"))
+    text = F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), F.pmod(m, F.lit(60)).cast("int"))
+    return F.when(minutes.isNotNull(), text)
 
 
 def combine_local(day: Column, hhmm: Column, zone: str) -> Column:

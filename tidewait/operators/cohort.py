@@ -136,9 +136,11 @@ def walk_rungs(targets: DataFrame, records: DataFrame, params: Params) -> DataFr
         F.coalesce("pool", F.array()),
         lambda c: F.col("excluded").isNull() | (c["service_date"] != F.col("excluded")),
     )
-    rungs = F.array(
-        *[F.slice(F.filter("others", lambda c, r=r: c["rung"] <= r), 1, cap) for r in range(1, 6)]
-    )
+
+    def newest_upto(rung: int) -> Column:
+        return F.slice(F.filter("others", lambda c: c["rung"] <= rung), 1, cap)
+
+    rungs = F.array(*[newest_upto(r) for r in range(1, len(RUNGS) + 1)])
     deep = F.array_position(
         F.transform("rungs", lambda m: F.size(m) >= params.min_sample), True
     ).cast("int")
@@ -155,9 +157,11 @@ def walk_rungs(targets: DataFrame, records: DataFrame, params: Params) -> DataFr
 
 def outcome_counts(matches: Column) -> dict[str, Column]:
     """How many matches ended each way, zeros included."""
-    return {
-        name: F.size(F.filter(matches, lambda m, n=name: m["outcome"] == n)) for name in REPORTED_OUTCOMES
-    }
+
+    def count(name: str) -> Column:
+        return F.size(F.filter(matches, lambda m: m["outcome"] == name))
+
+    return {name: count(name) for name in REPORTED_OUTCOMES}
 
 
 def axis_counts(matches: Column) -> dict[str, Column]:

@@ -111,26 +111,33 @@ def camera_summary(pairs: DataFrame, params: Params) -> DataFrame:
         F.min(F.when((ts > F.col("last_occupied")) & ~F.col("is_occupied"), ts)).alias("cleared_at"),
         F.min(F.when(before & at_capacity, ts)).alias("fill_mark"),
         F.count(F.when((before | after) & banded, 1)).alias("n_banded"),
-        _used(before, after, banded, "band").alias("used_bands"),
-        _used(before, after, counted, "count").alias("used_counts"),
+        _used(before, after, banded).alias("used_bands"),
+        _used(before, after, counted).alias("used_counts"),
         F.collect_set(F.when((before | after) & banded, known_version)).alias("band_sources"),
         F.collect_set(F.when((before | after) & counted, known_version)).alias("count_sources"),
     )
 
 
-def _used(before: Column, after: Column, stated: Column, kind: str) -> Column:
+def _used(before: Column, after: Column, stated: Column) -> Column:
     """Sum and number of confidences of the readings a verdict rests on.
 
-    A reading both at or before departure and after the settle point would count twice; the
-    settle point lies after departure, so that cannot happen.
+    Summed as whole millionths, so the mean does not depend on the order tasks finish in. A
+    reading is never both before departure and after the settle point, which lies later.
     """
     used = (before | after) & stated
+    millionths = F.round(F.coalesce(F.col("confidence"), F.lit(0.0)) * 1e6).cast("bigint")
     return F.struct(
-        F.sum(F.when(used, F.coalesce(F.col("confidence"), F.lit(0.0)))).alias("total"),
+        F.sum(F.when(used, millionths)).alias("total"),
         F.count(F.when(used, 1)).alias("n"),
     )
 
 
+def mean_confidence(used: Column) -> Column:
+    """Mean to three places, halves up, by whole-number arithmetic."""
+    n, total = used["n"], used["total"]
+    return F.when(n > 0, F.floor((2 * total + 1000 * n) / (2000 * n)) / 1000)
+
+
 def camera_verdict(summary: DataFrame, params: Params) -> DataFrame:
     """Add camera_outcome, camera_cancelled, carryover, camera_confidence, camera_method.
 
@@ -156,9 +163,7 @@ def camera_verdict(summary: DataFrame, params: Params) -> DataFrame:
     return summary.withColumns(
         {
             "_verdict": F.when(banded, by_band).otherwise(by_count),
-            "camera_confidence": F.when(
-                used["n"] > 0, F.round(used["total"] / used["n"], 3)
-            ),
+            "camera_confidence": mean_confidence(used),
             "camera_method": F.concat(
                 F.lit("frames:"), F.when(F.size(sources) > 0, joined).otherwise("none")
             ),

@@ -23,9 +23,11 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
     Spans are the small side: each is repeated for the hours it touches, while a point stays
     in the single hour it lies in, so no pair can meet twice. The join key is (keys, hour,
     salt): a crowded hour of one terminal is spread over `salts` tasks, the span being copied
-    to each. Both sides keep ordinary shuffle joins; nothing is forced to broadcast.
+    to each. Both sides keep ordinary shuffle joins; nothing is forced to broadcast. Where
+    both sides have a column of one name, the span's stays.
     """
-    salted = points.withColumns(
+    shared = [c for c in points.columns if c in spans.columns and c not in keys]
+    salted = points.drop(*shared).withColumns(
         {
             "_hour": _bucket(F.col(at), width),
             "_salt": F.pmod(F.xxhash64(F.col(at)), F.lit(salts)).cast("int"),

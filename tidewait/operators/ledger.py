@@ -211,9 +211,9 @@ def pair_departures(services: DataFrame, departures: DataFrame, params: Params)
         F.array().cast("array<struct<depart_hhmm:string,tracked_at:timestamp>>").alias("taken"),
     )
     walked = slots.join(lists, day).select(
-        *day, F.explode(F.aggregate("slots", empty, hand_out)["taken"]).alias("t")
+        *day, F.explode(F.aggregate("slots", empty, hand_out)["taken"]).alias("handed")
     )
-    paired = walked.select(*day, "t.*").filter(F.col("tracked_at").isNotNull())
+    paired = walked.select(*day, "handed.depart_hhmm", "handed.tracked_at").filter(F.col("tracked_at").isNotNull())
     return services.join(paired, [*day, "depart_hhmm"], "left")
 
 
