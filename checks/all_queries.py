@@ -3,6 +3,7 @@
 from checks import (  # noqa: F401
     q_evidence,
     q_history,
+    q_operations,
     q_scalars,
 )
 from checks.registry import ORACLES, QUERIES

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.views import spark_sql
@@ -87,7 +87,7 @@ class Bound:
     @cached_property
     def board(self) -> DataFrame:
         rows = self._timed(self.view("v_board"), "terminal").select(
-            "row_id", F.lit("r1").alias("route"), "terminal",
+            "row_id", one_route(), "terminal",
             F.date_trunc("second", "observed_at").alias("observed_at"), "service_date",
             F.col("depart_hhmm").alias("hhmm"), "percent_available", "status_text",
             local_hhmm(add_minutes(F.col("scheduled"), F.col("late_minutes")), self.params.zone).alias("departed_hhmm"),
@@ -98,7 +98,7 @@ class Bound:
     @cached_property
     def positions(self) -> DataFrame:
         rows = self.view("v_positions").select(
-            "row_id", F.lit("r1").alias("route"), "vessel",
+            "row_id", one_route(), "vessel",
             F.date_trunc("second", "reported_at").alias("reported_at"), "status", "speed_knots",
         )
         return unique_positions(rows)
@@ -146,6 +146,11 @@ class Bound:
         )
 
 
+def one_route() -> Column:
+    """The route of the event feeds, read off a row so that joins on it stay equality joins."""
+    return F.when(F.col("row_id") >= 0, "r1").otherwise("r2").alias("route")
+
+
 def instants(df: DataFrame) -> DataFrame:
     """Zone-less file timestamps as instants; the session runs in UTC."""
     plain = [n for n, t in df.dtypes if t == "timestamp_ntz"]

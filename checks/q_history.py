@@ -35,7 +35,8 @@ select t.{KEYS.replace(', ', ', t.')}, greatest(
 from {targets} t join o_partner p on p.day_type=t.day_type join {records} c on c.route=t.route and c.origin=t.origin and c.day_type in (t.day_type, p.partner)
  and abs(c.minutes-t.minutes)<=60 and c.service_date<>t.service_date and c.outcome<>'unknown'""".replace("{{", "{").replace("}}", "}"))
     shape(f"o_{prefix}_tops", f"""
-select {KEYS}, r, max(m, 5) as tops from o_{prefix}_hits join (select unnest([1,2,3,4,5]) as r) on rung<=r group by {KEYS}, r""")
+select {KEYS}, r, list_slice(list_reverse_sort(flatten(list(best))), 1, 5) as tops from (select {KEYS}, rung, max(m, 5) as best from o_{prefix}_hits group by all)
+ join (select unnest([1,2,3,4,5]) as r) on rung<=r group by {KEYS}, r""")
     shape(f"o_{prefix}_used", f"""
 select t.*, coalesce(u.r, 5) as rung, coalesce(x.tops, []) as tops from {targets} t
 left join (select {KEYS}, min(r) as r from o_{prefix}_tops where len(tops)>=5 group by all) u using ({KEYS})
@@ -71,11 +72,11 @@ def _targets(b: Bound) -> DataFrame:
 
 
 @query("qry01_distribution", f"""
-select {KEYS}, d.day_type, season, n, {', '.join(f'case when n>0 then round(n_{o}/n,4) else 0 end as share_{o}' for o in REPORTED_OUTCOMES)}, match_level, rung, sufficient, evidence, fill_minutes_before, fill_local,
+select route, origin, service_date, depart_hhmm, d.day_type, season, n, {', '.join(f'case when n>0 then round(n_{o}/n,4) else 0 end as share_{o}' for o in REPORTED_OUTCOMES)}, match_level, rung, sufficient, evidence, fill_minutes_before, fill_local,
  case when n>0 then round(filled_count/n,4) else 0 end as filled_share,
  array_to_string(list_slice(['widened to all seasons','widened to +/-60 min','widened to include days outside a long weekend, which behave differently','widened to similar day types ('||d.day_type||', '||p.partner||')'], 1, rung-1), '|') as relaxations,
  coalesce(uo.u,0) + case when rung=5 then coalesce(up.u,0) else 0 end as unknown_excluded
-from o_dist d join o_partner p on p.day_type=d.day_type
+from o_dist d join (select day_type as own, partner from o_partner) p on p.own=d.day_type
 left join (select route, origin, day_type, count(*) as u from o_records where outcome='unknown' group by all) uo using (route, origin, day_type)
 left join (select route, origin, day_type as partner, count(*) as u from o_records where outcome='unknown' group by all) up using (route, origin, partner)""")
 def _(b: Bound) -> DataFrame:
@@ -469,7 +470,7 @@ from o_services s cross join (select unnest([-30,-10,15,30]) as off) join o_unre
 
 
 @query("joi07_fill_offer", f"""
-select {KEYS}, o.sailings, o.frames, round(o.frames*0.003,4) as cost_usd, case when sufficient then 'newer' else 'thin' end as reason, n>0 as has_history
+select {KEYS}, o.sailings, o.frames, round(o.frames*0.003e0,4) as cost_usd, case when sufficient then 'newer' else 'thin' end as reason, n>0 as has_history
 from o_fill t join (select f.route, f.origin, f.day_type, f.season, f.target_hhmm as depart_hhmm, count(*) as sailings, cast(sum(c.frames) as bigint) as frames, max(f.service_date) as newest from o_fillable f
  join (select origin, service_date, depart_hhmm, count(distinct frame_id) as frames from o_unread_near group by all) c on c.origin=f.origin and c.service_date=f.service_date and c.depart_hhmm=f.depart_hhmm group by 1,2,3,4,5) o
  using (route, origin, day_type, season, depart_hhmm)

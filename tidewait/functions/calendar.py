@@ -7,6 +7,8 @@ tests fold into the scan's code generation and cost the same on any number of ro
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,9 +174,13 @@ def day_tags(day: Column) -> Column:
     )
 
 
+@lru_cache(maxsize=64)
+def calendar_columns(day: str) -> dict[str, Column]:
+    """The three calendar columns of a named date column; built once per name."""
+    d = F.col(day)
+    return {"day_type": day_type(d), "season": season(d), "long_weekend": is_long_weekend(d)}
+
+
 def with_calendar(df: DataFrame, day: str = "service_date") -> DataFrame:
     """Add day_type, season and long_weekend."""
-    d = F.col(day)
-    return df.withColumns(
-        {"day_type": day_type(d), "season": season(d), "long_weekend": is_long_weekend(d)}
-    )
+    return df.withColumns(calendar_columns(day))

@@ -121,16 +121,14 @@ def walk_rungs(targets: DataFrame, records: DataFrame, params: Params) -> DataFr
     pools = near.groupBy(*SLOT).agg(
         F.sort_array(F.collect_list("candidate"), asc=False).alias("pool")
     )
-    dated = wanted.join(pools, SLOT, "left").withColumn(
-        "excluded",
-        F.when(
-            F.exists("pool", lambda c: c["service_date"] == F.col("service_date")),
-            F.col("service_date"),
-        ),
-    )
+    # Dates among a slot's own candidates; for any other date nothing has to be left out.
+    met = near.select(*SLOT, F.col("candidate.service_date").alias("service_date")).distinct()
+    dated = wanted.join(met.withColumn("excluded", F.col("service_date")), [*SLOT, "service_date"], "left")
     # One answer per slot and excluded date, shared by every target that agrees on both.
-    shared = dated.groupBy(*SLOT, "excluded").agg(
-        F.first("pool").alias("pool"), F.collect_set("service_date").alias("dates")
+    shared = (
+        dated.groupBy(*SLOT, "excluded")
+        .agg(F.collect_set("service_date").alias("dates"))
+        .join(pools, SLOT, "left")
     )
     others = F.filter(
         F.coalesce("pool", F.array()),
