@@ -4,8 +4,10 @@ from checks import (  # noqa: F401
     q_evidence,
     q_history,
     q_operations,
+    q_pixels,
     q_scalars,
+    q_streams,
 )
-from checks.registry import ORACLES, QUERIES
+from checks.registry import QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["QUERIES", "oracles"]

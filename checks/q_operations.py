@@ -84,7 +84,7 @@ def _(b: Bound) -> DataFrame:
 
 
 shape("o_offered", """
-select case when user_id%2=0 then 'A' else 'B' end as terminal, case when user_id%5=0 then 'road' else 'main' end as camera, date_trunc('second', ts) as captured_at, bool_or(event_type<>'error') as held from {events} where event_id%10>=0 group by 1,2,3""")
+select case when user_id%2=0 then 'A' else 'B' end as terminal, case when user_id%5=0 then 'road' else 'main' end as camera, date_trunc('second', ts) as captured_at, bool_or(event_type<>'error') as held from {events} group by 1,2,3""")
 shape("o_missing", "select *, row_number() over (partition by terminal, camera order by captured_at desc) as place from o_offered where not held")
 
 
@@ -283,8 +283,8 @@ def _(b: Bound) -> DataFrame:
 
 
 @query("agg28_wind_band_record", """
-select t.route, t.band, t.service_date, count(*) as days, min(d.service_date) as since, cast(sum(n) as bigint) as sailings, cast(sum(c) as bigint) as cancelled from o_band_days t join o_band_days d on d.route=t.route and d.band=t.band and d.service_date<t.service_date
-group by 1,2,3 having sum(n)>0 and (sum(c)>0 or count(*)>=20)""")
+select t.route, t.band, t.service_date, count(*) as days, min(d.service_date) as since, cast(sum(d.n) as bigint) as sailings, cast(sum(d.c) as bigint) as cancelled from o_band_days t join o_band_days d on d.route=t.route and d.band=t.band and d.service_date<t.service_date
+group by 1,2,3 having sum(d.n)>0 and (sum(d.c)>0 or count(*)>=20)""")
 def _(b: Bound) -> DataFrame:
     return forecast.band_records(b.forecasts, b.records, b.params)
 

@@ -21,6 +21,11 @@ def _plain_instants(df: DataFrame) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n in stamps}) if stamps else df
 
 
+def oracles() -> dict[str, str]:
+    """Each check with the CTEs it needs; resolved late, when every shape is known."""
+    return {name: check_sql(text) for name, text in ORACLES.items()}
+
+
 def query(name: str, sql: str | None = None):
     """Register a function of the bound tables under a name, with its check if it has one."""
 
@@ -34,7 +39,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = check_sql(sql)
+            ORACLES[name] = sql
         return fn
 
     return register

@@ -97,12 +97,14 @@ def _needed(text: str, known: dict[str, str], order: list[str]) -> None:
             order.append(name)
 
 
-def spark_sql(text: str, sf_dir: str) -> str:
+def spark_sql(text: str, sf_dir: str, instead: dict[str, str] | None = None) -> str:
     known = {"e": E_SPARK, **VIEWS}
     order: list[str] = []
     _needed(text, known, order)
     ctes = ",\n".join(f"{n} as ({known[n]})" for n in order)
     full = (f"with {ctes}\n" if ctes else "") + text
+    for table, view in (instead or {}).items():
+        full = full.replace("{" + table + "}", view)
     for table in BASE:
         full = full.replace("{" + table + "}", f"parquet.`{sf_dir.rstrip('/')}/{table}.parquet`")
     return full

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tidewait.functions.clock import local_time
@@ -267,7 +268,7 @@ def calibration_drift(frames: DataFrame, width: int, height: int, boundaries: li
                 found.append(float(offsets[len(offsets) // 2]) if len(offsets) >= 8 else float("inf"))
             yield batch.assign(drift=found)
 
-    schema = frames.schema.add("drift", "double")
+    schema = T.StructType([*frames.schema.fields, T.StructField("drift", T.DoubleType())])
     return frames.mapInPandas(measure, schema)
 
 

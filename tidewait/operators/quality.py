@@ -94,15 +94,16 @@ def capture_totals(frames: DataFrame, board: DataFrame, readings: DataFrame, ser
     return figures.withColumn("problems", F.array_compact(F.array(*problems)))
 
 
-def capture_strip(frames: DataFrame, readings: DataFrame, spark_days: DataFrame, params: Params,
+def capture_strip(frames: DataFrame, readings: DataFrame, asked_days: DataFrame, params: Params,
                   expected: int) -> DataFrame:
     """One row per asked day, missing days included: counts and a one-word state.
 
-    spark_days(service_date) are the days to show.
+    asked_days(service_date) are the days to show.
     """
     by_model = readings.filter(F.col("version") == params.model_version).select("frame_id", "usable")
     days = (
-        frames.join(spark_days, "service_date", "left_semi")
+        frames.select("frame_id", "service_date", "status")
+        .join(asked_days, "service_date", "left_semi")
         .join(by_model, "frame_id", "left")
         .groupBy("service_date")
         .agg(
@@ -111,7 +112,7 @@ def capture_strip(frames: DataFrame, readings: DataFrame, spark_days: DataFrame,
             F.count(F.when(~F.col("usable"), 1)).alias("unusable"),
         )
     )
-    strip = spark_days.join(days, "service_date", "left").select(
+    strip = asked_days.join(days, "service_date", "left").select(
         "service_date", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ok", "failed", "unusable")]
     )
     nothing = (F.col("ok") == 0) & (F.col("failed") == 0)
