@@ -275,7 +275,7 @@ def _(b: Bound) -> DataFrame:
 @query("joi10_pair_departures", "select origin, service_date, depart_hhmm, tracked_at from o_tracked")
 def _(b: Bound) -> DataFrame:
     paired = ledger.tracked_departures(b.services, _ledger(b), b.params)
-    return paired.filter("tracked_at is not null").select("origin", "service_date", "depart_hhmm", "tracked_at")
+    return paired.select("origin", "service_date", "depart_hhmm", "tracked_at")
 
 
 # Every date is looked at once, at ten past three.

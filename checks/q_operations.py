@@ -230,10 +230,7 @@ def _(b: Bound) -> DataFrame:
     docs = b.sql(
         f"select {DOC_ID} as doc_id, case when l_suppkey%2=0 then 'NORTH ' else 'elsewhere' end as preferred, {MARINE} as xml from {{lineitem}}"
     )
-    docs = docs.withColumn(
-        "preferred", F.when(F.col("preferred") == "elsewhere", "elsewhere").otherwise(F.col("preferred"))
-    )
-    rows = marine_forecast_rows(docs, b.params)
+    rows = marine_forecast_rows(tables.spread(docs), b.params)
     bad = F.col("error").isNotNull()
     return rows.groupBy(
         "doc_id", "service_date", "kind", "wind", "wind_max_kt", "band",
@@ -256,7 +253,7 @@ select doc_id, service_date, kind, period, condition, pop, temp_high, temp_low,
  union all select {DOC_ID}, d + ahead, 'night', 'Thursday night', 'Rain', null, null, 3, 'Rain.' from o_marine) group by all""")
 def _(b: Bound) -> DataFrame:
     docs = b.sql(f"select {DOC_ID} as doc_id, {SHORE} as xml from {{lineitem}}")
-    rows = shore_forecast_rows(docs)
+    rows = shore_forecast_rows(tables.spread(docs))
     key = ["doc_id", "service_date", "kind", "period", "condition", "pop", "temp_high", "temp_low", "summary"]
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
 

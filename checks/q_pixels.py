@@ -154,14 +154,9 @@ def _(b: Bound) -> DataFrame:
 
 
 def _extent(b: Bound) -> DataFrame:
-    one = lambda i: px.changed_share(
-        F.col("pixels"), F.col("background"), F.col("scale"), F.array(i), px.ROW_DIFF
-    )
-    shares = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(i.alias("row"), one(i).alias("share")))
     geometry = {"far_row": 4, "camera_row": 60.0, "horizon": -10.0, "station_scale": 500.0}
-    return px.extent_reading(
-        Frames(b).lit.withColumn("row_shares", shares).withColumns({k: F.lit(v) for k, v in geometry.items()})
-    )
+    shared = px.row_shares(Frames(b).lit.withColumn("rows", row_table()))
+    return px.extent_reading(shared.withColumns({k: F.lit(v) for k, v in geometry.items()}))
 
 
 @query("pix07_queue_tail", "select frame_id, tail from o_tail")

@@ -90,10 +90,11 @@ def rung_of(params: Params) -> Column:
 
 
 def walk_rungs(targets: DataFrame, records: DataFrame, params: Params) -> DataFrame:
-    """Targets with the matches of the first rung that is deep enough, else of the last.
+    """Shared answers: the matches of the first rung that is deep enough, else of the last.
 
-    targets(route, origin, service_date, depart_hhmm). Adds day_type, season, long_weekend,
-    rung (1 to 5) and matches, an array of at most `max_samples` structs, newest first.
+    targets(route, origin, service_date, depart_hhmm). One row per slot and left-out date with
+    rung (1 to 5), matches, at most `max_samples` structs, newest first, and dates, the targets
+    it answers. Figures are worked out on these rows; `per_target` hands them out after.
     """
     cap = params.max_samples
     wanted = with_calendar(targets.select(*SERVICE_KEY).distinct())
@@ -148,9 +149,12 @@ def walk_rungs(targets: DataFrame, records: DataFrame, params: Params) -> DataFr
         .withColumn("rung", F.when(deep > 0, deep).otherwise(len(RUNGS)))
         .withColumn("matches", F.element_at("rungs", F.col("rung")))
     )
-    return answered.select(
-        *SLOT, F.explode("dates").alias("service_date"), "rung", "matches"
-    )
+    return answered.select(*SLOT, "dates", "rung", "matches")
+
+
+def per_target(answers: DataFrame) -> DataFrame:
+    """One row per target from shared answers."""
+    return answers.withColumn("service_date", F.explode("dates")).drop("dates")
 
 
 def outcome_counts(matches: Column) -> dict[str, Column]:
@@ -265,7 +269,7 @@ def distribution(targets: DataFrame, records: DataFrame, params: Params) -> Data
             ),
         }
     )
-    return with_unknown_excluded(shared, records)
+    return per_target(with_unknown_excluded(shared, records))
 
 
 def outlook(boarded_share: Column, n: Column, sufficient: Column, params: Params) -> Column:
@@ -303,14 +307,13 @@ def day_board(targets: DataFrame, records: DataFrame, params: Params) -> DataFra
             ),
         }
     )
-    return rows.withColumn(
-        "outlook", outlook(F.col("boarded_share"), n, F.col("sufficient"), params)
-    ).drop("matches")
+    seen = rows.withColumn("outlook", outlook(F.col("boarded_share"), n, F.col("sufficient"), params))
+    return per_target(seen.drop("matches"))
 
 
 def samples(targets: DataFrame, records: DataFrame, params: Params) -> DataFrame:
     """The dates an answer rests on, one row per listed match."""
-    answers = walk_rungs(targets, records, params)
+    answers = per_target(walk_rungs(targets, records, params))
     listed = answers.select(
         *SERVICE_KEY, F.posexplode("matches").alias("place", "m")
     )

@@ -22,6 +22,7 @@ from tidewait.functions.clock import (
 )
 from tidewait.operators.board import published_departures
 from tidewait.operators.intervals import interval_join
+from tidewait.operators.services import SERVICE_KEY
 from tidewait.params import Params
 
 DAY = ["route", "ledger_date"]
@@ -47,23 +48,26 @@ def unique_positions(positions: DataFrame) -> DataFrame:
 
 def ledger_days(positions: DataFrame, terminals: DataFrame, params: Params,
                 until: Column | None = None) -> DataFrame:
-    """Timed readings with their ledger date, only for days one vessel can explain.
+    """Timed readings of two-ended routes with the facts of their ledger date.
 
-    Adds `observed_at`, the day's latest feed time, and `alone`, whether one vessel ran.
+    Adds `ledger_date`, `ends` (the route's two terminals), `observed_at`, the day's latest
+    feed time, and `alone`, whether one vessel ran. The day windows here and below share one
+    shuffle by (route, date).
     """
     timed = positions.filter(F.col("reported_at").isNotNull())
     if until is not None:
         timed = timed.filter(F.col("reported_at") <= until)
-    ends = terminals.groupBy("route").agg(F.countDistinct("terminal").alias("_ends"))
-    two_ended = ends.filter(F.col("_ends") == 2).select("route")
-    dated = timed.join(two_ended, "route", "left_semi").withColumn(
+    ends = terminals.groupBy("route").agg(F.array_sort(F.collect_set("terminal")).alias("ends"))
+    dated = timed.join(ends.filter(F.size("ends") == 2), "route").withColumn(
         "ledger_date", local_date(F.col("reported_at"), params.zone)
     )
-    facts = dated.groupBy(*DAY).agg(
-        F.max("reported_at").alias("observed_at"),
-        (F.coalesce(F.min("vessel") == F.max("vessel"), F.lit(True))).alias("alone"),
+    day = W.partitionBy(*DAY)
+    return dated.withColumns(
+        {
+            "observed_at": F.max("reported_at").over(day),
+            "alone": F.coalesce(F.min("vessel").over(day) == F.max("vessel").over(day), F.lit(True)),
+        }
     )
-    return dated.join(facts, DAY)
 
 
 def transitions(positions: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,7 +83,7 @@ def transitions(positions: DataFrame, keys: list[str]) -> DataFrame:
 def day_moments(days: DataFrame) -> DataFrame:
     """Numbered transitions of each single-vessel day."""
     moments = transitions(days.filter(F.col("alone")), DAY).select(
-        *DAY, "observed_at", F.col("reported_at").alias("moment"), "row_id"
+        *DAY, "ends", F.col("reported_at").alias("moment"), "row_id"
     )
     order = W.partitionBy(*DAY).orderBy("moment", "row_id")
     return moments.withColumn("position", F.row_number().over(order))
@@ -142,9 +146,8 @@ def ledger_segments(anchored: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def alternation_labels(segments: DataFrame, terminals: DataFrame) -> DataFrame:
+def alternation_labels(segments: DataFrame) -> DataFrame:
     """Add `terminal`: the end each departure left from, NULL where no anchor reaches."""
-    codes = terminals.groupBy("route").agg(F.array_sort(F.collect_set("terminal")).alias("_ends"))
     stretch = W.partitionBy(*DAY, "segment").orderBy("position")
     whole = stretch.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     first_anchor = F.first(
@@ -154,14 +157,14 @@ def alternation_labels(segments: DataFrame, terminals: DataFrame) -> DataFrame:
         ),
         ignorenulls=True,
     ).over(whole)
-    anchored = segments.withColumn("_first", first_anchor).join(codes, "route")
+    anchored = segments.withColumn("_first", first_anchor)
     index = F.pmod(
-        F.array_position("_ends", F.col("_first.a")) - 1 + F.col("position") - F.col("_first.p"), F.lit(2)
+        F.array_position("ends", F.col("_first.a")) - 1 + F.col("position") - F.col("_first.p"), F.lit(2)
     )
     return anchored.withColumn(
         "terminal",
-        F.when(F.col("_first").isNotNull(), F.element_at("_ends", (index + 1).cast("int"))),
-    ).drop("_first", "_ends")
+        F.when(F.col("_first").isNotNull(), F.element_at("ends", (index + 1).cast("int"))),
+    ).drop("_first", "ends")
 
 
 def departure_ledger(positions: DataFrame, board: DataFrame, terminals: DataFrame,
@@ -169,13 +172,13 @@ def departure_ledger(positions: DataFrame, board: DataFrame, terminals: DataFram
     """Every tracked departure with its terminal: route, ledger_date, position, moment, terminal."""
     days = ledger_days(positions, terminals, params, until)
     anchored = anchor_match(day_moments(days), board, params)
-    return alternation_labels(ledger_segments(anchored, params), terminals)
+    return alternation_labels(ledger_segments(anchored, params))
 
 
 def pair_departures(services: DataFrame, departures: DataFrame, params: Params) -> DataFrame:
-    """Services with `tracked_at`, the earliest unused departure in reach, in time order.
+    """(service, tracked_at): the earliest unused departure in reach, handed out in time order.
 
-    departures(route, origin, service_date, left_at). The hand-out is ordered and exclusive,
+    departures(route, origin, service_date, left_at); services without one have no row. The hand-out is ordered and exclusive,
     so each terminal-day is walked once as a pair of sorted arrays; both are bounded, by the
     timetable and by the least separation of departures.
     """
@@ -213,12 +216,13 @@ def pair_departures(services: DataFrame, departures: DataFrame, params: Params)
     walked = slots.join(lists, day).select(
         *day, F.explode(F.aggregate("slots", empty, hand_out)["taken"]).alias("handed")
     )
-    paired = walked.select(*day, "handed.depart_hhmm", "handed.tracked_at").filter(F.col("tracked_at").isNotNull())
-    return services.join(paired, [*day, "depart_hhmm"], "left")
+    return walked.select(*day, "handed.depart_hhmm", "handed.tracked_at").filter(
+        F.col("tracked_at").isNotNull()
+    )
 
 
 def tracked_departures(services: DataFrame, ledger: DataFrame, params: Params) -> DataFrame:
-    """Services with the departure the tracker saw them make."""
+    """(service, tracked_at) for the services the tracker saw leave."""
     named = ledger.filter(F.col("terminal").isNotNull()).select(
         "route", F.col("terminal").alias("origin"),
         F.col("ledger_date").alias("service_date"), F.col("moment").alias("left_at"),
@@ -241,7 +245,9 @@ def tracker_watch(services: DataFrame, positions: DataFrame, board: DataFrame,
     ledger = departure_ledger(known, board, terminals, params)
     spoken = ledger.groupBy(*DAY).agg((F.count("terminal") == 0).alias("nameless"))
     day = facts.join(spoken, DAY, "left").withColumnRenamed("ledger_date", "service_date")
-    paired = tracked_departures(services, ledger, params).join(day, ["route", "service_date"], "left")
+    paired = services.join(
+        tracked_departures(services, ledger, params), SERVICE_KEY, "left"
+    ).join(day, ["route", "service_date"], "left")
     moment = now(F.col("service_date"))
     open_until = add_minutes(F.col("scheduled"), params.late_tolerance_minutes)
     speaks = F.col("tracker_at").isNotNull() & ~F.coalesce(F.col("nameless"), F.lit(False))

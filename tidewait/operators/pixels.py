@@ -6,7 +6,7 @@ values. Everything per frame stays in its own row; frames are only ever shuffled
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -137,6 +137,15 @@ def with_illumination(frames: DataFrame, positions: Column) -> DataFrame:
     ).withColumn("lit", F.col("light_ratio").between(LIGHT_LOW, LIGHT_HIGH)).drop("_seen", "_ref")
 
 
+def bound(columns: list[str], body: Callable[[Column], Column]) -> Column:
+    """`body` of a struct of columns, each worked out once per row.
+
+    A column that is itself an expression would otherwise be folded into the inner function
+    and worked out again for every pixel.
+    """
+    return F.transform(F.array(F.struct(*columns)), body)[0]
+
+
 def changed_share(pixels: Column, background: Column, scale: Column, positions: Column, threshold: int) -> Column:
     """Share of positions whose scaled, capped value differs from the background."""
 
@@ -150,13 +159,14 @@ def changed_share(pixels: Column, background: Column, scale: Column, positions:
 
 def lane_shares(frames: DataFrame) -> DataFrame:
     """Add shares, array<struct<lane, share>>, from lanes array<struct<lane, positions>>."""
-    shares = F.transform(
-        "lanes",
-        lambda x: F.struct(
-            x["lane"].alias("lane"),
-            changed_share(F.col("pixels"), F.col("background"), F.col("scale"), x["positions"], LANE_DIFF)
-            .alias("share"),
-        ),
+
+    def share(f: Column, lane: Column) -> Column:
+        part = changed_share(f["pixels"], f["background"], f["scale"], lane["positions"], LANE_DIFF)
+        return F.struct(lane["lane"].alias("lane"), part.alias("share"))
+
+    shares = bound(
+        ["pixels", "background", "scale", "lanes"],
+        lambda f: F.transform(f["lanes"], lambda lane: share(f, lane)),
     )
     return frames.withColumn("shares", shares)
 
@@ -190,13 +200,27 @@ def lane_reading(frames: DataFrame) -> DataFrame:
     )
 
 
-def tail_row(row_shares: Column) -> Column:
+def row_shares(frames: DataFrame) -> DataFrame:
+    """Add row_shares, array<struct<row, share>>, from rows array<struct<row, positions>>."""
+
+    def share(f: Column, row: Column) -> Column:
+        part = changed_share(f["pixels"], f["background"], f["scale"], row["positions"], ROW_DIFF)
+        return F.struct(row["row"].alias("row"), part.alias("share"))
+
+    shares = bound(
+        ["pixels", "background", "scale", "rows"],
+        lambda f: F.transform(f["rows"], lambda row: share(f, row)),
+    )
+    return frames.withColumn("row_shares", shares)
+
+
+def tail_row(shares: Column) -> Column:
     """Furthest row the queue can be shown to reach, from array<struct<row, share>>.
 
     Walked from the nearest (largest) row outward, keeping the furthest row behind which
     seven tenths of at least eight rows are taken.
     """
-    outward = F.reverse(F.array_sort(row_shares))
+    outward = F.reverse(F.array_sort(shares))
     start = F.struct(
         F.lit(0).alias("seen"), F.lit(0).alias("hits"), F.lit(None).cast("int").alias("row")
     )
@@ -320,15 +344,7 @@ def read_extent_frames(pending: DataFrame, backgrounds: DataFrame, calibrations:
     if max_reads is not None:
         ready = ready.orderBy("captured_at", "frame_id").limit(max_reads)
     lit = with_illumination(ready, F.col("light_positions"))
-    shares = F.transform(
-        "rows",
-        lambda x: F.struct(
-            x["row"].alias("row"),
-            changed_share(F.col("pixels"), F.col("background"), F.col("scale"), x["positions"], ROW_DIFF)
-            .alias("share"),
-        ),
-    )
-    read = extent_reading(lit.withColumn("row_shares", shares))
+    read = extent_reading(row_shares(lit))
     sound = F.col("lit")
     return read.select(
         "frame_id", F.lit(params.extent_version).alias("version"),

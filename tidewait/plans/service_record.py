@@ -40,7 +40,7 @@ def timed_services(services: DataFrame, evidence: Evidence, params: Params) -> D
         "deck_outcome", "deck_filled_at", "deck_confidence",
     )
     ledger = departure_ledger(evidence.positions, evidence.board, evidence.terminals, params)
-    tracked = tracked_departures(services, ledger, params).select(*SERVICE_KEY, "tracked_at")
+    tracked = tracked_departures(services, ledger, params)
     entitled = evidence.terminals.select(
         "route", F.col("terminal").alias("origin"), "berth_visible", "clear_needs_departure",
         "full_lanes_at_capacity",

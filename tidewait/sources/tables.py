@@ -76,3 +76,10 @@ def with_checkpoint_dir(spark: SparkSession) -> SparkSession:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(work_dir(spark))
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows spread over all cores before costly work on each, where the files gave fewer
+    splits than there are cores; with enough splits nothing moves."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
