@@ -376,7 +376,7 @@ def _reads(b: Bound) -> DataFrame:
     return b.table("lineitem").select(
         F.col("l_shipdate").alias("created_at"), F.to_date("l_shipdate").alias("day"),
         F.date_trunc("month", "l_shipdate").alias("month"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        F.floor(F.col("l_orderkey") / 100).alias("block"), "l_extendedprice",
+        F.floor(F.col("l_orderkey") / 1000).alias("block"), F.floor(F.col("l_partkey") / 100).alias("parts"), "l_extendedprice",
         spend.cost_micros(F.floor(F.col("l_extendedprice") / 100), F.floor("l_quantity"), b.params).alias("cost_micros"),
     )
 
@@ -387,13 +387,17 @@ def _(b: Bound) -> DataFrame:
     return spend.daily_spend(_reads(b))
 
 
+# The processing order, coarse to fine; even one order holding most rows is split by its lines and parts.
+LEVELS = ["month", "day", "block", "l_orderkey", "l_linenumber", "parts"]
+
+
 @query("str07_budget_stop", """
 select day, count(*) as read, cast(sum(micros) as bigint) as micros, cast(max(spent_before) as bigint) as most_spent_before from (
  select *, coalesce(sum(micros) over (partition by date_trunc('month', day) order by day, l_orderkey, l_linenumber, l_partkey, l_suppkey, micros, l_extendedprice rows between unbounded preceding and 1 preceding), 0) as spent_before from o_reads) where spent_before < 500000 group by 1""")
 def _(b: Bound) -> DataFrame:
     budget = Params(zone="UTC", monthly_budget_usd=0.5)
     order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cost_micros", "l_extendedprice")]
-    kept = spend.within_budget(_reads(b), ["month", "day", "block"], order, budget)
+    kept = spend.within_budget(_reads(b), LEVELS, order, budget)
     return kept.groupBy("day").agg(
         F.count(F.lit(1)).alias("read"), F.sum("cost_micros").alias("micros"), F.max("spent_before").alias("most_spent_before")
     )
@@ -458,19 +462,19 @@ def _(b: Bound) -> DataFrame:
 
 
 @query("agg25_calibration_scores", """
-select terminal, steps, noise_score, median_step, trends, trend_score, median_rho, drops, drop_score from (
- select terminal, count(*) as steps, round(count(*) filter (step<=20)/count(*),4) as noise_score, cast(median(step) as double) as median_step from o_steps where gap_seconds>0 and gap_seconds<=1500 group by 1)
-cross join (select count(*) as trends, round(count(*) filter (rho>0.3)/count(rho),4) as trend_score, round(median(round(rho,9)),4) as median_rho from o_trend)
-cross join (select count(*) as drops, round(count(*) filter (dropped)/count(dropped),4) as drop_score from o_dropped)""")
+select terminal as scope, count(*) as n, round(count(*) filter (step<=20)/count(*),4) as score, cast(median(step) as double) as middle from o_steps where gap_seconds>0 and gap_seconds<=1500 group by 1
+union all select 'trends', count(*), round(count(*) filter (rho>0.3)/count(rho),4), round(median(round(rho,9)),4) from o_trend
+union all select 'drops', count(*), round(count(*) filter (dropped)/count(dropped),4), null from o_dropped""")
 def _(b: Bound) -> DataFrame:
     counted = b.readings.filter("usable and vehicle_count is not null")
     noise = quality.noise_scores(quality.reading_steps(counted, ["terminal"]), ["terminal"])
     trends = quality.trend_scores(quality.service_trends(b.services, b.readings, b.params))
     drops = quality.drop_scores(_drops(b))
-    whole = trends.unionByName(drops, allowMissingColumns=True).groupBy(F.lit(1).alias("one")).agg(
-        *[F.max(c).alias(c) for c in ("trends", "trend_score", "median_rho", "drops", "drop_score")]
+    return (
+        noise.select(F.col("terminal").alias("scope"), F.col("steps").alias("n"), F.col("noise_score").alias("score"), F.col("median_step").alias("middle"))
+        .unionByName(trends.select(F.lit("trends").alias("scope"), F.col("trends").alias("n"), F.col("trend_score").alias("score"), F.col("median_rho").alias("middle")))
+        .unionByName(drops.select(F.lit("drops").alias("scope"), F.col("drops").alias("n"), F.col("drop_score").alias("score"), F.lit(None).cast("double").alias("middle")))
     )
-    return noise.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one").drop("one")
 
 
 # ---- set operations ---------------------------------------------------------------------

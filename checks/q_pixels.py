@@ -46,7 +46,7 @@ class Frames:
         self.b = b
         rows = b.table("embeddings")
         self.frames = rows.select(
-            F.col("vec_id").alias("frame_id"), F.lit("A").alias("terminal"), F.lit("main").alias("camera"),
+            F.col("vec_id").alias("frame_id"), *one_camera("vec_id"),
             F.expr(
                 "timestamp'2024-01-01' + make_dt_interval(cast(vec_id % 14 as int), cast(label as int), 0, cast(vec_id % 3600 as int))"
             ).alias("captured_at"),
@@ -73,6 +73,11 @@ class Frames:
         return px.lane_shares(self.lit.withColumn("lanes", lane_table()))
 
 
+def one_camera(key: str):
+    """The one camera of these frames, read off a row so that joins on it stay equality joins."""
+    return F.when(F.col(key) >= 0, "A").alias("terminal"), F.when(F.col(key) >= 0, "main").alias("camera")
+
+
 def lane_table():
     return F.transform(
         F.sequence(F.lit(1), F.lit(8)),
@@ -176,7 +181,7 @@ from (select *, ratio between 0.85 and 1.2 and drift<=3 as good, case when used=
  from o_occ join o_lit using (frame_id) join o_drift using (frame_id))""")
 def _(b: Bound) -> DataFrame:
     calibration = b.spark.range(1).select(
-        F.lit("A").alias("terminal"), F.lit("main").alias("camera"), lane_table().alias("lanes"),
+        *one_camera("id"), lane_table().alias("lanes"),
         F.lit(True).alias("covers_compound"), F.lit(False).alias("lanes_before_capacity"),
     )
     read = px.read_lane_frames(_drift(b), Frames(b).background, calibration, b.params)
@@ -189,7 +194,7 @@ select frame_id, case when lit then tail end as tail, case when lit then round(v
 from (select *, ratio between 0.85 and 1.2 as lit from o_tailed join o_lit using (frame_id))""")
 def _(b: Bound) -> DataFrame:
     calibration = b.spark.range(1).select(
-        F.lit("A").alias("terminal"), F.lit("main").alias("camera"), row_table().alias("rows"),
+        *one_camera("id"), row_table().alias("rows"),
         F.sequence(F.lit(0), F.lit(63)).alias("light_positions"), F.lit(4).alias("far_row"),
         F.lit(60.0).alias("camera_row"), F.lit(-10.0).alias("horizon"), F.lit(500.0).alias("station_scale"),
     )

@@ -39,41 +39,43 @@ def daily_spend(reads: DataFrame) -> DataFrame:
     )
 
 
-def running_before(df: DataFrame, levels: list[str], order: list[Column], value: str,
-                   name: str) -> DataFrame:
-    """Add the sum of `value` over all earlier rows of the same first level.
+def group_offsets(df: DataFrame, levels: list[str], value: str, name: str) -> DataFrame:
+    """One row per finest group with the sum of `value` over all earlier groups of its first level.
 
-    `levels` run from coarse to fine and sort in that order; the first restarts the total.
-    Each level is summed and accumulated inside its parent only, so no task ever holds more
-    than one parent's children: the running total is as parallel as the finest level.
+    `levels` run from coarse to fine and sort in that order. The rows are summed once to the
+    finest groups; every further step works on those sums and accumulates inside one parent
+    only, so no task ever holds more than one parent's children.
     """
-    out = df
-    offsets = []
+    fine = df.groupBy(*levels).agg(F.sum(value).alias("_sum"))
+    offsets = fine.select(*levels)
+    names = []
     for depth in range(1, len(levels)):
         parent, here = levels[:depth], levels[: depth + 1]
-        offset = f"_before_{depth}"
+        names.append(f"_before_{depth}")
         earlier = W.partitionBy(*parent).orderBy(levels[depth]).rowsBetween(W.unboundedPreceding, -1)
-        sums = (
-            df.groupBy(*here)
-            .agg(F.sum(value).alias("_sum"))
-            .withColumn(offset, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-            .drop("_sum")
-        )
-        out = out.join(sums, here)
-        offsets.append(F.col(offset))
-    inside = W.partitionBy(*levels).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    total = F.coalesce(F.sum(value).over(inside), F.lit(0))
-    for offset in offsets:
-        total = total + offset
-    return out.withColumn(name, total).drop(*[f"_before_{d}" for d in range(1, len(levels))])
+        sums = fine if depth == len(levels) - 1 else fine.groupBy(*here).agg(F.sum("_sum").alias("_sum"))
+        before = sums.select(*here, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias(names[-1]))
+        offsets = offsets.join(before, here)
+    total = F.lit(0).cast("bigint")
+    for n in names:
+        total = total + F.col(n)
+    return offsets.select(*levels, total.alias(name))
 
 
 def within_budget(reads: DataFrame, levels: list[str], order: list[Column], params: Params) -> DataFrame:
-    """Rows processed before each month's spend reaches the budget.
+    """Rows processed before each first-level period's spend reaches the budget.
 
-    The row that reaches it is still processed; the first one after it is not.
+    The row that reaches it is still processed; the first one after it is not. Groups that
+    start past the budget drop out before any row of theirs is sorted.
     """
     budget = int(round(params.monthly_budget_usd * 1e6))
-    return running_before(reads, levels, order, "cost_micros", "spent_before").filter(
-        F.col("spent_before") < budget
+    offsets = group_offsets(reads, levels, "cost_micros", "_offset").filter(F.col("_offset") < budget)
+    inside = W.partitionBy(*levels).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return (
+        reads.join(offsets, levels)
+        .withColumn(
+            "spent_before", F.col("_offset") + F.coalesce(F.sum("cost_micros").over(inside), F.lit(0))
+        )
+        .filter(F.col("spent_before") < budget)
+        .drop("_offset")
     )
