@@ -32,7 +32,7 @@ BRIGHT = 0.90
 BUCKET = ["terminal", "camera", "hour"]
 
 
-@F.pandas_udf("array<smallint>")
+@F.pandas_udf(T.ArrayType(T.ShortType()))
 def _grey(data: pd.Series, channels: pd.Series) -> pd.Series:
     """Grey values of decoded image bytes; colour comes blue, green, red."""
 

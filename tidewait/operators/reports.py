@@ -179,27 +179,34 @@ def report_bounds(targets: DataFrame, reports: DataFrame, params: Params) -> Dat
         F.count(F.when(boarded, 1)).alias("n_boarded"),
         F.count(F.when(missed, 1)).alias("n_missed"),
     )
-    failed = F.struct("failed_lead", "service_date")
-    pooled = dates.groupBy(*slot).agg(
-        F.max(F.when(F.col("failed_lead").isNotNull(), failed)).alias("best_failed"),
-        F.min(F.when(F.col("boarded_lead").isNotNull(), F.struct("boarded_lead", "service_date"))
-              ).alias("best_boarded"),
+    # Each slot's two best dates either way; a slot has at most a calendar of them.
+    of_slot = W.partitionBy(*slot)
+    ranked = dates.withColumns(
+        {
+            "_f": F.row_number().over(
+                of_slot.orderBy(F.col("failed_lead").desc_nulls_last(), F.col("service_date").desc())
+            ),
+            "_b": F.row_number().over(
+                of_slot.orderBy(F.col("boarded_lead").asc_nulls_last(), F.col("service_date"))
+            ),
+        }
+    )
+
+    def placed(rank: str, place: int, lead: str) -> Column:
+        return F.max(
+            F.when((F.col(rank) == place) & F.col(lead).isNotNull(), F.struct(lead, "service_date"))
+        )
+
+    slots = ranked.groupBy(*slot).agg(
+        placed("_f", 1, "failed_lead").alias("best_failed"),
+        placed("_f", 2, "failed_lead").alias("next_failed"),
+        placed("_b", 1, "boarded_lead").alias("best_boarded"),
+        placed("_b", 2, "boarded_lead").alias("next_boarded"),
         F.sum("n_boarded").alias("n_boarded"),
         F.sum("n_missed").alias("n_missed"),
         F.count(F.lit(1)).alias("n_dates"),
         F.count(F.when(F.col("n_missed") > 0, 1)).alias("n_missed_dates"),
     )
-    without = lambda best: dates.join(
-        pooled.select(*slot, F.col(f"{best}.service_date").alias("_best")), slot
-    ).filter(F.col("service_date") != F.col("_best"))
-    next_failed = without("best_failed").groupBy(*slot).agg(
-        F.max(F.when(F.col("failed_lead").isNotNull(), failed)).alias("next_failed")
-    )
-    next_boarded = without("best_boarded").groupBy(*slot).agg(
-        F.min(F.when(F.col("boarded_lead").isNotNull(), F.struct("boarded_lead", "service_date"))
-              ).alias("next_boarded")
-    )
-    slots = pooled.join(next_failed, slot, "left").join(next_boarded, slot, "left")
 
     wanted = with_calendar(targets.withColumn("target_minutes", hhmm_minutes(F.col("depart_hhmm"))))
     near = wanted.select(
