@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewait.operators import board as brd
 from tidewait.operators import cohort, intervals, ledger, quality, retention, services, spend
-from tidewait.operators.reports import report_bounds
+from tidewait.operators.reports import report_bounds, report_entries
 from tidewait.params import Params
 
 P = Params(zone="UTC")
@@ -244,6 +244,16 @@ def test_report_bounds_leave_out_the_targets_own_date(spark):
     assert days[1] in got and got[days[1]].turned_away_date == days[0]
 
 
+def test_report_entries_read_as_local_clocks(spark):
+    df = spark.createDataFrame(
+        [(1, "r", "S", DAY, "08:30", at("07:40"), at("08:51"), True, None, "half", "web", at("09:00"))],
+        "report_id int, route string, origin string, service_date date, depart_hhmm string, joined_at timestamp, "
+        "departed_at timestamp, boarded boolean, sailings_waited int, deck_fullness string, source string, submitted_at timestamp",
+    )
+    got = report_entries(df, P).first()
+    assert (got.joined, got.departed, got.minutes_late, got.fullness, got.submitted) == ("07:40", "08:51", 21, "half", "09:00")
+
+
 def test_budget_stops_after_the_row_that_reaches_it(spark):
     rows = [("m", 1 + i // 4, i, 3) for i in range(12)]
     df = spark.createDataFrame(rows, "month string, day int, id int, cost_micros bigint")

@@ -47,6 +47,7 @@ def test_real_image_files_are_ingested_and_decoded(spark):
     image = spark.read.format("image").option("dropInvalid", True).load(folder)
     shown = pixels.luma_frames(image).first()
     assert (shown.width, shown.height, list(shown.pixels)) == (4, 3, list(grey))
+    assert [tuple(r)[1:] for r in frames.decoded_sizes(spark, folder).collect()] == [(4, 3)]
 
 
 def test_timetable_rejects(spark):
@@ -86,6 +87,14 @@ def test_rows_with_a_missing_key_part_are_never_merged(spark):
     assert sorted(r.id for r in sinks.new_rows(stored, rows, ["k"], ["id"]).collect()) == [3, 4]
 
 
+def test_a_newer_row_of_one_key_wins_whole(spark):
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "k int, v string, n int")
+    new = spark.createDataFrame([(2, None, 9), (3, "c", 7)], "k int, v string, n int")
+    got = sinks.insert_or_replace(old, new, ["k"]).collect()
+    assert sorted(tuple(r) for r in got if r.v) == [(1, "a", 5), (3, "c", 7)]
+    assert [tuple(r) for r in got if not r.v] == [(2, None, 9)]
+
+
 def test_overwriting_dates_is_idempotent_and_leaves_other_dates(spark):
     path = tempfile.mkdtemp(prefix="tidewait-out-") + "/t"
     first = spark.createDataFrame([(date(2026, 7, 1), 1), (date(2026, 7, 2), 2)], "service_date date, v int")

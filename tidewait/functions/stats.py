@@ -24,12 +24,6 @@ def upper_median_of(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.element_at(ordered, F.floor(F.size(values) / 2).cast("int") + 1))
 
 
-def nearest_rank_of(values: Column, fraction: float) -> Column:
-    """Nearest rank over a short array, the index rounded half to even."""
-    index = F.bround(F.lit(fraction) * (F.size(values) - 1)).cast("int") + 1
-    return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), index))
-
-
 def value_counts(df: DataFrame, keys: list[str], *values: str) -> DataFrame:
     return df.groupBy(*keys, *values).agg(F.count(F.lit(1)).alias("n"))
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidewait.functions.calendar import with_calendar
-from tidewait.functions.clock import add_minutes, combine_local, hhmm_minutes, minutes_floor
+from tidewait.functions.clock import add_minutes, hhmm_minutes, minutes_floor
 from tidewait.operators.cohort import partner_day_type
 from tidewait.operators.intervals import interval_join
 from tidewait.operators.services import SERVICE_KEY, previous_gap_minutes
@@ -181,10 +180,3 @@ def previous_departure_offset(targets: DataFrame, services: DataFrame, timetable
         F.col("t_season").alias("season"), "sailings",
         F.when(agrees, F.col("middle")).alias("previous_departure_minutes"),
     )
-
-
-def scheduled_of(df: DataFrame, params: Params) -> DataFrame:
-    """Add the scheduled instant and the calendar columns to rows keyed by service."""
-    return with_calendar(df).withColumn(
-        "scheduled", combine_local(F.col("service_date"), F.col("depart_hhmm"), params.zone)
-    )

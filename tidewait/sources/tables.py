@@ -71,13 +71,6 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{label}-{os.urandom(6).hex()}"
 
 
-def with_checkpoint_dir(spark: SparkSession) -> SparkSession:
-    """Make sure DataFrame.checkpoint() has somewhere to write."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(work_dir(spark))
-    return spark
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Rows spread over all cores before costly work on each, where the files gave fewer
     splits than there are cores; with enough splits nothing moves."""
