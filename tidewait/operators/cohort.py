@@ -123,7 +123,10 @@ def walk_rungs(targets: DataFrame, records: DataFrame, params: Params) -> DataFr
         F.sort_array(F.collect_list("candidate"), asc=False).alias("pool")
     )
     # Dates among a slot's own candidates; for any other date nothing has to be left out.
-    met = near.select(*SLOT, F.col("candidate.service_date").alias("service_date")).distinct()
+    met = pools.select(
+        *SLOT,
+        F.explode(F.array_distinct(F.transform("pool", lambda c: c["service_date"]))).alias("service_date"),
+    )
     dated = wanted.join(met.withColumn("excluded", F.col("service_date")), [*SLOT, "service_date"], "left")
     # One answer per slot and excluded date, shared by every target that agrees on both.
     shared = (
