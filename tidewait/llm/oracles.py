@@ -63,3 +63,20 @@ SELECT c.doc_id, c.n_bytes, 's' || CASE WHEN c.depth > 0 THEN lpad(bin(s.bucket)
   CAST(c.depth AS INTEGER) AS depth, s.shard_docs, s.shard_bytes, s.shard_bytes > {max_bytes} AS over_limit
 FROM chosen c JOIN sums s ON s.depth = c.depth AND s.bucket = c.h >> CAST(60 - c.depth AS BIGINT)
 """
+
+# Word by word: every window of every item against every place of every document that holds its first word.
+CONTAMINATION = f"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+win AS (SELECT item_id, least(10, len(ws)) AS n, unnest([list_slice(ws, s + 1, s + least(10, len(ws))) FOR s IN range(greatest(len(ws) - 9, 1))]) AS w FROM bw WHERE len(ws) > 0),
+win2 AS (SELECT DISTINCT item_id, n, array_to_string(w, ' ') AS w FROM win),
+lens AS (SELECT DISTINCT n FROM win2),
+places AS (SELECT doc_id, n, unnest(range(len(ws) - n + 1)) AS s, ws FROM dw, lens WHERE len(ws) >= n),
+grams AS (SELECT doc_id, n, s, array_to_string(list_slice(ws, s + 1, s + n), ' ') AS w FROM places),
+occ AS (SELECT g.doc_id, g.s, g.n, w.item_id FROM grams g JOIN win2 w ON g.n = w.n AND g.w = w.w),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""

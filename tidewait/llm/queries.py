@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewait.llm import lines, mixing, oracles, sharding
+from tidewait.llm import decontaminate, lines, mixing, oracles, sharding
 
 SHARD_BYTES = 1 << 20
 
@@ -21,6 +21,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(_table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "size", "source_size", "target", "copies", "taken"
@@ -33,12 +40,14 @@ def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_pareto_mix": op5_pareto_mix,
     "op8_extendible_shards": op8_extendible_shards,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": oracles.LINES,
+    "op4_benchmark_decontamination": oracles.CONTAMINATION,
     "op5_pareto_mix": oracles.MIX,
     "op8_extendible_shards": oracles.shards_sql(SHARD_BYTES),
 }
