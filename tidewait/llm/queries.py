@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewait.llm import decontaminate, lines, mixing, oracles, sharding
+from tidewait.llm import decontaminate, language, lines, mixing, oracles, sharding
 
 SHARD_BYTES = 1 << 20
 
@@ -38,11 +38,17 @@ def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs.filter(~language.held_out(F.col("doc_id")))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_pareto_mix": op5_pareto_mix,
     "op8_extendible_shards": op8_extendible_shards,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
