@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewait.llm import decontaminate, language, lines, mixing, oracles, sharding
+from tidewait.llm import chat, decontaminate, language, lines, mixing, oracles, packing, sharding
 
 SHARD_BYTES = 1 << 20
 
@@ -21,6 +21,15 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
+    ranges = F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string")))
+    return out.select(
+        "conv_id", "speaker", "block", "n_turns", "n_own", F.sha2("text", 256).alias("text_sha256"),
+        F.sha2(F.array_join(ranges, ","), 256).alias("mask_sha256"),
+    )
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -38,6 +47,15 @@ def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op9_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack_tokens(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    return packed.withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.identify(docs, language.learn(docs.filter(~language.held_out(F.col("doc_id")))))
@@ -45,14 +63,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_perspective_rotation": op2_perspective_rotation,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_pareto_mix": op5_pareto_mix,
     "op8_extendible_shards": op8_extendible_shards,
+    "op9_packed_tokens": op9_packed_tokens,
     "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": oracles.LINES,
+    "op2_perspective_rotation": oracles.CHAT,
     "op4_benchmark_decontamination": oracles.CONTAMINATION,
     "op5_pareto_mix": oracles.MIX,
     "op8_extendible_shards": oracles.shards_sql(SHARD_BYTES),
