@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewait.llm import chat, decontaminate, language, lines, mixing, oracles, packing, sharding
+from tidewait.llm import chat, decontaminate, language, lines, mixing, oracles, packing, quality, sharding
 
 SHARD_BYTES = 1 << 20
 
@@ -43,6 +43,10 @@ def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.robust_outliers(_table(spark, sf_dir, "documents"))
+
+
 def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_perspective_rotation": op2_perspective_rotation,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_pareto_mix": op5_pareto_mix,
+    "op6_mcd_outliers": op6_mcd_outliers,
     "op8_extendible_shards": op8_extendible_shards,
     "op9_packed_tokens": op9_packed_tokens,
     "op10_language_id": op10_language_id,
