@@ -96,3 +96,20 @@ SELECT conv_id, speaker, block, count(*) AS n_turns, count(*) FILTER (own) AS n_
   sha256(coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(body) - 1 AS BIGINT), ',' ORDER BY turn, role, text) FILTER (own), '')) AS mask_sha256
 FROM placed GROUP BY conv_id, speaker, block
 """
+
+# All pairs that share a shingle, by their exact counts; components by repeated minima.
+JACCARD = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, hash(unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE [array_to_string(list_slice(ws, i, i + 4), ' ') FOR i IN range(1, len(ws) - 3)] END))) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+often AS (SELECT s.* FROM s JOIN (SELECT g FROM s GROUP BY g HAVING count(*) > 1) USING (g)),
+able AS (SELECT doc_id FROM often JOIN n USING (doc_id) GROUP BY doc_id, n HAVING 100 * count(*) >= 80 * n),
+t AS (SELECT often.* FROM often JOIN able USING (doc_id)),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM t x JOIN t y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+half AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)
+"""

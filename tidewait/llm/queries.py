@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewait.llm import chat, decontaminate, language, lines, mixing, oracles, packing, quality, sharding
+from tidewait.llm import chat, decontaminate, jaccard, language, lines, mixing, oracles, packing, quality, sharding
 
 SHARD_BYTES = 1 << 20
 
@@ -30,6 +30,10 @@ def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -68,6 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_perspective_rotation": op2_perspective_rotation,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_pareto_mix": op5_pareto_mix,
     "op6_mcd_outliers": op6_mcd_outliers,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_line_dedup": oracles.LINES,
     "op2_perspective_rotation": oracles.CHAT,
+    "op3_jaccard_join": oracles.JACCARD,
     "op4_benchmark_decontamination": oracles.CONTAMINATION,
     "op5_pareto_mix": oracles.MIX,
     "op8_extendible_shards": oracles.shards_sql(SHARD_BYTES),
