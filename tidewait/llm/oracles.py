@@ -113,3 +113,19 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)
 """
+
+# Every 100-byte string of every text, two hexadecimal digits a byte.
+REPEATS = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, h, length(h) // 2 AS n, CAST(unnest(range((length(h) // 2 + 255) // 256)) AS BIGINT) AS c FROM h),
+d AS (SELECT doc_id, n, c, substr(h, 512 * c + 1, 712) AS h FROM c),
+b AS (SELECT doc_id, n, c, h, CAST(unnest(range(least(256, n - 256 * c))) AS BIGINT) AS i FROM d),
+w AS (SELECT doc_id, 256 * c + i AS p, substr(h, 2 * i + 1, 2) AS x, CASE WHEN 256 * c + i + 100 <= n THEN hash(substr(h, 2 * i + 1, 200)) END AS s FROM b),
+f AS (SELECT doc_id, p, x, CASE WHEN s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 THEN p END AS q FROM w),
+g AS (SELECT doc_id, p, x, max(q) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM f),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM g),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, coalesce(string_agg(x, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT h.doc_id, CAST(length(h.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM h LEFT JOIN k USING (doc_id)
+"""

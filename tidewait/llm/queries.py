@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewait.llm import chat, decontaminate, jaccard, language, lines, mixing, oracles, packing, quality, sharding
+from tidewait.llm import chat, decontaminate, jaccard, language, lines, mixing, oracles, packing, quality, sharding, suffixes
 
 SHARD_BYTES = 1 << 20
 
@@ -51,6 +51,11 @@ def op6_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.robust_outliers(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.drop_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_pareto_mix": op5_pareto_mix,
     "op6_mcd_outliers": op6_mcd_outliers,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_extendible_shards": op8_extendible_shards,
     "op9_packed_tokens": op9_packed_tokens,
     "op10_language_id": op10_language_id,
@@ -87,5 +93,6 @@ ORACLES: dict[str, str] = {
     "op3_jaccard_join": oracles.JACCARD,
     "op4_benchmark_decontamination": oracles.CONTAMINATION,
     "op5_pareto_mix": oracles.MIX,
+    "op7_suffix_dedup": oracles.REPEATS,
     "op8_extendible_shards": oracles.shards_sql(SHARD_BYTES),
 }
