@@ -49,7 +49,8 @@ def _automata(samples: tuple[tuple[str, str], ...]):
 
     Symbols are the bytes of letters (A-Z lowered) seen in any sample, one for a run of other ASCII, one for
     other bytes above ASCII. A table entry is the next state times the number of symbols; where the automaton
-    has no transition it is the root's, marked FAILED: there a phrase ends and the next begins.
+    has no transition it is the root's, and those are marked FAILED: there a phrase begins. A symbol
+    that the sample lacks is a phrase by itself.
     """
     letters = np.zeros(256, np.uint8)
     letters[97:123] = np.arange(FIRST_LETTER, FIRST_LETTER + 26)
@@ -105,7 +106,7 @@ def _table(symbols: list[int], width: int) -> np.ndarray:
     for c, to in after[0].items():
         root[c] = FAILED | np.uint32(to * width)
     table = np.tile(root, (len(after), 1))
-    for state, row in enumerate(after):
+    for state, row in enumerate(after[1:], 1):
         for c, to in row.items():
             table[state, c] = to * width
     return table.ravel()
@@ -126,7 +127,7 @@ def phrase_counts(symbols: np.ndarray, ends: np.ndarray, tables: list[np.ndarray
     steps = [symbols[begin[:k] + p] for p, k in enumerate(active)]
     for which, table in enumerate(tables):
         state = np.zeros(len(owner), np.uint32)
-        failed = np.ones(len(owner), np.uint32)
+        failed = np.zeros(len(owner), np.uint32)
         for p, k in enumerate(active):
             step = table[state[:k] + steps[p]]
             failed[:k] += step >> np.uint32(31)
