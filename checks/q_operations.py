@@ -35,7 +35,7 @@ def _(b: Bound) -> DataFrame:
 
 
 IMPORT_ROWS = """select case when sailing_id%13=0 then '1997-02-30' else cast(r.service_date as string) end as service_date, case when sailing_id%17=0 then 'Q' else origin end as origin,
- s.hhmm as depart_hhmm, outcome, case when sailing_id%3=0 then cast(sailing_id%90 as string) end as peak_queue, cast(null as string) as carryover, case when sailing_id%2=0 then 'sheet' end as source, sailing_id
+ case when sailing_id%29=0 then '5h35' else s.hhmm end as depart_hhmm, outcome, case when sailing_id%3=0 then cast(sailing_id%90 as string) end as peak_queue, cast(null as string) as carryover, case when sailing_id%2=0 then 'sheet' end as source, sailing_id
  from v_records r join v_slots s on s.terminal=r.origin and s.slot=r.slot"""
 
 
@@ -43,7 +43,7 @@ IMPORT_ROWS = """select case when sailing_id%13=0 then '1997-02-30' else cast(r.
 select service_date, origin, depart_hhmm, outcome, case when outcome in ('waited_1','waited_2plus') then true when outcome='boarded' then false end as filled,
  case when reason is null then outcome in ('waited_1','waited_2plus') end as overload, case when reason is null then 'import:'||coalesce(source,'manual') end as method, cast(peak_queue as int) as peak_queue, reason, count(*) as n
 from (select service_date, origin, depart_hhmm, outcome, source, case when r is null then peak_queue end as peak_queue, r as reason from (select *, case when try_cast(service_date as date) is null then 'bad date' when origin not in ('A','B') then 'unknown terminal'
- when outcome not in ('boarded','waited_1','waited_2plus','cancelled') then 'unknown outcome' end as r from ({IMPORT_ROWS}))) x group by all""".replace(
+ when outcome not in ('boarded','waited_1','waited_2plus','cancelled') then 'unknown outcome' when depart_hhmm='5h35' then 'bad time' end as r from ({IMPORT_ROWS}))) x group by all""".replace(
     "case when outcome in ('waited_1','waited_2plus') then true when outcome='boarded' then false end as filled",
     "case when reason is null then case when outcome in ('waited_1','waited_2plus') then true when outcome='boarded' then false end end as filled",
 ).replace("select service_date, origin, depart_hhmm, outcome, case when reason", "select service_date, origin, depart_hhmm, outcome, case when reason", 1))
@@ -89,8 +89,8 @@ shape("o_missing", "select *, row_number() over (partition by terminal, camera o
 
 
 @query("src05_replay_window_missing", """
-select m.terminal, m.camera, captured_at, offered, already_held, capped from o_missing m join (
- select terminal, camera, count(*) as offered, count(*) filter (held) as already_held, greatest(count(*) filter (not held) - 500, 0) as capped from o_offered group by 1,2) t using (terminal, camera) where place<=500""")
+select m.terminal, m.camera, captured_at, place > 500 as deferred, offered, already_held, capped from o_missing m join (
+ select terminal, camera, count(*) as offered, count(*) filter (held) as already_held, greatest(count(*) filter (not held) - 500, 0) as capped from o_offered group by 1,2) t using (terminal, camera)""")
 def _(b: Bound) -> DataFrame:
     rows = b.view("v_readings").withColumn("captured_at", F.date_trunc("second", "captured_at"))
     stamp = "yyyy-MM-dd HH:mm:ss"
@@ -169,7 +169,7 @@ shape("o_uniq", "select route, origin, scheduled, min(service_id) as service_id,
 
 # A board, or a tracker, pasted below each page's own text.
 BOARD_TAIL = """concat(html, case when page_id%9=0 then '' when page_id%9=1 then '<h2>Departures</h2><p>nothing today</p>' else concat('<h2>Departures</h2><p>5:35 am ', case page_id%4 when 0 then 'Departed 5:51 am' when 1 then 'Upcoming' when 2 then 'Cancelled' else concat('Upcoming ', cast(page_id%140 as string), '% available') end,
- '</p><p>7:25 am Upcoming ', cast(page_id%100 as string), '% full</p><p>5:35 am Departed 5:51 am Peak travel. Loading maximum number of vehicles</p><p>Last updated: 9:25 am</p>') end)"""
+ '</p><p>7:25 am Upcoming ', cast(page_id%100 as string), '% full', case when page_id%6=0 then concat(repeat(' &amp; more', 60), ' to the end &#8211; all of it') else '' end, '</p><p>5:35 am Departed 5:51 am Peak travel. Loading maximum number of vehicles</p><p>Last updated: 9:25 am</p>') end)"""
 
 
 def _board_pages(b: Bound) -> tuple[DataFrame, DataFrame]:
@@ -181,7 +181,7 @@ def _board_pages(b: Bound) -> tuple[DataFrame, DataFrame]:
 @query("scl15_board_text_extraction", """
 select page_id, '05:35' as hhmm, case when page_id%4=3 and page_id%140<=100 then page_id%140 end as percent_available, '05:51' as departed_hhmm,
  'Departed 5:51 am Peak travel. Loading maximum number of vehicles' as status_text from {pages} where page_id%9>1 and page_id%50<>3
-union all select page_id, '07:25', 100 - page_id%100, null, 'Upcoming '||cast(page_id%100 as string)||'% full' from {pages} where page_id%9>1 and page_id%50<>3""")
+union all select page_id, '07:25', 100 - page_id%100, null, 'Upcoming '||cast(page_id%100 as string)||'% full'||case when page_id%6=0 then repeat(' & more', 60)||' to the end – all of it' else '' end from {pages} where page_id%9>1 and page_id%50<>3""")
 def _(b: Bound) -> DataFrame:
     page, expected = _board_pages(b)
     rows = pages.board_rows_from_pages(page, expected)
@@ -230,7 +230,7 @@ def _(b: Bound) -> DataFrame:
     docs = b.sql(
         f"select {DOC_ID} as doc_id, case when l_suppkey%2=0 then 'NORTH ' else 'elsewhere' end as preferred, {MARINE} as xml from {{lineitem}}"
     )
-    rows = marine_forecast_rows(tables.spread(docs), b.params)
+    rows = marine_forecast_rows(docs, b.params)
     bad = F.col("error").isNotNull()
     return rows.groupBy(
         "doc_id", "service_date", "kind", "wind", "wind_max_kt", "band",
@@ -253,7 +253,7 @@ select doc_id, service_date, kind, period, condition, pop, temp_high, temp_low,
  union all select {DOC_ID}, d + ahead, 'night', 'Thursday night', 'Rain', null, null, 3, 'Rain.' from o_marine) group by all""")
 def _(b: Bound) -> DataFrame:
     docs = b.sql(f"select {DOC_ID} as doc_id, {SHORE} as xml from {{lineitem}}")
-    rows = shore_forecast_rows(tables.spread(docs))
+    rows = shore_forecast_rows(docs)
     key = ["doc_id", "service_date", "kind", "period", "condition", "pop", "temp_high", "temp_low", "summary"]
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
 

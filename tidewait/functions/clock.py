@@ -47,8 +47,10 @@ def local_hhmm(ts: Column, zone: str) -> Column:
 
 
 def hhmm_minutes(hhmm: Column) -> Column:
+    """Minutes after midnight of an HH:MM text; NULL for text that is no clock of a day."""
     parts = F.split(hhmm, ":")
-    return parts[0].cast("int") * 60 + parts[1].cast("int")
+    hour, minute = (F.try_element_at(parts, F.lit(k)).try_cast("int") for k in (1, 2))
+    return F.when(hour.between(0, 23) & minute.between(0, 59), hour * 60 + minute)
 
 
 def minutes_hhmm(minutes: Column) -> Column:

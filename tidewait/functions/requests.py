@@ -69,7 +69,7 @@ def classify_requests(log: DataFrame) -> DataFrame:
             "visitor_os": first_match(SYSTEMS, agent),
             "device": first_match(DEVICES, agent),
             **{
-                c: F.nullif(F.substring(F.try_parse_url("url", F.lit("QUERY"), F.lit(c)), 1, 200), F.lit(""))
+                c: F.nullif(F.try_parse_url("url", F.lit("QUERY"), F.lit(c)), F.lit(""))
                 for c in CAMPAIGN
             },
         }

@@ -14,9 +14,10 @@ DIRECTIONS = (
 NAMED_SPEEDS = (("hurricane", 64), ("storm", 48), ("gale", 34), ("strong wind", 20), ("light", 10))
 # Warning thresholds in knots.
 WARNING_BANDS = ((48, "storm"), (34, "gale"), (20, "strong"), (0, "light"))
+# How speeds are written, and the fastest that is believed.
 NUMBER = r"\b(\d{1,3})\b"
 SPAN = r"\b(\d{1,3})\s+to\s+(\d{1,3})\b"
-FASTEST = 150
+FASTEST = 150  # knots; larger numbers are no wind speeds
 
 
 def _named(lowered: Column, value) -> Column:
@@ -26,12 +27,12 @@ def _named(lowered: Column, value) -> Column:
     return chain
 
 
-def wind_speed(wind: Column) -> Column:
+def wind_speed(wind: Column, fastest: int = FASTEST) -> Column:
     """Strongest believable number in the sentence, else what its own word stands for."""
     numbers = F.transform(
         F.regexp_extract_all(wind, F.lit(NUMBER), F.lit(1)), lambda n: n.cast("int")
     )
-    strongest = F.array_max(F.filter(numbers, lambda n: n <= FASTEST))
+    strongest = F.array_max(F.filter(numbers, lambda n: n <= fastest))
     return F.coalesce(strongest, _named(F.lower(wind), lambda _, floor: F.lit(floor)))
 
 
@@ -42,7 +43,7 @@ def wind_band(knots: Column) -> Column:
     return chain.otherwise("light")
 
 
-def wind_brief(wind: Column) -> Column:
+def wind_brief(wind: Column, fastest: int = FASTEST) -> Column:
     """The direction and the speed the sentence opens with; NULL when it has neither."""
     lowered = F.lower(wind)
     found = F.array(
@@ -56,13 +57,13 @@ def wind_brief(wind: Column) -> Column:
     )
     direction = F.array_min(F.filter(found, lambda d: d["at"] > 0))["short"]
     numbers = F.filter(
-        F.regexp_extract_all(wind, F.lit(NUMBER), F.lit(1)), lambda n: n.cast("int") <= FASTEST
+        F.regexp_extract_all(wind, F.lit(NUMBER), F.lit(1)), lambda n: n.cast("int") <= fastest
     )
     single = F.try_element_at(numbers, F.lit(1))
     single_at = F.regexp_instr(wind, F.concat(F.lit(r"\b"), single, F.lit(r"\b")))
     low, high = F.regexp_extract(wind, SPAN, 1), F.regexp_extract(wind, SPAN, 2)
     span_at = F.regexp_instr(wind, F.lit(SPAN))
-    spanned = (span_at > 0) & (high.try_cast("int") <= FASTEST) & (single.isNull() | (span_at <= single_at))
+    spanned = (span_at > 0) & (high.try_cast("int") <= fastest) & (single.isNull() | (span_at <= single_at))
     speed = (
         F.when(F.coalesce(spanned, F.lit(False)), F.concat(low, F.lit("–"), high, F.lit(" kt")))
         .when(single.isNotNull(), F.concat(single, F.lit(" kt")))

@@ -85,7 +85,7 @@ def capture_totals(frames: DataFrame, board: DataFrame, readings: DataFrame, ser
         F.when(F.col("board_rate") < 0.95, F.concat(F.lit("board at "), percent("board_rate"))),
         F.when((F.col("board_ok") > 0) & (F.col("board_usable") == 0), F.lit("board names no service")),
         F.when(F.col("board_total") == 0, F.lit("no board readings")),
-        F.when(F.col("month_spend") > params.monthly_budget_usd * 0.9, F.lit("near the budget")),
+        F.when((F.lit(params.monthly_budget_usd) > 0) & (F.col("month_spend") > params.monthly_budget_usd * 0.9), F.lit("near the budget")),
         F.when(
             (F.col("services") > 0) & (F.col("coverage") < 0.90),
             F.concat(F.lit("records for "), percent("coverage")),

@@ -23,10 +23,11 @@ from tidewait.params import DECK_FULLNESS, REPORT_SOURCES, Params
 
 
 def validate_reports(reports: DataFrame, services: DataFrame, terminals: DataFrame,
-                     board_departures: DataFrame, params: Params) -> DataFrame:
+                     board_departures: DataFrame, params: Params, stored: DataFrame | None = None) -> DataFrame:
     """Add `reason` (first refusal, NULL when accepted) and the departure the report keeps.
 
-    Of the reports that pass every other test, a service takes the first fifty by submission.
+    Of the reports that pass every other test, a service takes the first fifty by submission, less
+    those already stored for it.
     """
     known = terminals.select("route", F.col("terminal").alias("origin"), F.lit(True).alias("_terminal"))
     timetable = services.select(*SERVICE_KEY, F.lit(True).alias("_scheduled"))
@@ -70,8 +71,13 @@ def validate_reports(reports: DataFrame, services: DataFrame, terminals: DataFra
         .select(*SERVICE_KEY, "submitted_at", "report_id")
         .withColumn("_place", F.row_number().over(order))
         .filter(F.col("_place") <= params.max_reports_per_service)
-        .select("report_id", F.lit(True).alias("_admitted"))
     )
+    if stored is not None:
+        taken = stored.groupBy(*SERVICE_KEY).agg(F.count(F.lit(1)).alias("_taken"))
+        admitted = admitted.join(taken, SERVICE_KEY, "left").filter(
+            F.col("_place") <= params.max_reports_per_service - F.coalesce("_taken", F.lit(0))
+        )
+    admitted = admitted.select("report_id", F.lit(True).alias("_admitted"))
     return (
         judged.join(admitted, "report_id", "left")
         .withColumn(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -10,11 +12,9 @@ from tidewait.params import Params
 
 
 def cost_micros(input_tokens: Column, output_tokens: Column, params: Params) -> Column:
-    """Cost in millionths of a dollar; whole numbers as long as prices are whole dollars."""
-    return (
-        input_tokens * F.lit(int(params.usd_per_m_input))
-        + output_tokens * F.lit(int(params.usd_per_m_output))
-    ).cast("long")
+    """Cost in millionths of a dollar, rounded; prices are exact decimals, cents and less included."""
+    price_in, price_out = (F.lit(Decimal(str(p))) for p in (params.usd_per_m_input, params.usd_per_m_output))
+    return F.round(input_tokens.cast("long") * price_in + output_tokens.cast("long") * price_out).cast("long")
 
 
 def cost_usd(input_tokens: Column, output_tokens: Column, params: Params) -> Column:
@@ -66,16 +66,19 @@ def within_budget(reads: DataFrame, levels: list[str], order: list[Column], para
     """Rows processed before each first-level period's spend reaches the budget.
 
     The row that reaches it is still processed; the first one after it is not. Groups that
-    start past the budget drop out before any row of theirs is sorted.
+    start past the budget drop out before any row of theirs is sorted. A budget of 0 is no budget:
+    every row is processed.
     """
     budget = int(round(params.monthly_budget_usd * 1e6))
-    offsets = group_offsets(reads, levels, "cost_micros", "_offset").filter(F.col("_offset") < budget)
+    offsets = group_offsets(reads, levels, "cost_micros", "_offset")
+    if budget:
+        offsets = offsets.filter(F.col("_offset") < budget)
     inside = W.partitionBy(*levels).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return (
         reads.join(offsets, levels)
         .withColumn(
             "spent_before", F.col("_offset") + F.coalesce(F.sum("cost_micros").over(inside), F.lit(0))
         )
-        .filter(F.col("spent_before") < budget)
+        .filter(F.col("spent_before") < budget if budget else F.lit(True))
         .drop("_offset")
     )

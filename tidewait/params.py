@@ -86,6 +86,8 @@ class Params:
     # forecasts
     stale_forecast_hours: int = 24
     min_band_days: int = 20
+    # Numbers above this in a wind sentence are no speeds.
+    fastest_wind_kt: int = 150
 
     # reports
     max_departure_drift_hours: int = 3

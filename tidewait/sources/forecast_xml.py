@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewait.functions.clock import local_date
+from tidewait.functions.text import decode_references
 from tidewait.functions.wind import next_weekday, period_date, wind_band, wind_speed
 from tidewait.params import Params
 
@@ -25,6 +26,10 @@ SHORE_SCHEMA = (
     "temperatures:struct<temperature:array<struct<_VALUE:string,_class:string>>>>>>, "
     f"dateTime array<{STAMP}>, _corrupt string"
 )
+# What may stand before a document type: declarations, comments and blanks, however long.
+DOCTYPE = r"(?is)\A\x{FEFF}?(?:\s++|<\?.*?\?>|<!--.*?-->)*+<!DOCTYPE"
+WARNINGS = r"""(?s)<warnings\b(?:[^>"'/]|/(?!>)|"[^"]*"|'[^']*')*+(?:/>|>.*?</warnings>)"""
+SPOKEN = r"""(?s)\b(?:name|type|event|priority)\s*=\s*(?:"[^"]*"|'[^']*')|>[^<]+<"""
 OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 
@@ -46,8 +51,8 @@ def _int(text: Column) -> Column:
 
 
 def _parsed(documents: DataFrame, schema: str) -> DataFrame:
-    """Documents with their parsed tree; a DOCTYPE is refused unread."""
-    refused = F.upper(F.substring("xml", 1, 2048)).contains("<!DOCTYPE")
+    """Documents with their parsed tree; a DOCTYPE, which can only stand before the root, is refused unread."""
+    refused = F.col("xml").rlike(DOCTYPE)
     return documents.withColumn("_refused", refused).withColumn(
         "d", F.when(~refused, F.from_xml(F.col("xml"), schema, OPTIONS))
     )
@@ -62,17 +67,11 @@ def _pick(locations: Column, preferred: Column) -> Column:
 
 
 def warning_text(xml: Column) -> Column:
-    """Everything named or written below the warnings element, distinct, in order."""
-    block = F.regexp_extract(xml, r"(?s)<warnings\b(.*?)</warnings>", 0)
-    pieces = F.regexp_extract_all(
-        block, F.lit(r'(?s)\b(?:name|type|event|priority)="([^"]*)"|>([^<]+)<'), F.lit(0)
-    )
-    words = F.transform(
-        pieces,
-        lambda p: F.trim(
-            F.regexp_replace(F.regexp_replace(p, r'^(?:name|type|event|priority)="|"$|^>|<$', ""), r"\s+", " ")
-        ),
-    )
+    """Everything named or written in and below the warnings element, distinct, in order."""
+    block = F.regexp_replace(F.regexp_extract(xml, WARNINGS, 0), r"(?s)<!--.*?-->|<!\[CDATA\[|\]\]>", "")
+    pieces = F.regexp_extract_all(block, F.lit(SPOKEN), F.lit(0))
+    bare = lambda p: F.regexp_replace(p, r"""(?s)\A(?:\w+\s*=\s*["']|>)|["'<]\z""", "")
+    words = F.transform(pieces, lambda p: F.trim(F.regexp_replace(decode_references(bare(p)), r"\s+", " ")))
     return F.nullif(F.array_join(F.array_distinct(F.filter(words, lambda w: w != "")), " · "), F.lit(""))
 
 
@@ -140,7 +139,7 @@ def marine_forecast_rows(documents: DataFrame, params: Params) -> DataFrame:
         warning_text(F.col("xml")).alias("warning"), "error",
         F.explode_outer(F.when(F.col("error").isNull(), F.col("days"))).alias("day"),
     )
-    knots = wind_speed(F.col("wind"))
+    knots = wind_speed(F.col("wind"), params.fastest_wind_kt)
     return rows.select(
         "doc_id", "issued_at", "area", "location", "day.*", "warning",
         F.when(F.col("error").isNull(), "ok").otherwise("error").alias("fetch_status"), "error",

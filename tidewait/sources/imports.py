@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewait.functions.calendar import with_calendar
 from tidewait.functions.claims import WAITED, axes_from_outcome
-from tidewait.functions.clock import combine_local
+from tidewait.functions.clock import combine_local, hhmm_minutes
 from tidewait.params import Params
 
 # Every column is read as text, so a bad cell is refused by name instead of dropped.
@@ -42,7 +42,8 @@ def import_outcomes(rows: DataFrame, terminals: DataFrame, params: Params) -> tu
         "reason",
         F.when(F.col("_date").isNull(), "bad date")
         .when(F.col("route").isNull(), "unknown terminal")
-        .when(~F.coalesce(F.col("outcome").isin(*IMPORTABLE), F.lit(False)), "unknown outcome"),
+        .when(~F.coalesce(F.col("outcome").isin(*IMPORTABLE), F.lit(False)), "unknown outcome")
+        .when(hhmm_minutes(F.col("depart_hhmm")).isNull(), "bad time"),
     )
     filled, left = axes_from_outcome(F.col("outcome"))
     accepted = with_calendar(

@@ -12,28 +12,37 @@ CAMERA = ["terminal", "camera"]
 def index_moments(indexes: DataFrame, stamp_format: str) -> DataFrame:
     """Distinct timestamps of each camera's index, a JSON array of texts.
 
-    Entries that are no text or no timestamp are left out.
+    Entries that are no text or no timestamp are left out; index_errors names indexes without any.
     """
     entries = F.from_json("payload", "array<string>")
     return (
         indexes.select(*CAMERA, F.explode(entries).alias("entry"))
         .select(*CAMERA, F.try_to_timestamp("entry", F.lit(stamp_format)).alias("captured_at"))
         .filter(F.col("captured_at").isNotNull())
+        .distinct()
     )
 
 
+def index_errors(indexes: DataFrame, stamp_format: str) -> DataFrame:
+    """Indexes refused as a whole, with the reason: no list, or nothing in it that can be read as a time."""
+    entries = F.from_json("payload", "array<string>")
+    stamps = F.filter(F.transform(entries, lambda e: F.try_to_timestamp(e, F.lit(stamp_format))), lambda t: t.isNotNull())
+    reason = F.when(entries.isNull(), "index is no list").when(F.size(stamps) == 0, "index holds no readable time")
+    return indexes.withColumn("error", reason).filter(F.col("error").isNotNull())
+
+
 def replay_missing(offered: DataFrame, frames: DataFrame, limit: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(to_fetch, totals). Only stored good frames are held, so failed ones are retried.
+    """(missing, totals). Only stored good frames are held, so failed ones are retried.
 
-    The newest `limit` missing moments per camera are fetched now; the totals say how many
-    wait for the next sweep.
+    All missing moments are returned; those beyond the newest `limit` of a camera are marked
+    `deferred` to the next sweep, and the totals count them.
     """
     held = frames.filter(F.col("status") == "ok").select(*CAMERA, "captured_at").distinct()
     missing = offered.join(held, [*CAMERA, "captured_at"], "left_anti")
     newest = W.partitionBy(*CAMERA).orderBy(F.col("captured_at").desc())
     fetch = (
         missing.withColumn("place", F.row_number().over(newest))
-        .filter(F.col("place") <= limit)
+        .withColumn("deferred", F.col("place") > limit)
         .drop("place")
     )
     counted = missing.groupBy(*CAMERA).agg(F.count(F.lit(1)).alias("missing"))

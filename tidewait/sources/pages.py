@@ -8,16 +8,14 @@ from pyspark.sql.window import Window as W
 
 from tidewait.functions.claims import DEPARTED_NOTE
 from tidewait.functions.clock import CLOCK_PATTERN, clock_to_24h, first_clock
+from tidewait.functions.text import decode_references
 
-# Wording and limits of a published board.
+# Wording of a published board.
 STATUS_WORD = r"(?i)\b(cancell?ed|departed|upcoming|arrived|delayed)\b"
 PERCENT = r"(\d{1,3})\s*%"
 FULL_WORD = r"(?i)\bfull\b"
 AVAILABLE_WORD = r"(?i)\bavailable|\bspace\b|\bremaining\b"
 FOOTER = r"(?i)Last updated:|Refresh details|Ferry tracking"
-SEGMENT_LIMIT = 400
-NOTE_LIMIT = 200
-RAW_LIMIT = 4000
 TAB_LINE = "Departures"
 
 
@@ -28,9 +26,7 @@ def visible_text(html: Column) -> Column:
         text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
     text = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
     text = F.regexp_replace(text, r"<[^>]+>", "\n")
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return F.regexp_replace(text, r"[ \t ]+", " ")
+    return F.regexp_replace(decode_references(text), r"[ \t\xa0]+", " ")
 
 
 def publishes_departures(text: Column) -> Column:
@@ -70,7 +66,7 @@ def clock_segments(pages: DataFrame, expected: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["t"]), "").alias("full"),
     ).select(
         "page_id", "terminal", "entry", "hhmm",
-        F.split(F.substring("full", 1, SEGMENT_LIMIT), FOOTER, 2)[0].alias("segment"),
+        F.split("full", FOOTER, 2)[0].alias("segment"),
     )
 
 
@@ -94,7 +90,7 @@ def board_rows_from_pages(pages: DataFrame, expected: DataFrame) -> DataFrame:
     )
     clock = [F.regexp_extract(segment, DEPARTED_NOTE, i) for i in (1, 2, 3)]
     departed = F.when(clock[0] != "", clock_to_24h(*clock))
-    note = F.nullif(F.substring(_one_space(segment), 1, NOTE_LIMIT), F.lit(""))
+    note = F.nullif(_one_space(segment), F.lit(""))
     entries = segments.select(
         "page_id", "terminal", "hhmm", "entry",
         F.when(~cancelled, percent).alias("percent"),
@@ -122,7 +118,7 @@ def fetch_status(pages: DataFrame, rows: DataFrame) -> DataFrame:
     )
     return judged.withColumn("fetch_status", status).select(
         "page_id", "terminal", "fetch_status",
-        F.when(F.col("fetch_status") == "unparsed", F.substring("_text", 1, RAW_LIMIT)).alias("raw"),
+        F.when(F.col("fetch_status") == "unparsed", F.col("_text")).alias("raw"),
     )
 
 
@@ -134,7 +130,7 @@ FEED_CLOCK = r"(?i)^(\d{1,2}):(\d{2})\s*([ap])\.?m\.?$"
 
 
 def _plain(cell: Column) -> Column:
-    return _one_space(F.replace(F.regexp_replace(cell, r"<[^>]+>", " "), F.lit("&nbsp;"), F.lit(" ")))
+    return _one_space(F.replace(decode_references(F.regexp_replace(cell, r"<[^>]+>", " ")), F.lit("\xa0"), F.lit(" ")))
 
 
 def _feed_clock(text: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,25 +53,11 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder for written intermediates and stream checkpoints.
-
-    The cluster names it in spark.checkpoint.dir; only an unconfigured local session falls
-    back to a folder of its own.
-    """
+    """Shared folder for written intermediates and stream checkpoints: the one named in
+    spark.checkpoint.dir, or a folder of the warehouse, which all executors reach too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="tidewait-")
-    return named
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{label}-{os.urandom(6).hex()}"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows spread over all cores before costly work on each, where the files gave fewer
-    splits than there are cores; with enough splits nothing moves."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
