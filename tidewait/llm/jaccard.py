@@ -16,8 +16,10 @@ from tidewait.llm.components import components
 
 GRAM = 5
 LEAST, OF = 80, 100  # similarity of 0.8 as a fraction of whole numbers
-FRAGMENT = 1 << 20  # n-grams in a fragment, on average: bounds a task's memory; changes no result
+FRAGMENT = 1 << 21  # n-grams in a fragment, on average: bounds a task's memory; changes no result
 EXPAND = 1 << 22  # pairs or look-ups laid out at a time in a task; changes no result
+FEW = 5  # sets of one n-gram that are paired at once; changes no result
+HUBS = 8  # sets of one n-gram that all others are paired with at once; changes no result
 WITNESS = np.uint32(0xFFFFFFFF)
 _STEPS = np.random.default_rng(5).integers(0, 2**63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -219,7 +221,7 @@ class _Fragment:
         self.owner = np.repeat(place, lengths)
         self.grams = flat.view(np.uint64)
         self.probes = table.column("probes").to_numpy()[order]
-        self.label = table.column(label).to_numpy()[order] if label else None
+        self.label, self.shared = ((table.column(c).to_numpy()[order] for c in (label, "shared")) if label else (None, None))
 
     def shared_entries(self) -> None:
         """Keeps n-grams of several sets, by (n-gram, owner); which of them are look-ups; the group of each."""
@@ -232,6 +234,7 @@ class _Fragment:
         rank = np.empty(len(grams), np.int64)
         starts = np.searchsorted(owner[rarest], np.arange(len(self.sig)))
         rank[rarest] = np.arange(len(grams)) - starts[owner[rarest]]
+        self.score = np.bincount(owner, weights=np.log(often), minlength=len(self.sig)) / np.bincount(owner, minlength=len(self.sig))
         keep = often > 1
         self.entry = owner[keep]
         self.probe = (rank < self.probes[owner])[keep]
@@ -240,8 +243,37 @@ class _Fragment:
         self.group = np.repeat(np.arange(len(self.run)), self.run)
 
     def linkable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Sets are in order of size: a < b means that a is not the larger."""
-        return self.size[a] * OF >= self.size[b] * LEAST
+        """Whether the sizes let a pair link: the intersection has at most what either set shares with any other."""
+        most = np.minimum(self.size[a], self.size[b])
+        if self.shared is not None:
+            most = np.minimum(most, np.minimum(self.shared[a], self.shared[b]))
+        return most * OF >= (self.size[a] + self.size[b] - most) * LEAST
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """n-grams of this fragment that each pair has in common."""
+        groups = len(self.run)
+        order = np.argsort(self.entry, kind="stable")
+        code = self.entry[order] * groups + self.group[order]
+        starts = np.searchsorted(self.entry[order], np.arange(len(self.sig) + 1))
+        width = starts[a + 1] - starts[a]
+        upto = np.cumsum(width)
+        found, k = np.zeros(len(a), np.int64), 0
+        while k < len(a):
+            stop = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + EXPAND, "right")))
+            w = width[k:stop]
+            pair = np.repeat(np.arange(k, stop), w)
+            into = np.arange(len(pair)) - np.repeat(np.cumsum(w) - w, w)
+            wanted = b[pair] * groups + code[starts[a[pair]] + into] % groups
+            at = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
+            found += np.bincount(pair[code[at] == wanted], minlength=len(a))
+            k = stop
+        return found
+
+    def hopeful(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether a pair can link, seen what it has in common here and what its sets share elsewhere with any other."""
+        elsewhere = self.shared - np.bincount(self.entry, minlength=len(self.sig))
+        most = self.common(a, b) + np.minimum(elsewhere[a], elsewhere[b])
+        return most * OF >= (self.size[a] + self.size[b] - most) * LEAST
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> pa.Table:
         code = np.unique(a * len(self.sig) + b)
@@ -255,13 +287,30 @@ _PAIRS = "a long, b long, n_a long, n_b long"
 
 
 def _neighbours(table: pa.Table) -> pa.Table:
-    """Each looked-up n-gram pairs its set with the next one in size that has it: few pairs, most components."""
+    """Each looked-up n-gram pairs its set with the next one in size that has it (with all, if they are few) and with the
+    HUBS whose n-grams are the most common: the original and the least edited of its copies. Few pairs, most components. Rows without b tell how many of a
+    set's n-grams here any other set has."""
     f = _Fragment(table)
     f.shared_entries()
-    at = np.flatnonzero(f.probe[:-1] & (f.group[1:] == f.group[:-1]))
-    a, b = f.entry[at], f.entry[at + 1]
-    ok = f.linkable(a, b)
-    return f.pairs(a[ok], b[ok])
+    shared = pa.array(np.bincount(f.entry, minlength=len(f.sig)))
+    nothing = pa.nulls(len(f.sig), pa.int64())
+    counts = pa.table([pa.array(f.sig), nothing, shared, nothing], ["a", "b", "n_a", "n_b"])
+    if not len(f.entry):
+        return counts
+    steps = []
+    for step in range(1, FEW):  # to the next in size; in groups of FEW sets at most, to all
+        at = np.flatnonzero(f.probe[:-step] & (f.group[step:] == f.group[:-step]) & ((f.run[f.group[:-step]] <= FEW) | (step == 1)))
+        steps.append((f.entry[at], f.entry[at + step]))
+    by_score = f.entry[np.lexsort((f.score[f.entry], f.group))]
+    own = np.flatnonzero(f.probe)
+    group = f.group[own]
+    for k in range(1, HUBS + 1):
+        has = f.run[group] >= k
+        hub = by_score[(f.begin + f.run - k)[group[has]]]
+        steps.append((np.minimum(f.entry[own[has]], hub), np.maximum(f.entry[own[has]], hub)))
+    a, b = (np.concatenate(side) for side in zip(*steps, strict=True))
+    ok = (a != b) & f.linkable(a, b)
+    return pa.concat_tables([f.pairs(a[ok], b[ok]), counts])
 
 
 def _across(table: pa.Table) -> pa.Table:
@@ -299,8 +348,10 @@ def _across(table: pa.Table) -> pa.Table:
         ok = (root[x] != root[y]) & f.probe[low] & f.linkable(a, b)
         codes.append(np.unique(a[ok] * len(f.sig) + b[ok]))
         k = stop
-    code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-    return f.pairs(code // max(1, len(f.sig)), code % max(1, len(f.sig)))
+    code = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+    a, b = code // max(1, len(f.sig)), code % max(1, len(f.sig))
+    ok = f.hopeful(a, b)
+    return f.pairs(a[ok], b[ok])
 
 
 def _overlaps(segments: pa.Table, pairs: pa.Table) -> pa.Table:
@@ -310,12 +361,7 @@ def _overlaps(segments: pa.Table, pairs: pa.Table) -> pa.Table:
         empty = pa.array([], pa.int64())
         return pa.table([empty] * 5, names)
     f = _Fragment(segments)
-    number = np.unique(f.grams, return_inverse=True)[1]
-    values = int(number.max()) + 1
-    order = np.lexsort((number, f.owner))
-    code = f.owner[order] * values + number[order]
-    number = number[order]
-    starts = np.searchsorted(f.owner[order], np.arange(len(f.sig) + 1))
+    f.shared_entries()
     by_sig = np.argsort(f.sig)
     sorted_sig = f.sig[by_sig]
 
@@ -325,25 +371,17 @@ def _overlaps(segments: pa.Table, pairs: pa.Table) -> pa.Table:
         return by_sig[at], sorted_sig[at] == sig
 
     (a, has_a), (b, has_b) = place("a"), place("b")
-    width = np.where(has_a & has_b, starts[a + 1] - starts[a], 0)
-    upto = np.cumsum(width)
-    common, k = np.zeros(len(a), np.int64), 0
-    while k < len(a):
-        stop = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + EXPAND, "right")))
-        w = width[k:stop]
-        pair = np.repeat(np.arange(k, stop), w)
-        into = np.arange(len(pair)) - np.repeat(np.cumsum(w) - w, w)
-        wanted = b[pair] * values + number[starts[a[pair]] + into]
-        at = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
-        common += np.bincount(pair[code[at] == wanted], minlength=len(a))
-        k = stop
+    both = np.flatnonzero(has_a & has_b)
+    common = np.zeros(len(a), np.int64)
+    if len(f.run):
+        common[both] = f.common(a[both], b[both])
     keep = pa.array(np.flatnonzero(common))
     return pa.table([*(pairs.column(c).take(keep) for c in names[:4]), pa.array(common[common > 0])], names)
 
 
 def _links(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """Pairs of similarity LEAST / OF or more: overlaps are counted fragment by fragment and summed per pair."""
-    pairs = written(pairs.distinct(), "jaccard-pairs")
+    pairs = written(pairs.filter("b is not null").distinct(), "jaccard-pairs")
     where = segments.select(F.col("sig").alias("a"), F.col("fragment").alias("meeting"))
     meet = pairs.join(where, "a").select("meeting", "a", "b", "n_a", "n_b").distinct()
     parts = segments.groupBy("fragment").cogroup(meet.groupBy("meeting")).applyInArrow(_overlaps, _PAIRS + ", common long")
@@ -369,7 +407,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one class whatever the order of words behind them; n-grams and classes are compared by 64-bit hashes. Other columns
     are not read. An empty table gives an empty result.
 
-    Plan (vertical partitioning): the n-gram order is cut by hash into fragments of about a million n-grams. First, fragments
+    Plan (vertical partitioning): the n-gram order is cut by hash into fragments of about two million n-grams. First, fragments
     tell how many n-grams of each set any other set has; a set needs 80 % of its own, which few have. Texts of
     one document per remaining class are then cut into fragments. In each, every set looks up its rarest n-grams,
     enough in all fragments together that one look-up must meet any partner. Candidates are verified by counting
@@ -396,10 +434,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.join(chosen.select("k1", "k2"), ["k1", "k2"], "left_semi").select("text")
     segments = written(texts.mapInArrow(_cut(bits), "sig long, n long, fragment long, probes long, grams binary"), "jaccard-segments")
 
-    links = written(_links(segments.groupBy("fragment").applyInArrow(_neighbours, _PAIRS), segments), "jaccard-links")
-    first = written(components(links), "jaccard-roots")
-    rooted = segments.join(first.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    near = written(segments.groupBy("fragment").applyInArrow(_neighbours, _PAIRS), "jaccard-neighbours")
+    links = written(_links(near, segments), "jaccard-links")
+    first = written(components(links), "jaccard-roots").withColumnRenamed("node", "sig")
+    shared = near.filter("b is null").groupBy(F.col("a").alias("sig")).agg(F.sum("n_a").alias("shared"))
+    known = written(shared.join(first, "sig", "left").select("sig", "shared", F.coalesce("root", "sig").alias("root")), "jaccard-known")
+    rooted = segments.join(known, "sig")
     more = _links(rooted.groupBy("fragment").applyInArrow(_across, _PAIRS), segments)
+    more = written(more, "jaccard-links")
     roots = written(components(links.unionByName(more)), "jaccard-roots")
 
     rooted = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
