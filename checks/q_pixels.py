@@ -147,7 +147,9 @@ LINES = [(y, [3.4, 4.3]) for y in range(8)]
 
 
 def _drift(b: Bound) -> DataFrame:
-    return px.calibration_drift(Frames(b).frames, 8, 8, LINES, search=2)
+    lines = F.array(*[F.struct(F.lit(y).alias("row"), F.array(*map(F.lit, xs)).alias("xs")) for y, xs in LINES])
+    camera = b.spark.range(1).select(*one_camera("id"), F.lit(8).alias("width"), F.lit(8).alias("height"), lines.alias("boundaries"))
+    return px.calibration_drift(Frames(b).frames, camera, search=2)
 
 
 @query("pix06_calibration_drift", "select frame_id, drift = 'infinity'::double as unmeasured, round(case when drift < 100 then drift end, 6) as drift from o_drift")

@@ -1,22 +1,20 @@
 """Queue readings from camera pixels.
 
 A frame is (frame_id, terminal, camera, captured_at, pixels array<int>), row-major grey
-values. Everything per frame stays in its own row; frames are only ever shuffled as metadata.
+values. Samples and quotas are chosen on metadata; pixels move once to meet their camera's
+background. Measuring is array arithmetic on Arrow batches, and no plan has a row per pixel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tidewait.functions.clock import local_time
-from tidewait.functions.stats import upper_median
 from tidewait.params import Params
 
 # Thresholds of the two readers.
@@ -26,14 +24,20 @@ RUN_DENSITY, MIN_RUN_ROWS = 0.70, 8
 MIN_VEHICLES = 4.0
 LIGHT_LOW, LIGHT_HIGH = 0.85, 1.20
 MAX_DRIFT = 3.0
-MIN_SAMPLES, MAX_SAMPLES, WINDOW_DAYS = 40, 48, 14
 BRIGHT = 0.90
+OTHER_SIZE = "frame of another size than its reference"
 
 BUCKET = ["terminal", "camera", "hour"]
 
 
-@F.pandas_udf(T.ArrayType(T.ShortType()))
-def _grey(data: pd.Series, channels: pd.Series) -> pd.Series:
+def _rows(lists: pa.Array) -> list[np.ndarray]:
+    """Each value of a list column as an array, nothing copied; null counts as empty."""
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return np.split(lists.flatten().to_numpy(zero_copy_only=False), ends[:-1]) if len(lists) else []
+
+
+@F.arrow_udf(T.ArrayType(T.ShortType()))
+def _grey(data: pa.Array, channels: pa.Array) -> pa.Array:
     """Grey values of decoded image bytes; colour comes blue, green, red."""
 
     def one(raw: bytes, n: int) -> np.ndarray:
@@ -43,7 +47,7 @@ def _grey(data: pd.Series, channels: pd.Series) -> pd.Series:
         b, g, r = flat[:, 0], flat[:, 1], flat[:, 2]
         return ((r * 19595 + g * 38470 + b * 7471 + 0x8000) >> 16).astype(np.int16)
 
-    return pd.Series([one(d, int(n)) for d, n in zip(data, channels, strict=True)])
+    return pa.array([one(d, n) for d, n in zip(data.to_pylist(), channels.to_pylist(), strict=True)], pa.list_(pa.int16()))
 
 
 def luma_frames(images: DataFrame) -> DataFrame:
@@ -86,89 +90,118 @@ def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], limit: int)
     return placed.filter(taken).drop("_place").withColumnRenamed("_all", "offered")
 
 
+def background_offers(frames: DataFrame, now: Column, params: Params) -> DataFrame:
+    """Frames each camera-hour offers for its background, and whether they are enough; metadata only."""
+    recent = frames.filter(
+        F.col("captured_at").between(F.timestamp_add("DAY", F.lit(-params.background_days), now), now)
+    ).withColumn("hour", F.hour(local_time(F.col("captured_at"), params.zone)))
+    return recent.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("offered")).withColumn(
+        "enough", F.col("offered") >= params.min_background_frames
+    )
+
+
 def background_sample(frames: DataFrame, now: Column, params: Params) -> DataFrame:
-    """Which frames make each camera-hour's background; metadata only."""
+    """Which frames make each camera-hour's background; metadata only. Camera-hours that offer too
+    few are left out; background_offers lists them."""
     recent = frames.filter(
-        F.col("captured_at").between(F.timestamp_add("DAY", F.lit(-WINDOW_DAYS), now), now)
+        F.col("captured_at").between(F.timestamp_add("DAY", F.lit(-params.background_days), now), now)
     ).withColumn("hour", F.hour(local_time(F.col("captured_at"), params.zone)))
     return evenly_spaced(
-        recent.select(*BUCKET, "captured_at", "frame_id"), BUCKET, ["captured_at", "frame_id"], MAX_SAMPLES
-    ).filter(F.col("offered") >= MIN_SAMPLES)
+        recent.select(*BUCKET, "captured_at", "frame_id"), BUCKET, ["captured_at", "frame_id"], params.max_background_frames
+    ).filter(F.col("offered") >= params.min_background_frames)
+
+
+def _median(table: pa.Table) -> pa.Table:
+    """The upper median of each pixel over the frames of one camera-hour that have its usual size."""
+    table = table.combine_chunks()
+    frames = _rows(table.column("pixels").combine_chunks())
+    sizes, often = np.unique([len(f) for f in frames], return_counts=True)
+    alike = np.stack([f for f in frames if len(f) == sizes[often.argmax()]])
+    middle = len(alike) // 2
+    value = np.partition(alike, middle, axis=0)[middle].astype(np.int32)
+    return pa.table(
+        [*(table.column(c).slice(0, 1) for c in BUCKET), pa.array([value], pa.list_(pa.int32())), pa.array([len(alike)], pa.int64())],
+        [*BUCKET, "background", "samples"],
+    )
 
 
 def hourly_background(sample: DataFrame, frames: DataFrame) -> DataFrame:
     """Per camera and hour the upper median of each pixel over the sampled frames.
 
-    Pixels are spread out so that one median sees at most the sample's 48 values, and put
-    back together in image order.
+    A task holds the frames of one camera-hour, which the sample bounds.
     """
     picked = sample.select(*BUCKET, "frame_id").join(frames.select("frame_id", "pixels"), "frame_id")
-    pixels = picked.select(*BUCKET, F.posexplode("pixels").alias("pos", "value"))
-    medians = pixels.groupBy(*BUCKET, "pos").agg(
-        upper_median("value").cast("smallint").alias("value"), F.count(F.lit(1)).alias("samples")
-    )
-    return medians.groupBy(*BUCKET).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"].cast("int")
-        ).alias("background"),
-        F.max("samples").alias("samples"),
-    )
+    kinds = ", ".join(f"{c} {picked.schema[c].dataType.simpleString()}" for c in BUCKET)
+    return picked.select(*BUCKET, "pixels").groupBy(*BUCKET).applyInArrow(_median, f"{kinds}, background array<int>, samples long")
 
 
-def bright_level(pixels: Column, positions: Column) -> Column:
-    """The 90th percentile of chosen pixels, the index cut down."""
-    chosen = F.array_sort(F.transform(positions, lambda p: F.element_at(pixels, p + 1)))
-    index = F.floor(F.lit(BRIGHT) * (F.size(chosen) - 1)).cast("int") + 1
-    return F.when(F.size(positions) > 0, F.element_at(chosen, index))
+@F.arrow_udf(T.StructType([T.StructField("seen", T.DoubleType()), T.StructField("ref", T.DoubleType())]))
+def _bright_levels(pixels: pa.Array, background: pa.Array, positions: pa.Array) -> pa.Array:
+    """The 90th percentile of chosen pixels of a frame and its background, the index cut down."""
+    seen, ref = [], []
+    for image, usual, at in zip(_rows(pixels), _rows(background), _rows(positions), strict=True):
+        if not len(at) or len(image) != len(usual) or at.max() >= len(image):
+            seen.append(None)
+            ref.append(None)
+            continue
+        index = int(BRIGHT * (len(at) - 1))
+        seen.append(float(np.partition(image[at], index)[index]))
+        ref.append(float(np.partition(usual[at], index)[index]))
+    return pa.StructArray.from_arrays([pa.array(seen, pa.float64()), pa.array(ref, pa.float64())], ["seen", "ref"])
 
 
 def with_illumination(frames: DataFrame, positions: Column) -> DataFrame:
     """Add light_ratio (frame over background), scale and lit, the gate on the ratio.
 
-    Needs pixels and background; positions are those the light is measured on.
+    Needs pixels and background; positions are those the light is measured on. All three are NULL
+    for a frame of another size than its background: nothing can be measured on it.
     """
-    seen, ref = bright_level(F.col("pixels"), positions), bright_level(F.col("background"), positions)
-    lit = frames.withColumns({"_seen": seen, "_ref": ref})
+    lit = frames.withColumn("_light", _bright_levels("pixels", "background", positions))
+    seen, ref = F.col("_light.seen"), F.col("_light.ref")
     return lit.withColumns(
         {
-            "light_ratio": F.when(F.col("_ref") != 0, F.col("_seen") / F.col("_ref")).otherwise(F.lit(0.0)),
-            "scale": F.when(F.col("_seen") != 0, F.col("_ref") / F.col("_seen")).otherwise(F.lit(1.0)),
+            "light_ratio": F.when(ref != 0, seen / ref).when(ref == 0, F.lit(0.0)),
+            "scale": F.when(seen != 0, ref / seen).when(seen == 0, F.lit(1.0)),
         }
-    ).withColumn("lit", F.col("light_ratio").between(LIGHT_LOW, LIGHT_HIGH)).drop("_seen", "_ref")
+    ).withColumn("lit", F.col("light_ratio").between(LIGHT_LOW, LIGHT_HIGH)).drop("_light")
 
 
-def bound(columns: list[str], body: Callable[[Column], Column]) -> Column:
-    """`body` of a struct of columns, each worked out once per row.
-
-    A column that is itself an expression would otherwise be folded into the inner function
-    and worked out again for every pixel.
-    """
-    return F.transform(F.array(F.struct(*columns)), body)[0]
+def _changed(threshold: int):
+    """Share of each group's positions whose scaled, capped value differs from the background."""
 
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def changed(pixels: pa.Array, background: pa.Array, scale: pa.Array, groups: pa.Array) -> pa.Array:
+        places = groups.flatten()
+        sizes = places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = places.flatten().to_numpy(zero_copy_only=False)
+        counts = groups.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        shares: list[np.ndarray | None] = []
+        group = at = 0
+        for image, usual, factor, n in zip(_rows(pixels), _rows(background), scale.to_pylist(), counts.tolist(), strict=True):
+            size = sizes[group : group + n]
+            here = flat[at : at + int(size.sum())]
+            group, at = group + n, at + len(here)
+            if factor is None or len(image) != len(usual) or (len(here) and here.max() >= len(image)):
+                shares.append(None)
+                continue
+            value = np.minimum(255, np.floor(image[here] * factor).astype(np.int64))
+            hits = np.concatenate([[0], np.cumsum(np.abs(value - usual[here]) > threshold)])
+            ends = np.cumsum(size)
+            shares.append((hits[ends] - hits[ends - size]) / np.maximum(size, 1))
+        return pa.array(shares, pa.list_(pa.float64()))
 
-def changed_share(pixels: Column, background: Column, scale: Column, positions: Column, threshold: int) -> Column:
-    """Share of positions whose scaled, capped value differs from the background."""
+    return changed
 
-    def differs(p: Column) -> Column:
-        value = F.least(F.lit(255), F.floor(F.element_at(pixels, p + 1) * scale).cast("int"))
-        return F.abs(value - F.element_at(background, p + 1)) > threshold
 
-    n = F.size(positions)
-    return F.when(n > 0, F.size(F.filter(positions, differs)) / n).otherwise(F.lit(0.0))
+_LANES_CHANGED, _ROWS_CHANGED = _changed(LANE_DIFF), _changed(ROW_DIFF)
 
 
 def lane_shares(frames: DataFrame) -> DataFrame:
     """Add shares, array<struct<lane, share>>, from lanes array<struct<lane, positions>>."""
-
-    def share(f: Column, lane: Column) -> Column:
-        part = changed_share(f["pixels"], f["background"], f["scale"], lane["positions"], LANE_DIFF)
-        return F.struct(lane["lane"].alias("lane"), part.alias("share"))
-
-    shares = bound(
-        ["pixels", "background", "scale", "lanes"],
-        lambda f: F.transform(f["lanes"], lambda lane: share(f, lane)),
-    )
-    return frames.withColumn("shares", shares)
+    parts = frames.withColumn("_parts", _LANES_CHANGED("pixels", "background", "scale", F.col("lanes.positions")))
+    return parts.withColumn(
+        "shares", F.zip_with("lanes", "_parts", lambda lane, part: F.struct(lane["lane"].alias("lane"), part.alias("share")))
+    ).drop("_parts")
 
 
 def lane_reading(frames: DataFrame) -> DataFrame:
@@ -202,16 +235,10 @@ def lane_reading(frames: DataFrame) -> DataFrame:
 
 def row_shares(frames: DataFrame) -> DataFrame:
     """Add row_shares, array<struct<row, share>>, from rows array<struct<row, positions>>."""
-
-    def share(f: Column, row: Column) -> Column:
-        part = changed_share(f["pixels"], f["background"], f["scale"], row["positions"], ROW_DIFF)
-        return F.struct(row["row"].alias("row"), part.alias("share"))
-
-    shares = bound(
-        ["pixels", "background", "scale", "rows"],
-        lambda f: F.transform(f["rows"], lambda row: share(f, row)),
-    )
-    return frames.withColumn("row_shares", shares)
+    parts = frames.withColumn("_parts", _ROWS_CHANGED("pixels", "background", "scale", F.col("rows.positions")))
+    return parts.withColumn(
+        "row_shares", F.zip_with("rows", "_parts", lambda row, part: F.struct(row["row"].alias("row"), part.alias("share")))
+    ).drop("_parts")
 
 
 def tail_row(shares: Column) -> Column:
@@ -265,59 +292,90 @@ def extent_reading(frames: DataFrame) -> DataFrame:
     )
 
 
-def calibration_drift(frames: DataFrame, width: int, height: int, boundaries: list[tuple[int, list[float]]],
-                      search: int = 6) -> DataFrame:
+def _drift(search: int):
+    @F.arrow_udf(T.DoubleType())
+    def drift(pixels: pa.Array, width: pa.Array, height: pa.Array, boundaries: pa.Array) -> pa.Array:
+        found: list[float | None] = []
+        known: dict[str, tuple[np.ndarray, ...]] = {}
+        for image, w, h, lines in zip(_rows(pixels), width.to_pylist(), height.to_pylist(), boundaries.to_pylist(), strict=True):
+            if len(image) != w * h:
+                found.append(None)
+                continue
+            if (name := repr((w, h, lines))) not in known:
+                kept = [(line["row"], x) for line in lines for x in line["xs"] if 0 <= line["row"] < h]
+                rows, expected = np.array([r for r, _ in kept], int), np.array([x for _, x in kept], float)
+                low = np.trunc(expected).astype(int) - search
+                fits = (low >= 1) & (low + 2 * search + 1 < w)
+                known[name] = rows[fits], expected[fits], low[fits]
+            rows, expected, low = known[name]
+            if not len(rows):
+                found.append(float("inf"))
+                continue
+            strips = image.reshape(h, w)[rows[:, None], low[:, None] + np.arange(2 * search + 1)].astype(float)
+            best = strips.argmax(axis=1)
+            typical = np.partition(strips, strips.shape[1] // 2, axis=1)[:, strips.shape[1] // 2]
+            painted = strips[np.arange(len(rows)), best] - typical >= 8
+            offsets = np.sort(np.abs(low + best - expected)[painted])
+            found.append(float(offsets[len(offsets) // 2]) if len(offsets) >= 8 else float("inf"))
+        return pa.array(found, pa.float64())
+
+    return drift
+
+
+def calibration_drift(frames: DataFrame, geometries: DataFrame, search: int = 6) -> DataFrame:
     """Add drift: the upper median distance of painted lines from where they are expected.
 
-    boundaries are (image row, expected x of every line on it); fewer than eight lines found
-    gives infinity, because nothing was measured.
+    geometries(terminal, camera, width, height, boundaries array<struct<row, xs>>): per camera the image
+    rows and the expected x of every line on them. Fewer than eight lines found gives infinity, because nothing
+    was measured; a frame of another size, or of a camera without geometry, gives NULL.
     """
-    rows = np.array([r for r, xs in boundaries for _ in xs if 0 <= r < height], dtype=int)
-    expected = np.array([x for r, xs in boundaries for x in xs if 0 <= r < height], dtype=float)
-    low = np.trunc(expected).astype(int) - search
-    fits = (low >= 1) & (low + 2 * search + 1 < width)
-    rows, expected, low = rows[fits], expected[fits], low[fits]
-    columns = low[:, None] + np.arange(2 * search + 1)
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for pixels in batch["pixels"]:
-                image = np.asarray(pixels, dtype=float).reshape(height, width)
-                strips = image[rows[:, None], columns] if len(rows) else np.empty((0, 1))
-                best = strips.argmax(axis=1) if len(rows) else np.empty(0, dtype=int)
-                typical = np.sort(strips, axis=1)[:, strips.shape[1] // 2]
-                painted = strips[np.arange(len(rows)), best] - typical >= 8
-                offsets = np.sort(np.abs(low + best - expected)[painted])
-                found.append(float(offsets[len(offsets) // 2]) if len(offsets) >= 8 else float("inf"))
-            yield batch.assign(drift=found)
-
-    schema = T.StructType([*frames.schema.fields, T.StructField("drift", T.DoubleType())])
-    return frames.mapInPandas(measure, schema)
-
-
-def _with_background(pending: DataFrame, backgrounds: DataFrame, params: Params) -> DataFrame:
-    return pending.withColumn(
-        "hour", F.hour(local_time(F.col("captured_at"), params.zone))
-    ).join(backgrounds, BUCKET)
+    known = geometries.select("terminal", "camera", F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("boundaries").alias("_lines"))
+    return (
+        frames.join(known, ["terminal", "camera"], "left")
+        .withColumn("drift", _drift(search)("pixels", F.coalesce("_w", F.lit(-1)), F.coalesce("_h", F.lit(1)), F.coalesce("_lines", F.array())))
+        .drop("_w", "_h", "_lines")
+    )
+
+
+def _ready(pending: DataFrame, backgrounds: DataFrame, calibrations: DataFrame, params: Params, max_reads: int | None) -> DataFrame:
+    """Frames with their background and calibration; of these the oldest max_reads, chosen on metadata."""
+    timed = pending.withColumn("hour", F.hour(local_time(F.col("captured_at"), params.zone)))
+    if max_reads is not None:
+        able = timed.select(*BUCKET, "captured_at", "frame_id").join(backgrounds.select(*BUCKET), BUCKET, "left_semi").join(
+            calibrations.select("terminal", "camera"), ["terminal", "camera"], "left_semi"
+        )
+        timed = timed.join(able.orderBy("captured_at", "frame_id").limit(max_reads).select("frame_id"), "frame_id", "left_semi")
+    return timed.join(backgrounds, BUCKET).join(calibrations, ["terminal", "camera"])
+
+
+def skipped_frames(pending: DataFrame, backgrounds: DataFrame, calibrations: DataFrame, params: Params) -> DataFrame:
+    """Frames that can't be read yet: (frame_id, reason)."""
+    timed = pending.select("terminal", "camera", "frame_id", F.hour(local_time(F.col("captured_at"), params.zone)).alias("hour"))
+    cal = calibrations.select("terminal", "camera", F.lit(True).alias("_cal")).distinct()
+    back = backgrounds.select(*BUCKET, F.lit(True).alias("_back")).distinct()
+    reason = F.when(F.col("_cal").isNull(), "no calibration").when(F.col("_back").isNull(), "no background")
+    return (
+        timed.join(cal, ["terminal", "camera"], "left").join(back, BUCKET, "left")
+        .select("frame_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    )
 
 
 def read_lane_frames(pending: DataFrame, backgrounds: DataFrame, calibrations: DataFrame,
                      params: Params, max_reads: int | None = None) -> DataFrame:
     """Readings of unread frames that have a calibration and their hour's background.
 
-    Frames without either write nothing and use up no quota: the cap, oldest first, is put
-    on after both joins. Bad light or a moved camera gives an unusable row. pending carries
+    Frames without either write nothing and use up no quota (skipped_frames lists them): the cap, oldest
+    first, counts those that have both. Bad light, a moved camera or a frame of another size than its
+    background gives an unusable row. pending carries
     `drift`; calibrations(terminal, camera, lanes, covers_compound, lanes_before_capacity).
     """
-    ready = _with_background(pending, backgrounds, params).join(calibrations, ["terminal", "camera"])
-    if max_reads is not None:
-        ready = ready.orderBy("captured_at", "frame_id").limit(max_reads)
+    ready = _ready(pending, backgrounds, calibrations, params, max_reads)
     everywhere = F.flatten(F.transform("lanes", lambda x: x["positions"]))
     read = lane_reading(lane_shares(with_illumination(ready, everywhere)))
-    steady = F.col("drift") <= MAX_DRIFT
-    sound = F.col("lit") & steady
-    note = F.when(~F.col("lit"), "light differs from the reference").when(
+    sized = F.col("lit").isNotNull() & F.col("drift").isNotNull()
+    steady = F.coalesce(F.col("drift") <= MAX_DRIFT, F.lit(False))
+    sound = F.coalesce(F.col("lit"), F.lit(False)) & steady
+    note = F.when(~sized, OTHER_SIZE).when(~F.col("lit"), "light differs from the reference").when(
         F.col("drift") == float("inf"), "no lane paint found"
     ).when(~steady, "camera may have moved")
     return read.select(
@@ -340,19 +398,17 @@ def read_extent_frames(pending: DataFrame, backgrounds: DataFrame, calibrations:
     calibrations(terminal, camera, rows array<struct<row, positions>>, light_positions,
     far_row, camera_row, horizon, station_scale).
     """
-    ready = _with_background(pending, backgrounds, params).join(calibrations, ["terminal", "camera"])
-    if max_reads is not None:
-        ready = ready.orderBy("captured_at", "frame_id").limit(max_reads)
+    ready = _ready(pending, backgrounds, calibrations, params, max_reads)
     lit = with_illumination(ready, F.col("light_positions"))
     read = extent_reading(row_shares(lit))
-    sound = F.col("lit")
+    sound = F.coalesce(F.col("lit"), F.lit(False))
     return read.select(
         "frame_id", F.lit(params.extent_version).alias("version"),
         (sound & F.col("saturated")).alias("beyond"),
         F.when(sound, F.col("band")).alias("band"),
         F.when(sound, F.col("confidence")).otherwise(F.lit(0.0)).alias("confidence"),
         sound.alias("usable"),
-        F.when(~sound, "light differs from the reference")
+        F.when(F.col("lit").isNull(), OTHER_SIZE).when(~sound, "light differs from the reference")
         .when(F.col("tail").isNull(), "road clear past the camera")
         .when(~F.col("queue"), "too few vehicles to tell")
         .when(F.col("saturated"), "queue runs past the top of frame")

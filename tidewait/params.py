@@ -62,6 +62,10 @@ class Params:
     extent_version: str = "extent"
     min_confidence: float = 0.35
     dark_luma: float = 24.0
+    # Background of a camera-hour: days it looks back, frames it needs, frames it takes evenly spaced.
+    background_days: int = 14
+    min_background_frames: int = 40
+    max_background_frames: int = 48
     essential_offsets: tuple[int, ...] = (-30, -10, 15, 30)
     essential_tolerance_minutes: int = 10
     on_demand_frames: int = 3
