@@ -9,8 +9,8 @@ from checks.bound import Bound, instants, one_route
 from checks.q_evidence import KEY, KEYS, _evidence
 from checks.registry import query
 from checks.views import shape, spark_sql
-from tidewait.functions.clock import add_minutes, combine_local, local_hhmm
-from tidewait.operators import live
+from tidewait.functions.clock import add_minutes, combine_local, local_date, local_hhmm
+from tidewait.operators import ledger, live
 from tidewait.plans.service_record import Evidence, service_records
 from tidewait.sources.tables import fresh_dir
 from tidewait.streaming import feeds
@@ -47,10 +47,15 @@ def _(b: Bound) -> DataFrame:
 @query("str02_departure_detection", """
 select vessel, cast(reported_at as date) as ledger_date, reported_at as moment from (select *, lag(moving) over (partition by vessel, cast(reported_at as date) order by reported_at) as was from (
  select *, case lower(trim(status)) when 'under way' then true when 'stopped' then false else speed_knots>0 end as moving from v_positions) where moving is not null)
-where moving and was=false and reported_at <= (select date_trunc('milliseconds', max(reported_at)) - interval 2 hour from v_positions)""")
+where moving and was=false""")
 def _(b: Bound) -> DataFrame:
     found = _run(b, feeds.departure_detection(_positions(b), "2 hours", b.params))
-    return found.select("vessel", "ledger_date", "moment")
+    rest = feeds.held_back(instants(b.view("v_positions")), "reported_at", "2 hours").withColumns(
+        {"route": one_route(), "ledger_date": local_date(F.col("reported_at"), b.params.zone)}
+    )
+    tail = ledger.transitions(rest, ["route", "vessel", "ledger_date"]).withColumn("moment", F.col("reported_at"))
+    whole = feeds.closed(found, tail, ["route", "vessel", "ledger_date", "moment"])
+    return whole.select("vessel", "ledger_date", "moment")
 
 
 shape("o_silent", """
@@ -98,7 +103,9 @@ def _(b: Bound) -> DataFrame:
 
 
 @query("str06_tumbling_buckets", """
-select date_trunc('hour', captured_at) as hour, terminal, camera, count(*) as frames from v_readings group by 1,2,3
-having date_trunc('hour', any_value(captured_at)) + interval 1 hour <= (select date_trunc('milliseconds', max(captured_at)) - interval 2 hour from v_readings)""")
+select date_trunc('hour', captured_at) as hour, terminal, camera, count(*) as frames from v_readings group by 1,2,3""")
 def _(b: Bound) -> DataFrame:
-    return _run(b, feeds.hourly_counts(_stream(b, "v_readings"), "2 hours"))
+    done = _run(b, feeds.hourly_counts(_stream(b, "v_readings"), "2 hours"))
+    rest = feeds.held_back(instants(b.view("v_readings")), "captured_at", "2 hours")
+    tail = rest.groupBy(F.date_trunc("hour", "captured_at").alias("hour"), "terminal", "camera").agg(F.count(F.lit(1)).alias("frames"))
+    return feeds.closed(done, tail, ["hour", "terminal", "camera"])

@@ -61,13 +61,11 @@ def ledger_days(positions: DataFrame, terminals: DataFrame, params: Params,
     dated = timed.join(ends.filter(F.size("ends") == 2), "route").withColumn(
         "ledger_date", local_date(F.col("reported_at"), params.zone)
     )
-    day = W.partitionBy(*DAY)
-    return dated.withColumns(
-        {
-            "observed_at": F.max("reported_at").over(day),
-            "alone": F.coalesce(F.min("vessel").over(day) == F.max("vessel").over(day), F.lit(True)),
-        }
+    facts = dated.groupBy(*DAY).agg(
+        F.max("reported_at").alias("observed_at"),
+        F.coalesce(F.min("vessel") == F.max("vessel"), F.lit(True)).alias("alone"),
     )
+    return dated.join(facts, DAY)
 
 
 def transitions(positions: DataFrame, keys: list[str]) -> DataFrame:

@@ -114,6 +114,19 @@ def hourly_counts(frames: DataFrame, delay: str) -> DataFrame:
     )
 
 
+def held_back(arrived: DataFrame, at: str, delay: str) -> DataFrame:
+    """The rows of an ended stream from the start of the local day before its last watermark on: all that
+    its windows and days may not have emitted yet."""
+    last = arrived.groupBy().agg((F.max(at) - F.expr(f"interval {delay}")).alias("_last"))
+    return arrived.join(last, F.col(at) >= F.date_trunc("day", F.col("_last") - F.expr("interval 1 day"))).drop("_last")
+
+
+def closed(emitted: DataFrame, tail: DataFrame, keys: list[str]) -> DataFrame:
+    """What a stream emitted and, once its input has ended, what it still held: `tail` is the batch
+    answer over the rows of held_back."""
+    return emitted.unionByName(tail.join(emitted.select(*keys), keys, "left_anti").select(*emitted.columns))
+
+
 def trailing_reaggregation(stream: DataFrame, recompute: Callable[[DataFrame], DataFrame], path: str,
                            checkpoint: str, trailing_days: int = 3) -> StreamingQuery:
     """Recompute and overwrite the dates a batch touches and the days trailing its newest.
