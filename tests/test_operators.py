@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewait.operators import board as brd
-from tidewait.operators import cohort, intervals, ledger, quality, retention, services, spend
+from tidewait.functions.clock import hhmm_minutes
+from tidewait.operators import cohort, intervals, ledger, pixels, quality, reports, retention, services, spend
 from tidewait.operators.reports import report_bounds, report_entries
 from tidewait.params import Params
 
@@ -295,3 +296,55 @@ def test_first_block_wins_and_unknown_terminals_are_dropped(spark, terminals):
     days = spark.createDataFrame([(DAY,)], "service_date date")
     got = services.expand_timetable(days, blocks, terminals, P).orderBy("depart_hhmm").collect()
     assert [(r.depart_hhmm, r.block_no) for r in got] == [("08:30", 1), ("12:30", 1), ("23:50", 2)]
+
+
+def test_clocks_that_are_none_are_null(spark):
+    texts = ["05:35", "5:35", "5h35", "25:00", "12:60", "abc", "", None, "12"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(hhmm_minutes(F.col("t"))).collect()
+    assert [r[0] for r in got] == [335, 335, None, None, None, None, None, None, None]
+
+
+def test_a_budget_of_nothing_is_no_budget_and_prices_keep_their_cents(spark):
+    reads = spark.createDataFrame([(1, 10, 5_000_000), (1, 11, 5_000_000), (1, 12, 5_000_000)], "m int, k int, cost_micros long")
+    kept = lambda usd: spend.within_budget(reads, ["m", "k"], [F.col("k")], Params(monthly_budget_usd=usd)).count()
+    assert (kept(0.0), kept(5.0), kept(6.0)) == (3, 1, 2)
+    cheap = Params(usd_per_m_input=0.8, usd_per_m_output=0.25)
+    cost = reads.select(spend.cost_micros(F.lit(1000), F.lit(10), cheap)).first()[0]
+    assert cost == 803  # 800 and 2.5, halves up
+
+
+def test_stored_reports_use_up_places(spark):
+    base = datetime(2026, 7, 10, 20)
+    sent = spark.createDataFrame(
+        [(k, "r", "S", base.date(), "08:30" if k else "8h30", None, None, True, None, None, "web", base + timedelta(minutes=k)) for k in range(6)],
+        "report_id long, route string, origin string, service_date date, depart_hhmm string, joined_at timestamp, departed_at timestamp, "
+        "boarded boolean, sailings_waited int, deck_fullness string, source string, submitted_at timestamp",
+    )
+    services = sent.filter("report_id = 1").select("route", "origin", "service_date", "depart_hhmm")
+    ends = spark.createDataFrame([("r", "S")], "route string, terminal string")
+    board = spark.createDataFrame([], "route string, terminal string, service_date date, hhmm string, departed_at timestamp")
+    few = Params(zone="UTC", max_reports_per_service=4)
+    stored = sent.filter("report_id in (4, 5)")
+    got = {r.report_id: r.reason for r in reports.validate_reports(sent, services, ends, board, few, stored).collect()}
+    assert got == {0: "not in timetable", 1: None, 2: None, 3: "service is full", 4: "service is full", 5: "service is full"}
+
+
+def test_a_frame_of_another_size_is_refused_alone(spark):
+    still = [(k, "S", "c", datetime(2026, 7, 1, 10, 0, k), [100 + k % 3] * 64) for k in range(45)]
+    odd = [(90, "S", "c", datetime(2026, 7, 1, 10, 1), [100] * 60), (91, "S", "c", datetime(2026, 7, 1, 10, 1), [101] * 64), (92, "S", "d", datetime(2026, 7, 1, 10, 1), [101] * 64)]
+    frames = spark.createDataFrame(still + odd, "frame_id long, terminal string, camera string, captured_at timestamp, pixels array<int>")
+    here = Params(zone="UTC")
+    back = pixels.hourly_background(pixels.background_sample(frames, F.lit(datetime(2026, 7, 2)), here), frames)
+    assert back.first().background == [101] * 64 and back.count() == 1
+    lanes = F.array(F.struct(F.lit(1).alias("lane"), F.sequence(F.lit(0), F.lit(63)).alias("positions")))
+    camera = spark.range(1).select(F.lit("S").alias("terminal"), F.lit("c").alias("camera"))
+    cal = camera.select("*", lanes.alias("lanes"), F.lit(True).alias("covers_compound"), F.lit(False).alias("lanes_before_capacity"))
+    pending = frames.filter("frame_id >= 90").withColumn("drift", F.lit(0.0))
+    got = {r.frame_id: (r.usable, r.notes) for r in pixels.read_lane_frames(pending, back, cal, here).collect()}
+    assert got == {90: (False, pixels.OTHER_SIZE), 91: (True, None)}
+    assert [r.frame_id for r in pixels.read_lane_frames(pending, back, cal, here, max_reads=1).collect()] == [90]
+    assert [tuple(r) for r in pixels.skipped_frames(pending, back, cal, here).collect()] == [(92, "no calibration")]
+    lines = F.array(*[F.struct(F.lit(y).alias("row"), F.array(F.lit(3.4)).alias("xs")) for y in range(8)])
+    geometry = camera.select("*", F.lit(8).alias("width"), F.lit(8).alias("height"), lines.alias("boundaries"))
+    drift = {r.frame_id: r.drift for r in pixels.calibration_drift(pending.drop("drift"), geometry, 2).collect()}
+    assert drift == {90: None, 91: float("inf"), 92: None}

@@ -11,6 +11,8 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidewait.functions.requests import classify_requests
+from tidewait.functions.text import decode_references
 from tidewait.operators import ledger, pixels
 from tidewait.params import Params
 from tidewait.sources import forecast_xml, frames, imports, listings, pages, sinks, timetable
@@ -115,7 +117,8 @@ def test_a_failed_frame_is_fetched_again_and_the_cap_keeps_the_newest(spark):
     offered = spark.createDataFrame([("S", "road", t0 + timedelta(minutes=15 * i)) for i in range(10)], "terminal string, camera string, captured_at timestamp")
     held = offered.withColumn("status", F.when(F.minute("captured_at") == 0, "ok").otherwise("error"))
     fetch, totals = listings.replay_missing(offered, held, limit=3)
-    assert sorted((r.captured_at - t0).seconds // 900 for r in fetch.collect()) == [6, 7, 9]
+    assert sorted((r.captured_at - t0).seconds // 900 for r in fetch.collect() if not r.deferred) == [6, 7, 9]
+    assert sorted((r.captured_at - t0).seconds // 900 for r in fetch.collect() if r.deferred) == [1, 2, 3, 5]
     assert tuple(totals.select("offered", "already_held", "capped").first()) == (10, 3, 4)
 
 
@@ -196,6 +199,59 @@ def test_streamed_departures_match_the_batch_whatever_the_order(spark):
     assert got == want and len(want) > 5
 
 
+@pytest.mark.parametrize(
+    ("xml", "want"),
+    [
+        ('<a><warnings name="Gale warning"/></a>', "Gale warning"),
+        ("<a><warnings><event name='Gale warning'/></warnings></a>", "Gale warning"),
+        ('<a><warnings><event name="Wind &gt; 34 &amp; rising"/></warnings></a>', "Wind > 34 & rising"),
+        ('<a><warnings>\n <event type="x" priority="urgent"> In  effect </event><!-- no <b>note</b> --></warnings><wind>y</wind></a>', "x · urgent · In effect"),
+        ("<a><warnings><![CDATA[Storm]]></warnings></a>", "Storm"), ("<a><warnings/></a>", None), ("<a><warnings></warnings></a>", None), ("<a/>", None),
+    ],
+)
+def test_a_warning_is_never_read_as_empty(spark, xml, want):
+    assert spark.createDataFrame([(xml,)], "xml string").select(forecast_xml.warning_text(F.col("xml"))).first()[0] == want
+
+
+def test_a_doctype_is_refused_wherever_the_prolog_has_it(spark):
+    long = "<!-- " + "x" * 5000 + " -->"
+    texts = [f'<?xml version="1.0"?>{long}<!DOCTYPE a []><a/>', f"{long}<a>{'y' * 3000}&lt;!DOCTYPE</a>", "<a><![CDATA[<!DOCTYPE x>]]></a>"]
+    got = spark.createDataFrame([(t,) for t in texts], "xml string").select(F.col("xml").rlike(forecast_xml.DOCTYPE)).collect()
+    assert [r[0] for r in got] == [True, False, False]
+
+
+def test_references_are_decoded_once(spark):
+    cases = {"a &amp;lt; b": "a &lt; b", "&eacute;&#233;&#xE9;": "ééé", "&nosuch; &#0; &": "&nosuch; &#0; &", "&apos;&quot;": "'\"", "&#128674;": "\U0001f6a2", "plain": "plain"}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select(decode_references(F.col("t"))).collect()
+    assert [r[0] for r in got] == list(cases.values())
+
+
+def test_long_texts_are_kept_whole(spark):
+    note = " ".join(["Loading maximum number of vehicles"] * 200)
+    page = spark.createDataFrame([("p", "S", board_page(f"<p>7:25 am Departed 7:31 am {note} end</p>"))], "page_id string, terminal string, html string")
+    times = spark.createDataFrame([("S", "07:25")], "terminal string, depart_hhmm string")
+    rows = pages.board_rows_from_pages(page, times)
+    assert rows.first().status_text.endswith("vehicles end") and len(rows.first().status_text) > 5000
+    odd = spark.createDataFrame([("q", "S", "<p>Departures</p>" + "z" * 9000)], "page_id string, terminal string, html string")
+    assert len(pages.fetch_status(odd, rows).first().raw) > 9000
+    log = spark.createDataFrame([("https://h/x?utm_term=" + "t" * 700, "Firefox/121.0")], "url string, agent string")
+    assert len(classify_requests(log).first().utm_term) == 700
+
+
+def test_an_index_that_is_no_list_is_named(spark):
+    index = spark.createDataFrame([("S", "a", '{"x": 1}'), ("S", "b", '["junk"]'), ("S", "c", '["2026-07-01 00:00:00", "2026-07-01 00:00:00"]')], "terminal string, camera string, payload string")
+    assert {r.camera: r.error for r in listings.index_errors(index, "yyyy-MM-dd HH:mm:ss").collect()} == {"a": "index is no list", "b": "index holds no readable time"}
+    assert listings.index_moments(index, "yyyy-MM-dd HH:mm:ss").count() == 1
+
+
+def test_a_closed_stream_gives_the_whole_answer(spark):
+    rows = spark.createDataFrame([("S", "c", datetime(2026, 7, 10) + timedelta(minutes=7 * k)) for k in range(400)], "terminal string, camera string, captured_at timestamp")
+    whole = rows.groupBy(F.date_trunc("hour", "captured_at").alias("hour"), "terminal", "camera").agg(F.count("*").alias("frames"))
+    emitted = whole.filter("hour < '2026-07-11 20:00:00'")
+    tail = feeds.held_back(rows, "captured_at", "2 hours").groupBy(F.date_trunc("hour", "captured_at").alias("hour"), "terminal", "camera").agg(F.count("*").alias("frames"))
+    assert sorted(map(tuple, feeds.closed(emitted, tail, ["hour", "terminal", "camera"]).collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_every_check_names_a_query():
     import __spark_entry__ as entry
 
