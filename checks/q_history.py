@@ -108,9 +108,12 @@ def _(b: Bound) -> DataFrame:
 
 @query("qry05_samples", f"""
 select {KEYS}, place, service_id as sample_id, m_date as sample_date, m_hhmm as sample_hhmm, outcome, ef as filled, el as left_behind, left_full,
- strftime(filled_at,'%H:%M') as filled_at_local, gap as fill_minutes_before, coalesce(kind,'unknown') as evidence from o_dist_listed""")
+ strftime(filled_at,'%H:%M') as filled_at_local, gap as fill_minutes_before, coalesce(kind,'unknown') as evidence, r.day_type as sample_day_type, r.season as sample_season, [cast(m_date as varchar)[6:7]] as tags
+from o_dist_listed left join (select service_id, day_type, season from o_records) r using (service_id)""")
 def _(b: Bound) -> DataFrame:
-    return cohort.samples(_targets(b), b.records, b.params)
+    tags = b.records.select("service_date", F.date_format("service_date", "MM").alias("tag"))
+    keep = [*KEY, "place", "sample_id", "sample_date", "sample_hhmm", "outcome", "filled", "left_behind", "left_full", "filled_at_local", "fill_minutes_before", "evidence", "sample_day_type", "sample_season", "tags"]
+    return cohort.samples(_targets(b), b.records, b.params, tags).select(*keep)
 
 
 shape("o_dayboard", """

@@ -314,14 +314,22 @@ def day_board(targets: DataFrame, records: DataFrame, params: Params) -> DataFra
     return per_target(seen.drop("matches"))
 
 
-def samples(targets: DataFrame, records: DataFrame, params: Params) -> DataFrame:
-    """The dates an answer rests on, one row per listed match."""
+# What a sample shows of its record besides the outcome.
+SAMPLE_DETAILS = (
+    "day_type", "season", "peak_queue", "queue_at_departure", "carryover", "confidence", "queue_truncated",
+    "peak_band", "queue_started_at", "cleared_at",
+)
+
+
+def samples(targets: DataFrame, records: DataFrame, params: Params, tags: DataFrame | None = None) -> DataFrame:
+    """The dates an answer rests on, one row per listed match, with the record's details under
+    `sample_` names and, given tags(service_date, tag), the sorted tags of its date."""
     answers = per_target(walk_rungs(targets, records, params))
     listed = answers.select(
         *SERVICE_KEY, F.posexplode("matches").alias("place", "m")
     )
     filled, left = effective_axes(F.col("m.filled"), F.col("m.left_behind"), F.col("m.outcome"))
-    return listed.select(
+    shown = listed.select(
         *SERVICE_KEY, (F.col("place") + 1).alias("place"),
         F.col("m.service_id").alias("sample_id"),
         F.col("m.service_date").alias("sample_date"),
@@ -333,6 +341,13 @@ def samples(targets: DataFrame, records: DataFrame, params: Params) -> DataFrame
         minutes_clamped(F.col("m.scheduled"), F.col("m.filled_at")).alias("fill_minutes_before"),
         evidence_of(F.array(evidence_kind(F.col("m.method")))).alias("evidence"),
     )
+    known = [c for c in SAMPLE_DETAILS if c in records.columns]
+    details = records.select(F.col("service_id").alias("sample_id"), *[F.col(c).alias(f"sample_{c}") for c in known])
+    shown = shown.join(details, "sample_id", "left")
+    if tags is not None:
+        dated = tags.groupBy(F.col("service_date").alias("sample_date")).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+        shown = shown.join(dated, "sample_date", "left")
+    return shown
 
 
 def collection_status(targets: DataFrame, records: DataFrame, reports: DataFrame,
@@ -380,4 +395,5 @@ def collection_status(targets: DataFrame, records: DataFrame, reports: DataFrame
         minutes_floor(F.col("actual"), F.col("scheduled")).alias("minutes_late"),
         local_hhmm(F.col("filled_at"), params.zone).alias("filled_at_local"),
         evidence_of(F.array(evidence_kind(F.col("method")))).alias("evidence"),
+        *[c for c in ("peak_queue",) if c in records.columns],
     )

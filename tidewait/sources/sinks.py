@@ -102,9 +102,10 @@ def insert_or_replace(target: DataFrame, batch: DataFrame, key: list[str]) -> Da
 
 
 def overwrite_dates(df: DataFrame, path: str, partition: str = "service_date") -> None:
-    """Replace only the partitions present in df, all or none of each."""
+    """Replace only the partitions present in df, all or none of each. A crowded partition is written by
+    several tasks, each bounded in size."""
     (
-        df.repartition(partition)
+        df.hint("rebalance", partition)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
