@@ -26,16 +26,20 @@ shape("o_partner", "select * from (values ('weekday','friday'),('friday','weekda
 
 
 def ladder(prefix: str, targets: str, records: str) -> None:
+    # A record's place in the order of the matches: one number is compared instead of three columns.
+    shape(f"o_{prefix}_ranked", f"select *, row_number() over (order by service_date, scheduled, service_id) as rk from {records}")
+    # Targets of one slot differ only in the date they leave out, so each slot keeps its newest six dates of each rung.
+    slot = "route, origin, day_type, season, long_weekend, minutes"
     shape(f"o_{prefix}_hits", f"""
-select t.{KEYS.replace(', ', ', t.')}, greatest(
+select * from (select {', '.join('t.' + c for c in slot.split(', '))}, greatest(
   case when c.day_type=t.day_type then 0 else 5 end, case when c.long_weekend=t.long_weekend then 0 else 4 end,
-  case when abs(c.minutes-t.minutes)<=15 then 0 else 3 end, case when c.season=t.season then 0 else 2 end, 1) as rung,
- {{{{'d': c.service_date, 's': c.scheduled, 'id': c.service_id}}}} as m
-from {targets} t join o_partner p on p.day_type=t.day_type join {records} c on c.route=t.route and c.origin=t.origin and c.day_type in (t.day_type, p.partner)
- and abs(c.minutes-t.minutes)<=60 and c.service_date<>t.service_date and c.outcome<>'unknown'""".replace("{{", "{").replace("}}", "}"))
+  case when abs(c.minutes-t.minutes)<=15 then 0 else 3 end, case when c.season=t.season then 0 else 2 end, 1) as rung, c.service_date as d, max(c.rk, 5) as best
+from (select distinct {slot} from {targets}) t join o_partner p on p.day_type=t.day_type join o_{prefix}_ranked c on c.route=t.route and c.origin=t.origin
+ and c.day_type in (t.day_type, p.partner) and abs(c.minutes-t.minutes)<=60 and c.outcome<>'unknown' group by all)
+qualify row_number() over (partition by {slot}, rung order by d desc) <= 6""")
     shape(f"o_{prefix}_tops", f"""
-select {KEYS}, r, list_slice(list_reverse_sort(flatten(list(best))), 1, 5) as tops from (select {KEYS}, rung, max(m, 5) as best from o_{prefix}_hits group by all)
- join (select unnest([1,2,3,4,5]) as r) on rung<=r group by {KEYS}, r""")
+select {KEYS}, r, list_slice(list_reverse_sort(flatten(list(best))), 1, 5) as tops from {targets} t join o_{prefix}_hits h using ({slot})
+ join (select unnest([1,2,3,4,5]) as r) on rung<=r where d<>service_date group by {KEYS}, r""")
     shape(f"o_{prefix}_used", f"""
 select t.*, coalesce(u.r, 5) as rung, coalesce(x.tops, []) as tops from {targets} t
 left join (select {KEYS}, min(r) as r from o_{prefix}_tops where len(tops)>=5 group by all) u using ({KEYS})
@@ -46,7 +50,7 @@ select u.*, c.service_id, c.scheduled as m_scheduled, c.service_date as m_date,
  case when c.filled is null and c.left_behind is null then case when outcome in ('waited_1','waited_2plus') then true when outcome='boarded' then false end else c.left_behind end as el,
  case when c.filled_at is not null then cast(greatest(floor(epoch(c.scheduled-c.filled_at)/60),0) as int) end as gap,
  case when method like 'frames%' then 'frames' when method like 'report%' then 'report' when method like 'import%' then 'import' when method like 'deck_space%' then 'deck_space' end as kind
-from (select {KEYS}, rung, unnest(tops).id as sid, generate_subscripts(tops,1) as place from o_{prefix}_used) u join {records} c on c.service_id=u.sid""")
+from (select {KEYS}, rung, unnest(tops) as sid, generate_subscripts(tops,1) as place from o_{prefix}_used) u join o_{prefix}_ranked c on c.rk=u.sid""")
     shape(f"o_{prefix}_tally", f"""
 select {KEYS}, count(*) as n, count(*) filter (outcome='boarded') as n_boarded, count(*) filter (outcome='filled') as n_filled, count(*) filter (outcome='waited_1') as n_waited_1,
  count(*) filter (outcome='waited_2plus') as n_waited_2plus, count(*) filter (outcome='cancelled') as n_cancelled,
