@@ -100,8 +100,9 @@ FROM placed GROUP BY conv_id, speaker, block
 # All pairs that share a shingle, by their exact counts; components by repeated minima.
 JACCARD = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
-s AS (SELECT doc_id, hash(unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-  ELSE [array_to_string(list_slice(ws, i, i + 4), ' ') FOR i IN range(1, len(ws) - 3)] END))) AS g FROM w),
+u AS (SELECT doc_id, len(ws) AS k, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+v AS (SELECT doc_id, k, i, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS g FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, hash(g) AS g FROM v WHERE i <= greatest(k - 4, 1)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 often AS (SELECT s.* FROM s JOIN (SELECT g FROM s GROUP BY g HAVING count(*) > 1) USING (g)),
 able AS (SELECT doc_id FROM often JOIN n USING (doc_id) GROUP BY doc_id, n HAVING 100 * count(*) >= 80 * n),
