@@ -136,7 +136,7 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at[1:] - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of whole rows of at most so many text bytes (one row at least)."""
     for batch in batches:
         _, ends = string_bytes(batch.column(text))

@@ -17,9 +17,12 @@ from tidewait.llm.components import components
 GRAM = 5
 LEAST, OF = 80, 100  # similarity of 0.8 as a fraction of whole numbers
 FRAGMENT = 1 << 21  # n-grams in a fragment, on average: bounds a task's memory; changes no result
-EXPAND = 1 << 22  # pairs or look-ups laid out at a time in a task; changes no result
+EXPAND = 1 << 20  # pairs or look-ups laid out at a time in a task; changes no result
 FEW = 5  # sets of one n-gram that are paired at once; changes no result
-HUBS = 8  # sets of one n-gram that all others are paired with at once; changes no result
+HUBS = 4  # sets of one n-gram that all others are paired with at once; changes no result
+SPREAD = 4  # of so many fragments one gives the first round's pair; changes no result
+PIECE = 4 << 20  # bytes of text a task works on at a time; changes no result
+SMALL = 1 << 20  # documents left whose keys (16 MB) go to the texts; more of them, and the texts are shuffled
 WITNESS = np.uint32(0xFFFFFFFF)
 _STEPS = np.random.default_rng(5).integers(0, 2**63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -56,7 +59,7 @@ def _signature(grams: np.ndarray) -> int | None:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", PIECE):
         sets = gram_sets(*string_bytes(batch.column("text")))
         yield pa.record_batch(
             [
@@ -67,6 +70,15 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _packed(values: np.ndarray, width: int) -> bytes:
+    """Numbers as byte planes, lowest first, which the shuffle's compression can shorten."""
+    return values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(f"<u{width}").ravel().astype(np.uint32)
+
+
 # -- First cut: which sets share enough n-grams with any other set at all --------------------------------------
 
 
@@ -80,7 +92,7 @@ def _scattered(bits: int):
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for number, batch in enumerate(pieces(batches, "text")):
+        for number, batch in enumerate(pieces(batches, "text", PIECE)):
             sets: dict[int, np.ndarray] = {}
             for grams in gram_sets(*string_bytes(batch.column("text"))):
                 if len(grams):
@@ -101,13 +113,16 @@ def _scattered(bits: int):
             fragment = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
             keys = (grams >> np.uint64(32 - bits)).astype(np.uint32)
             cuts = np.flatnonzero(np.diff(fragment, prepend=-1))
-            ends = np.append(cuts[1:], len(fragment)) * 4
+            stops = np.append(cuts[1:], len(fragment))
+            width = 2 if len(sizes) < 0xFFFF else 4
+            gaps = [_packed(np.diff(keys[a:b], prepend=np.uint32(0)), 4) for a, b in zip(cuts, stops, strict=True)]
+            sent = [_packed(which[a:b], width) for a, b in zip(cuts, stops, strict=True)]
             meta = np.concatenate([np.fromiter(sets, np.int64, len(sets)), sizes, local.astype(np.int64)])
             rows = len(cuts)
             yield pa.record_batch(
                 [
                     pa.array(fragment[cuts]), pa.array(np.full(rows, task, np.int32)), pa.array(np.full(rows, number, np.int32)),
-                    pa.array(np.full(rows, len(sizes), np.int32)), binary_array(keys, ends), binary_array(which, ends),
+                    pa.array(np.full(rows, len(sizes), np.int32)), pa.array(gaps, pa.binary()), pa.array(sent, pa.binary()),
                 ],
                 _SCATTERED,
             )
@@ -130,11 +145,15 @@ def _shared(table: pa.Table) -> pa.Table:
     table = table.combine_chunks()
     if table.column("fragment")[0].as_py() < 0:
         return pa.table([table.column("task"), table.column("piece"), pa.array([True] * len(table)), table.column("keys")], _COUNTED)
-    flat, ends = string_bytes(table.column("keys").combine_chunks())
-    keys = flat.view(np.uint32)
-    which = string_bytes(table.column("which").combine_chunks())[0].view(np.uint32)
     sets = table.column("sets").to_numpy().astype(np.int64)
-    base = np.repeat(np.cumsum(sets) - sets, np.diff(ends, prepend=0) // 4)
+    keys, which, sizes = [], [], []
+    for gaps, sent, n in zip(table.column("keys").to_pylist(), table.column("which").to_pylist(), sets.tolist(), strict=True):
+        keys.append(np.cumsum(_unpacked(gaps, 4), dtype=np.uint32))
+        which.append(_unpacked(sent, 2 if n < 0xFFFF else 4))
+        which[-1][which[-1] == (0xFFFF if n < 0xFFFF else 0xFFFFFFFF)] = WITNESS
+        sizes.append(len(keys[-1]))
+    keys, which = np.concatenate(keys), np.concatenate(which)
+    base = np.repeat(np.cumsum(sets) - sets, sizes)
     order = np.argsort(keys, kind="stable")
     keys, which, base = keys[order], which[order], base[order]
     begin = np.flatnonzero(np.diff(keys.astype(np.int64), prepend=-1))
@@ -172,7 +191,7 @@ def _cut(bits: int):
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             sets = {}
             for grams in gram_sets(*string_bytes(batch.column("text"))):
                 if len(grams):
@@ -208,7 +227,7 @@ def _cut(bits: int):
 class _Fragment:
     """The sets of one fragment as flat arrays, entries sorted by (n-gram, set size, set)."""
 
-    def __init__(self, table: pa.Table, label: str | None = None):
+    def __init__(self, table: pa.Table, known: pa.Table | None = None):
         sig, first = np.unique(table.column("sig").to_numpy(), return_index=True)
         table = table.take(pa.array(first)).combine_chunks()
         size = table.column("n").to_numpy()
@@ -221,7 +240,11 @@ class _Fragment:
         self.owner = np.repeat(place, lengths)
         self.grams = flat.view(np.uint64)
         self.probes = table.column("probes").to_numpy()[order]
-        self.label, self.shared = ((table.column(c).to_numpy()[order] for c in (label, "shared")) if label else (None, None))
+        self.label = self.shared = None
+        if known is not None:
+            named, row = np.unique(known.column("known").to_numpy(), return_index=True)
+            row = row[np.searchsorted(named, self.sig)]
+            self.label, self.shared = (known.column(c).to_numpy()[row] for c in ("root", "shared"))
 
     def shared_entries(self) -> None:
         """Keeps n-grams of several sets, by (n-gram, owner); which of them are look-ups; the group of each."""
@@ -239,6 +262,7 @@ class _Fragment:
         self.entry = owner[keep]
         self.probe = (rank < self.probes[owner])[keep]
         self.run = run[run > 1]
+        self.grams = self.owner = None  # not needed any more
         self.begin = np.cumsum(self.run) - self.run
         self.group = np.repeat(np.arange(len(self.run)), self.run)
 
@@ -286,15 +310,22 @@ class _Fragment:
 _PAIRS = "a long, b long, n_a long, n_b long"
 
 
-def _neighbours(table: pa.Table) -> pa.Table:
+def _neighbours(fragments: int):
+    """The first round's pairs in one fragment; see _near_pairs."""
+    return lambda table: _near_pairs(table, min(SPREAD, fragments))
+
+
+def _near_pairs(table: pa.Table, spread: int) -> pa.Table:
     """Each looked-up n-gram pairs its set with the next one in size that has it (with all, if they are few) and with the
-    HUBS whose n-grams are the most common: the original and the least edited of its copies. Few pairs, most components. Rows without b tell how many of a
-    set's n-grams here any other set has."""
+    HUBS whose n-grams are the most common: the original and the least edited of its copies. Few pairs, most components;
+    each pair is taken from one in `spread` fragments, since copies meet in nearly all. One row without a pair
+    tells how many of each set's n-grams here any other set has."""
     f = _Fragment(table)
     f.shared_entries()
-    shared = pa.array(np.bincount(f.entry, minlength=len(f.sig)))
-    nothing = pa.nulls(len(f.sig), pa.int64())
-    counts = pa.table([pa.array(f.sig), nothing, shared, nothing], ["a", "b", "n_a", "n_b"])
+    shared = np.bincount(f.entry, minlength=len(f.sig))
+    listed = pa.StructArray.from_arrays([pa.array(f.sig), pa.array(shared)], ["sig", "shared"])
+    column = pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)
+    counts = pa.table([*[pa.nulls(1, pa.int64())] * 4, column], ["a", "b", "n_a", "n_b", "counts"])
     if not len(f.entry):
         return counts
     steps = []
@@ -309,17 +340,22 @@ def _neighbours(table: pa.Table) -> pa.Table:
         hub = by_score[(f.begin + f.run - k)[group[has]]]
         steps.append((np.minimum(f.entry[own[has]], hub), np.maximum(f.entry[own[has]], hub)))
     a, b = (np.concatenate(side) for side in zip(*steps, strict=True))
-    ok = (a != b) & f.linkable(a, b)
-    return pa.concat_tables([f.pairs(a[ok], b[ok]), counts])
+    fragment = np.uint64(table.column("fragment")[0].as_py())
+    turn = mixed(f.sig[a].view(np.uint64) ^ (f.sig[b].view(np.uint64) * np.uint64(3))) + fragment
+    ok = (a != b) & f.linkable(a, b) & (turn % np.uint64(spread) == 0)
+    pairs = f.pairs(a[ok], b[ok])
+    return pa.concat_tables([pairs.append_column("counts", pa.nulls(len(pairs), column.type)), counts])
 
 
-def _across(table: pa.Table) -> pa.Table:
+def _across(segments: pa.Table, known: pa.Table) -> pa.Table:
     """All pairs that a look-up finds and that the links so far leave in different components.
 
     In a group of sets with one n-gram only those outside its main component, or those that look it up if they are
     fewer, are set against the rest.
     """
-    f = _Fragment(table, "root")
+    if not len(segments) or not len(known):
+        return pa.table([pa.array([], pa.int64())] * 4, ["a", "b", "n_a", "n_b"])
+    f = _Fragment(segments, known)
     f.shared_entries()
     roots = np.unique(f.label, return_inverse=True)[1]
     root = roots[f.entry]
@@ -430,17 +466,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .distinct()
     )
     chosen = written(classes.join(survivors, "sig").select("sig", "n", "k.*"), "jaccard-survivors")
-    bits = _bits(chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    texts = rows.join(chosen.select("k1", "k2"), ["k1", "k2"], "left_semi").select("text")
+    left, grams = chosen.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = _bits(grams)
+    keys = chosen.select("k1", "k2")
+    texts = rows.join(F.broadcast(keys) if left <= SMALL else keys, ["k1", "k2"], "left_semi").select("text")
     segments = written(texts.mapInArrow(_cut(bits), "sig long, n long, fragment long, probes long, grams binary"), "jaccard-segments")
 
-    near = written(segments.groupBy("fragment").applyInArrow(_neighbours, _PAIRS), "jaccard-neighbours")
-    links = written(_links(near, segments), "jaccard-links")
+    found = segments.groupBy("fragment").applyInArrow(_neighbours(1 << bits), _PAIRS + ", counts array<struct<sig: long, shared: long>>")
+    near = written(found, "jaccard-neighbours")
+    links = written(_links(near.select("a", "b", "n_a", "n_b"), segments), "jaccard-links")
     first = written(components(links), "jaccard-roots").withColumnRenamed("node", "sig")
-    shared = near.filter("b is null").groupBy(F.col("a").alias("sig")).agg(F.sum("n_a").alias("shared"))
+    shared = near.filter("b is null").select(F.explode("counts").alias("c")).groupBy("c.sig").agg(F.sum("c.shared").alias("shared"))
     known = written(shared.join(first, "sig", "left").select("sig", "shared", F.coalesce("root", "sig").alias("root")), "jaccard-known")
-    rooted = segments.join(known, "sig")
-    more = _links(rooted.groupBy("fragment").applyInArrow(_across, _PAIRS), segments)
+    where = segments.select(F.col("sig").alias("known"), F.col("fragment").alias("there"))
+    told = known.withColumnRenamed("sig", "known").join(where, "known").select("there", "known", "root", "shared")
+    more = _links(segments.groupBy("fragment").cogroup(told.groupBy("there")).applyInArrow(_across, _PAIRS), segments)
     more = written(more, "jaccard-links")
     roots = written(components(links.unionByName(more)), "jaccard-roots")
 

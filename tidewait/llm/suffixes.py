@@ -16,9 +16,9 @@ from tidewait.llm.common import _power_tables, binary_array, mixed, pieces, row_
 GRAM = 24  # bytes of the strings by which repeats are brought together
 SYMBOL = 25  # bytes of one symbol of the transforms; the match length is a multiple of it
 FRAGMENT = 1 << 20  # entries of a fragment, on average
-BUCKET = 8 << 20  # bytes merged in one task, on average
-SHARD = 4 << 20  # bytes of one shard's transform
-PIECE = 4 << 20  # bytes of text a task works on at a time
+BUCKET = 4 << 20  # bytes merged in one task, on average
+SHARD = 2 << 20  # bytes of one shard's transform
+PIECE = 2 << 20  # bytes of text a task works on at a time
 WITNESS = np.uint32(0xFFFFFFFF)
 _POSITION = np.uint64(0xFFFFFFFF)
 _BYTES = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -180,8 +180,8 @@ def _marked_runs(table: pa.Table) -> pa.Table:
 # -- Pieces of text, by gram, and their transforms --------------------------------------------------------------
 
 
-_CUT = ["bucket", "ord", "k1", "k2", "first", "count", "digest", "piece"]
-_CUT_TYPE = "bucket long, ord long, k1 long, k2 long, first long, count long, digest long, piece binary"
+_CUT = ["bucket", "ord", "k1", "k2", "first", "count", "digest", "gram", "piece"]
+_CUT_TYPE = "bucket long, ord long, k1 long, k2 long, first long, count long, digest long, gram long, piece binary"
 
 
 def _cut(buckets: int, match: int):
@@ -214,7 +214,7 @@ def _cut(buckets: int, match: int):
             bytes_at = np.repeat(begin[rows] - (upto - width), width) + np.arange(width.sum())
             yield pa.record_batch(
                 [
-                    pa.array(bucket), *(pa.array(x[rows]) for x in (ordinal, k1, k2, first, count, digest.view(np.int64))),
+                    pa.array(bucket), *(pa.array(x[rows]) for x in (ordinal, k1, k2, first, count, digest.view(np.int64), gram.view(np.int64))),
                     binary_array(data[bytes_at], upto),
                 ],
                 _CUT,
@@ -328,6 +328,12 @@ def repeated_strings(data: np.ndarray, sizes: np.ndarray, match: int) -> np.ndar
     return later[mine]
 
 
+def _twice(values: np.ndarray) -> np.ndarray:
+    """Which values occur more than once."""
+    _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
+    return counts[inverse] > 1
+
+
 _SPANS = ["k1", "k2", "begin", "end"]
 _SPANS_TYPE = "k1 long, k2 long, begin long, end long"
 
@@ -335,16 +341,18 @@ _SPANS_TYPE = "k1 long, k2 long, begin long, end long"
 def _merged(match: int):
     def merge(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ordinal, k1, k2, first, count, digest = (table.column(c).to_numpy() for c in _CUT[1:7])
+        ordinal, k1, k2, first, count, digest, gram = (table.column(c).to_numpy() for c in _CUT[1:8])
         if table.column("bucket")[0].as_py() < 0:
             return pa.table([table.column("k1"), table.column("k2"), pa.array(first), pa.array(first + count + match - 1)], _SPANS)
         order = np.lexsort((first, k2, k1, ordinal, count, digest))
         lead = np.ones(len(order), bool)
         lead[1:] = (digest[order][1:] != digest[order][:-1]) | (count[order][1:] != count[order][:-1])
         kept, later = order[lead], order[~lead]
+        # A piece repeats nothing inside itself; one that is alone with its gram repeats nothing at all.
+        kept = kept[_twice(gram[kept])]
         kept = kept[np.lexsort((first[kept], k2[kept], k1[kept], ordinal[kept]))]
         data, ends = string_bytes(table.column("piece").take(pa.array(kept)).combine_chunks())
-        hit = repeated_strings(data, np.diff(ends, prepend=0), match)
+        hit = repeated_strings(data, np.diff(ends, prepend=0), match) if len(kept) else np.zeros(0, bool)
         piece = np.repeat(np.arange(len(kept)), count[kept])
         at = np.arange(len(hit)) - np.repeat(np.cumsum(count[kept]) - count[kept], count[kept])
         edge = np.flatnonzero(np.diff(np.where(hit, piece, -1), prepend=-1, append=-1) != 0)
