@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import statistics
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -348,3 +349,12 @@ def test_a_frame_of_another_size_is_refused_alone(spark):
     geometry = camera.select("*", F.lit(8).alias("width"), F.lit(8).alias("height"), lines.alias("boundaries"))
     drift = {r.frame_id: r.drift for r in pixels.calibration_drift(pending.drop("drift"), geometry, 2).collect()}
     assert drift == {90: None, 91: float("inf"), 92: None}
+
+
+def test_a_global_median_is_exact(spark):
+    rng = random.Random(4)
+    for n in (1, 2, 7, 400):
+        values = [round(rng.choice([rng.uniform(-1, 1), 0.5, -1.0, 1.0]), 9) for _ in range(n)]
+        got = quality.exact_median(spark.createDataFrame([(v,) for v in [*values, None]], "v double"), "v", -1.0, 1.0, cells=50).first()[0]
+        assert got == pytest.approx(statistics.median(values), abs=1e-12)
+    assert quality.exact_median(spark.createDataFrame([(None,)], "v double"), "v", -1.0, 1.0).first()[0] is None

@@ -258,12 +258,34 @@ def share_true(flag: Column) -> Column:
     return F.avg(F.when(flag.isNotNull(), flag.cast("int")))
 
 
+def exact_median(values: DataFrame, column: str, low: float, high: float, cells: int = 10_000) -> DataFrame:
+    """One row `median` of a bounded column, or NULL: equal values are counted, the counts fall into `cells` equal
+    cells, and only the cells that hold the middle are put in order."""
+    v = F.col(column)
+    folded = values.filter(v.isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "cell", F.floor((v - low) / (high - low) * cells)
+    )
+    earlier = W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    placed = folded.groupBy("cell").agg(F.sum("n").alias("n")).withColumns(
+        {"before": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "total": F.sum("n").over(W.partitionBy())}
+    )
+    first, second = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    middle = placed.filter((F.col("before") <= second) & (F.col("before") + F.col("n") > first)).select("cell", "before", "total")
+    inside = W.partitionBy("cell").orderBy(column).rowsBetween(W.unboundedPreceding, -1)
+    start = folded.join(middle, "cell").withColumn("start", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    at = lambda rank: F.max(F.when((F.col("start") <= rank) & (F.col("start") + F.col("n") > rank), v))
+    return start.groupBy().agg(((at(first) + at(second)) / 2).alias("median"))
+
+
 def trend_scores(trends: DataFrame) -> DataFrame:
     rho = F.col("rho")
-    return trends.groupBy().agg(
-        F.count(F.lit(1)).alias("trends"),
-        F.round(share_true(rho > RISING_RHO), 4).alias("trend_score"),
-        F.round(F.median(F.round(rho, 9)), 4).alias("median_rho"),
+    shares = trends.groupBy().agg(
+        F.count(F.lit(1)).alias("trends"), F.round(share_true(rho > RISING_RHO), 4).alias("trend_score")
+    )
+    middle = exact_median(trends.select(F.round(rho, 9).alias("rho")), "rho", -1.0, 1.0)
+    both = shares.unionByName(middle, allowMissingColumns=True)
+    return both.groupBy().agg(
+        F.max("trends").alias("trends"), F.max("trend_score").alias("trend_score"), F.round(F.max("median"), 4).alias("median_rho")
     )
 
 
