@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -37,8 +39,33 @@ def test_history_is_cut_before_it_is_shuffled(shuffled):
     assert cuts and sum("Partial" in x for x in cuts) == sum("Final" in x for x in cuts) == len(cuts) / 2
 
 
-def test_scans_read_only_what_they_need(spark):
-    text = plan(spark, "joi05_pending_readings")
-    assert "ReadSchema" in text or "ReadSchema" in entry.queries()["joi05_pending_readings"](spark, SF)._jdf.queryExecution().explainString(
-        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-    )
+def scans(spark, name: str) -> list[tuple[set[str], str]]:
+    """Columns and pushed filters of every file scan of a query's plan."""
+    text = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
+    found = re.findall(r"FileScan parquet.*?PushedFilters: \[(.*?)\], ReadSchema: struct<(.*?)>(?:\s|$)", text)
+    return [({c.split(":")[0] for c in schema.split(",") if ":" in c}, pushed) for pushed, schema in found]
+
+
+@pytest.mark.parametrize(
+    ("name", "columns"),
+    [
+        ("scl04_day_type", {"o_orderkey", "o_orderdate"}),
+        ("prj09_request_classification", {"page_id", "url"}),
+        ("str04_feed_freshness", {"event_type", "ts"}),
+        ("src06_newest_document_per_site", {"page_id", "url"}),
+    ],
+)
+def test_scans_read_only_what_they_need(spark, name, columns):
+    found = scans(spark, name)
+    assert found and set.union(*(c for c, _ in found)) <= columns
+
+
+def test_filters_reach_the_scan(spark):
+    found = scans(spark, "str04_feed_freshness")
+    assert found and all("ts" in pushed for _, pushed in found)
+
+
+def test_pixels_are_never_rows(spark):
+    for name in ("pix02_hourly_background", "pix09_read_lane_frames", "pix10_read_extent_frames"):
+        text = plan(spark, name).split("posexplode(background")[-1]
+        assert "posexplode(pixels" not in text and "explode(pixels" not in text
