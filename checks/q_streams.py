@@ -11,7 +11,7 @@ from checks.registry import query
 from checks.views import shape, spark_sql
 from tidewait.functions.clock import add_minutes, combine_local, local_date, local_hhmm
 from tidewait.operators import ledger, live
-from tidewait.plans.service_record import Evidence, service_records
+from tidewait.plans.service_record import service_records
 from tidewait.sources.tables import fresh_dir
 from tidewait.streaming import feeds
 
@@ -92,9 +92,8 @@ def _(b: Bound) -> DataFrame:
 
     def recompute(dates: DataFrame) -> DataFrame:
         asked = dates.select("service_date").distinct()
-        kept = lambda df: df.join(asked, "service_date", "left_semi")
-        evidence = Evidence(whole.readings, kept(whole.board), whole.positions, kept(whole.reports), whole.terminals)
-        records = service_records(kept(b.services), evidence, b.params)
+        span = asked.agg(F.min("service_date"), F.max("service_date")).first()
+        records = service_records(b.services, whole, b.params, tuple(span)).join(asked, "service_date", "left_semi")
         return records.select(*KEY, "outcome", "n_frames", "method", "departed_at")
 
     arriving = _stream(b, "v_readings").select("service_date")

@@ -358,3 +358,16 @@ def test_a_global_median_is_exact(spark):
         got = quality.exact_median(spark.createDataFrame([(v,) for v in [*values, None]], "v double"), "v", -1.0, 1.0, cells=50).first()[0]
         assert got == pytest.approx(statistics.median(values), abs=1e-12)
     assert quality.exact_median(spark.createDataFrame([(None,)], "v double"), "v", -1.0, 1.0).first()[0] is None
+
+
+def test_a_range_of_dates_gives_those_records_of_the_whole(spark):
+    from checks.bound import Bound
+    from checks.q_evidence import _evidence
+    from tidewait.plans.service_record import service_records
+
+    b = Bound(spark, "/root/testdata/sf0.001")
+    first, last = date(2024, 1, 10), date(2024, 1, 12)
+    asked = F.col("service_date").between(F.lit(first), F.lit(last))
+    whole = service_records(b.services, _evidence(b), b.params).filter(asked).collect()
+    part = service_records(b.services, _evidence(b), b.params, (first, last)).collect()
+    assert whole and sorted(map(repr, part)) == sorted(map(repr, whole))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,13 +62,36 @@ def timed_services(services: DataFrame, evidence: Evidence, params: Params) -> D
     )
 
 
-def service_records(services: DataFrame, evidence: Evidence, params: Params) -> DataFrame:
-    """One record per scheduled service.
+def evidence_between(evidence: Evidence, first: date, last: date) -> Evidence:
+    """The part of each feed that records of these dates can rest on: the dates and a day either side, which
+    covers every window and any zone's offset. The bounds are literals, so scans prune by them."""
+    before, after = F.lit(first - timedelta(days=1)), F.lit(last + timedelta(days=1))
+    dated = lambda df: df.filter(F.col("service_date").between(before, after))
+    timed = lambda df, c: df.filter(
+        (F.col(c) >= before.cast("timestamp")) & (F.col(c) < F.lit(last + timedelta(days=2)).cast("timestamp"))
+    )
+    return Evidence(
+        timed(evidence.readings, "captured_at"), dated(evidence.board), timed(evidence.positions, "reported_at"),
+        dated(evidence.reports), evidence.terminals,
+    )
+
+
+def service_records(services: DataFrame, evidence: Evidence, params: Params,
+                    dates: tuple[date, date] | None = None) -> DataFrame:
+    """One record per scheduled service; of these dates, first to last, if they are given.
 
-    The feeds meet only on the service key, each already folded to one row per service; the
+    A range is pushed into all five feeds, so a refresh of a few days reads a few days. The feeds meet only on the service key, each already folded to one row per service; the
     one wide join is readings to windows, which is keyed by terminal and hour.
     """
-    timed = timed_services(with_neighbours(services), evidence, params)
+    if dates is not None:
+        first, last = dates
+        evidence = evidence_between(evidence, first, last)
+        near = F.col("service_date").between(F.lit(first - timedelta(days=1)), F.lit(last + timedelta(days=1)))
+        asked = F.col("service_date").between(F.lit(first), F.lit(last))
+        placed = with_neighbours(services.filter(near)).filter(asked)
+    else:
+        placed = with_neighbours(services)
+    timed = timed_services(placed, evidence, params)
     readings = best_reading_per_frame(
         evidence.readings.filter("usable"),
         ["terminal", "camera", "captured_at"], params.model_version,
