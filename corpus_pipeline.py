@@ -1,7 +1,8 @@
 """The corpus pipeline: language, near duplicates, contamination, mixture, shards.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
-return the columns of documents.
+return the columns of documents. Decisions are taken by doc_id: rows of one id (no id is one too) stay together if
+any of them stays, go together if any of them is contaminated, and are taken as often as the most taken of them.
 """
 
 from __future__ import annotations
@@ -15,35 +16,35 @@ from tidewait.llm.common import written
 SHARD_BYTES = 1 << 20
 
 
-def _only(docs: DataFrame, chosen: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """The rows of docs whose doc_id is among the chosen; null ids are among none."""
-    side = chosen.select(F.col("doc_id").alias("_id"), *(extra or []))
-    return docs.join(side, F.col("doc_id") == F.col("_id"), "inner" if extra else "left_semi").drop("_id")
+def _only(docs: DataFrame, chosen: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose doc_id is, or with left_anti is not, among the chosen; null matches null."""
+    side = chosen.withColumnRenamed("doc_id", "_id")
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; text without a letter, or none, goes."""
     samples = language.learn(docs.filter(~language.held_out(F.col("doc_id"))))
     found = written(language.identify(docs, samples), "pipeline-language")
-    return _only(docs, found.filter("lang_pred <> 'und'"))
+    return _only(docs, found.filter("lang_pred <> 'und'").select("doc_id"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the smallest id."""
     found = jaccard.near_duplicates(docs)
-    return _only(docs, written(found.filter("doc_id = component_id").select("doc_id"), "pipeline-first"))
+    return _only(docs, written(found.filter("doc_id <=> component_id").select("doc_id"), "pipeline-first"))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, written(found.filter("n_hit = 0").select("doc_id"), "pipeline-clean"))
+    return _only(docs, written(found.filter("n_hit > 0").select("doc_id"), "pipeline-contaminated"), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture of sources: each document as often as it is taken, once, twice or not at all."""
-    taken = written(mixing.pareto_mix(docs).filter("copies > 0").select("doc_id", F.col("copies").alias("_copies")), "pipeline-mix")
-    repeated = _only(docs, taken, ["_copies"])
+    taken = mixing.pareto_mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    repeated = _only(docs, written(taken, "pipeline-mix"), "inner")
     return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_copies", "_copy")
 
 

@@ -36,6 +36,19 @@ def test_stages(spark):
         docs = out
 
 
+def test_repeated_and_missing_ids(spark):
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omikron pi rho sigma tau"
+    rows = [(1, "one two three", "en", "a", 13), (1, "one two three", "en", "a", 13), (None, "no id at all", None, None, 12), (2, None, "en", "a", 0), (3, long, "en", "a", 90), (4, long + " x", "en", "a", 92)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.known_language(spark, docs, SMALL)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 1, 3, 4, None]
+    single = pipeline.one_of_each(spark, kept, SMALL)
+    assert sorted((r.doc_id for r in single.collect()), key=str) == [1, 1, 3, None]
+    clean = pipeline.without_benchmarks(spark, single, SMALL)
+    assert clean.count() == 4
+    assert clean.groupBy("doc_id").count().join(pipeline.mixed(spark, clean, SMALL).groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").filter("n > 2 * count").isEmpty()
+
+
 def test_empty_corpus(spark, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
