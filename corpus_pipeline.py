@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
 return the columns of documents. Decisions are taken by doc_id: rows of one id (no id is one too) stay together if
-any of them stays, go together if any of them is contaminated, and are taken as often as the most taken of them.
+any of them is the first of its group, go together if any of them is without language or contaminated, and are
+taken as often as the most taken of them.
 """
 
 from __future__ import annotations
@@ -14,11 +15,16 @@ from tidewait.llm import decontaminate, jaccard, language, mixing, sharding
 from tidewait.llm.common import written
 
 SHARD_BYTES = 1 << 20
+SMALL = 1 << 20
 
 
 def _only(docs: DataFrame, chosen: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of docs whose doc_id is, or with left_anti is not, among the chosen; null matches null."""
+    """The rows of docs whose doc_id is, or with left_anti is not, among the chosen; null matches null.
+
+    Up to SMALL ids (some 16 MB) are broadcast, so that no text moves; more of them are joined by shuffle."""
     side = chosen.withColumnRenamed("doc_id", "_id")
+    if side.count() <= SMALL:
+        side = F.broadcast(side)
     return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id")
 
 
@@ -26,7 +32,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents with a language; text without a letter, or none, goes."""
     samples = language.learn(docs.filter(~language.held_out(F.col("doc_id"))))
     found = written(language.identify(docs, samples), "pipeline-language")
-    return _only(docs, found.filter("lang_pred <> 'und'").select("doc_id"))
+    return _only(docs, found.filter("lang_pred = 'und'").select("doc_id"), "left_anti")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,6 @@ FRAGMENT = 1 << 21  # n-grams in a fragment, on average: bounds a task's memory;
 EXPAND = 1 << 20  # pairs or look-ups laid out at a time in a task; changes no result
 FEW = 5  # sets of one n-gram that are paired at once; changes no result
 HUBS = 4  # sets of one n-gram that all others are paired with at once; changes no result
-SPREAD = 4  # of so many fragments one gives the first round's pair; changes no result
 PIECE = 4 << 20  # bytes of text a task works on at a time; changes no result
 SMALL = 1 << 20  # documents left whose keys (16 MB) go to the texts; more of them, and the texts are shuffled
 WITNESS = np.uint32(0xFFFFFFFF)
@@ -310,16 +309,10 @@ class _Fragment:
 _PAIRS = "a long, b long, n_a long, n_b long"
 
 
-def _neighbours(fragments: int):
-    """The first round's pairs in one fragment; see _near_pairs."""
-    return lambda table: _near_pairs(table, min(SPREAD, fragments))
-
-
-def _near_pairs(table: pa.Table, spread: int) -> pa.Table:
+def _neighbours(table: pa.Table) -> pa.Table:
     """Each looked-up n-gram pairs its set with the next one in size that has it (with all, if they are few) and with the
-    HUBS whose n-grams are the most common: the original and the least edited of its copies. Few pairs, most components;
-    each pair is taken from one in `spread` fragments, since copies meet in nearly all. One row without a pair
-    tells how many of each set's n-grams here any other set has."""
+    HUBS whose n-grams are the most common: the original and the least edited of its copies. Few pairs, most components.
+    One row without a pair tells how many of each set's n-grams here any other set has."""
     f = _Fragment(table)
     f.shared_entries()
     shared = np.bincount(f.entry, minlength=len(f.sig))
@@ -340,9 +333,7 @@ def _near_pairs(table: pa.Table, spread: int) -> pa.Table:
         hub = by_score[(f.begin + f.run - k)[group[has]]]
         steps.append((np.minimum(f.entry[own[has]], hub), np.maximum(f.entry[own[has]], hub)))
     a, b = (np.concatenate(side) for side in zip(*steps, strict=True))
-    fragment = np.uint64(table.column("fragment")[0].as_py())
-    turn = mixed(f.sig[a].view(np.uint64) ^ (f.sig[b].view(np.uint64) * np.uint64(3))) + fragment
-    ok = (a != b) & f.linkable(a, b) & (turn % np.uint64(spread) == 0)
+    ok = (a != b) & f.linkable(a, b)
     pairs = f.pairs(a[ok], b[ok])
     return pa.concat_tables([pairs.append_column("counts", pa.nulls(len(pairs), column.type)), counts])
 
@@ -472,7 +463,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.join(F.broadcast(keys) if left <= SMALL else keys, ["k1", "k2"], "left_semi").select("text")
     segments = written(texts.mapInArrow(_cut(bits), "sig long, n long, fragment long, probes long, grams binary"), "jaccard-segments")
 
-    found = segments.groupBy("fragment").applyInArrow(_neighbours(1 << bits), _PAIRS + ", counts array<struct<sig: long, shared: long>>")
+    found = segments.groupBy("fragment").applyInArrow(_neighbours, _PAIRS + ", counts array<struct<sig: long, shared: long>>")
     near = written(found, "jaccard-neighbours")
     links = written(_links(near.select("a", "b", "n_a", "n_b"), segments), "jaccard-links")
     first = written(components(links), "jaccard-roots").withColumnRenamed("node", "sig")

@@ -251,7 +251,10 @@ class Transform:
         inner = np.flatnonzero(at >= SYMBOL)
         before[inner] = symbols[inner - SYMBOL]
         last = np.flatnonzero(rest <= SYMBOL)  # before each empty suffix stands the last symbol of its chain
-        return cls(np.concatenate([symbols[last], before[order]]), np.concatenate([np.full(len(last), -1), order + base]))
+        return cls(
+            np.concatenate([symbols[last], before[order]]).astype(np.int32),
+            np.concatenate([np.full(len(last), -1), order + base]).astype(np.int32),
+        )
 
     def merged(self, other: Transform, depth: int) -> tuple[Transform, np.ndarray]:
         """The transform of both, and the interval of suffixes with equal first `depth` symbols each is in.
@@ -265,22 +268,24 @@ class Transform:
         mask = np.int64((1 << int(shift)) - 1)
         side = np.zeros(n, bool)
         side[len(self.ids) :] = True
-        interval = np.zeros(n, np.int64)
-        place = np.arange(n)
+        interval = np.zeros(n, np.int32)
         for _ in range(depth):
-            symbol = self._interleaved(side, self.before, other.before)
-            key = np.sort((symbol << shift) | place)
-            symbol, source = key >> shift, key & mask
+            key = self._interleaved(side, self.before, other.before).astype(np.int64)
+            key <<= shift
+            key |= np.arange(n)
+            key.sort()  # places are different, so this order is the stable one
+            symbol, source = (key >> shift).astype(np.int32), (key & mask).astype(np.int32)
+            del key
             side, interval = side[source], interval[source]
             begins = np.zeros(n, bool)
             begins[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
-            interval = np.cumsum(begins)
+            interval = np.cumsum(begins, dtype=np.int32)
         both = Transform(self._interleaved(side, self.before, other.before), self._interleaved(side, self.ids, other.ids))
         return both, interval
 
     @staticmethod
     def _interleaved(side: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        out = np.empty(len(side), np.int64)
+        out = np.empty(len(side), np.int32)
         out[~side] = first
         out[side] = second
         return out
@@ -307,7 +312,7 @@ def repeated_strings(data: np.ndarray, sizes: np.ndarray, match: int) -> np.ndar
         part = positions[a:b]
         shards.append(Transform.of_shard(symbols[base : int(upto[b - 1])], np.cumsum(part) - part, part, base, depth))
     if len(shards) == 1:
-        shards.append(Transform(np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        shards.append(Transform(np.zeros(0, np.int32), np.zeros(0, np.int32)))
     while len(shards) > 1:  # neighbours merge, so that transforms of one size meet
         pairs = [shards[k : k + 2] for k in range(0, len(shards), 2)]
         done = [pair[0].merged(pair[1], depth) if len(pair) == 2 else (pair[0], None) for pair in pairs]
