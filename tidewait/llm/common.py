@@ -82,12 +82,12 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, word_bytes: np.ndarray) -> t
 
     data: bytes; ends: where each text ends; word_bytes: which of the 256 bytes belong to words.
     Words never run from one text into the next. Work is one pass of array arithmetic, cut into
-    pieces of whole texts so that scratch memory stays near 40 bytes for each of 4 M bytes (or of
+    pieces of whole texts so that scratch memory stays near 60 bytes for each of 1 M bytes (or of
     the longest text).
     """
     hashes, counts, first, begin = [], [], 0, 0
     while first < len(ends):
-        last = max(first + 1, int(np.searchsorted(ends, begin + (4 << 20), "right")))
+        last = max(first + 1, int(np.searchsorted(ends, begin + (1 << 20), "right")))
         stop = int(ends[last - 1])
         h, c = _word_hashes(data[begin:stop], ends[first:last] - begin, word_bytes)
         hashes.append(h)
