@@ -18,7 +18,9 @@ SYMBOL = 25  # bytes of one symbol of the transforms; the match length is a mult
 FRAGMENT = 1 << 20  # entries of a fragment, on average
 BUCKET = 4 << 20  # bytes merged in one task, on average
 SHARD = 2 << 20  # bytes of one shard's transform
-PIECE = 2 << 20  # bytes of text a task works on at a time
+PIECE = 1 << 20  # bytes of text a task works on at a time
+STRING = 80  # bytes a string of a hot gram takes in its bucket
+SAMPLE = 64  # one document in so many at most tells which grams are hot
 WITNESS = np.uint32(0xFFFFFFFF)
 _POSITION = np.uint64(0xFFFFFFFF)
 _BYTES = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -184,29 +186,57 @@ _CUT = ["bucket", "ord", "k1", "k2", "first", "count", "digest", "gram", "piece"
 _CUT_TYPE = "bucket long, ord long, k1 long, k2 long, first long, count long, digest long, gram long, piece binary"
 
 
-def _cut(buckets: int, match: int):
-    """One row per different piece of a batch, in the bucket of its gram; a later equal piece has no bytes and no bucket."""
+def _marked(batch: pa.RecordBatch, match: int) -> tuple[np.ndarray, ...]:
+    """The text bytes of a batch, their hashes and the marked runs: text, begin, first string, number of strings, gram."""
+    data, ends = string_bytes(batch.column("text"))
+    flat, run_ends = string_bytes(batch.column("firsts"))
+    first = flat.view(np.uint32).astype(np.int64)
+    count = string_bytes(batch.column("counts"))[0].astype(np.int64)
+    place = string_bytes(batch.column("places"))[0].astype(np.int64)
+    doc = np.repeat(np.arange(batch.num_rows), np.diff(run_ends, prepend=0) // 4)
+    begin = np.concatenate([[0], ends[:-1]])[doc] + first
+    hashed = Hashed(data)
+    return data, hashed, doc, begin, first, count, hashed.of(begin + place, GRAM)
+
+
+def _weighed(match: int):
+    """Gram, digest and number of strings of each piece."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", PIECE):
+            _, hashed, _, begin, _, count, gram = _marked(batch, match)
+            if len(begin):
+                digest = hashed.of(begin, count + match - 1)
+                yield pa.record_batch([pa.array(gram.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(count)], ["gram", "digest", "count"])
+
+    return weigh
+
+
+def _leads(digest: np.ndarray, count: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of all equal pieces, by place, and the later ones."""
+    order = np.lexsort((*reversed(place), count, digest))
+    lead = np.ones(len(order), bool)
+    lead[1:] = (digest[order][1:] != digest[order][:-1]) | (count[order][1:] != count[order][:-1])
+    return order[lead], order[~lead]
+
+
+def _cut(buckets: int, match: int, hot: np.ndarray, hot_buckets: int):
+    """One row per different piece of a batch, in the bucket of its gram; a later equal piece has no bytes and no bucket.
+
+    Pieces around a hot gram are cut to their strings, which go without bytes to one of the hot buckets, by the string's hash."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for batch in pieces(batches, "text", PIECE):
-            data, ends = string_bytes(batch.column("text"))
-            flat, run_ends = string_bytes(batch.column("firsts"))
-            first = flat.view(np.uint32).astype(np.int64)
-            count = string_bytes(batch.column("counts"))[0].astype(np.int64)
-            place = string_bytes(batch.column("places"))[0].astype(np.int64)
+            data, hashed, doc, begin, first, count, gram = _marked(batch, match)
             if not len(first):
                 continue
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(run_ends, prepend=0) // 4)
-            begin = np.concatenate([[0], ends[:-1]])[doc] + first
             size = count + match - 1
-            hashed = Hashed(data)
-            gram, digest = hashed.of(begin + place, GRAM), hashed.of(begin, size)
+            digest = hashed.of(begin, size)
             ordinal, k1, k2 = (batch.column(c).to_numpy()[doc] for c in ("ord", "k1", "k2"))
-            order = np.lexsort((first, k2, k1, ordinal, count, digest))
-            lead = np.ones(len(order), bool)
-            lead[1:] = (digest[order][1:] != digest[order][:-1]) | (count[order][1:] != count[order][:-1])
-            kept, later = order[lead], order[~lead]
+            kept, later = _leads(digest, count, ordinal, k1, k2, first)
+            is_hot = np.isin(gram[kept], hot)
+            split, kept = kept[is_hot], kept[~is_hot]
             bucket = np.concatenate([(gram[kept] % np.uint64(buckets)).astype(np.int64), np.full(len(later), -1 - task)])
             rows = np.concatenate([kept, later])
             width = np.concatenate([size[kept], np.zeros(len(later), np.int64)])
@@ -219,6 +249,22 @@ def _cut(buckets: int, match: int):
                 ],
                 _CUT,
             )
+            for k in range(0, len(split), PIECE // match):
+                some = split[k : k + PIECE // match]
+                own = np.repeat(some, count[some])
+                at = np.arange(len(own)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+                string, one = hashed.of(begin[own] + at, match), np.ones(len(own), np.int64)
+                lead, again = _leads(string, one, ordinal[own], k1[own], k2[own], first[own] + at)
+                bucket = np.concatenate([buckets + (string[lead] % np.uint64(hot_buckets)).astype(np.int64), np.full(len(again), -1 - task)])
+                rows = np.concatenate([lead, again])
+                yield pa.record_batch(
+                    [
+                        pa.array(bucket), *(pa.array(x[own][rows]) for x in (ordinal, k1, k2)), pa.array((first[own] + at)[rows]), pa.array(one[rows]),
+                        pa.array(string[rows].view(np.int64)), pa.array(gram[own][rows].view(np.int64)),
+                        binary_array(b"", np.zeros(len(rows), np.int64)),
+                    ],
+                    _CUT,
+                )
 
     return cut
 
@@ -343,16 +389,16 @@ _SPANS = ["k1", "k2", "begin", "end"]
 _SPANS_TYPE = "k1 long, k2 long, begin long, end long"
 
 
-def _merged(match: int):
+def _merged(match: int, buckets: int):
     def merge(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ordinal, k1, k2, first, count, digest, gram = (table.column(c).to_numpy() for c in _CUT[1:8])
-        if table.column("bucket")[0].as_py() < 0:
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
             return pa.table([table.column("k1"), table.column("k2"), pa.array(first), pa.array(first + count + match - 1)], _SPANS)
-        order = np.lexsort((first, k2, k1, ordinal, count, digest))
-        lead = np.ones(len(order), bool)
-        lead[1:] = (digest[order][1:] != digest[order][:-1]) | (count[order][1:] != count[order][:-1])
-        kept, later = order[lead], order[~lead]
+        kept, later = _leads(digest, count, ordinal, k1, k2, first)
+        if bucket >= buckets:  # single strings: equal ones are all that repeats
+            kept = kept[:0]
         # A piece repeats nothing inside itself; one that is alone with its gram repeats nothing at all.
         kept = kept[_twice(gram[kept])]
         kept = kept[np.lexsort((first[kept], k2[kept], k1[kept], ordinal[kept]))]
@@ -415,7 +461,9 @@ def drop_repeats(docs: DataFrame, match: int = 100, id_col: str = "doc_id", text
     Plan: texts equal to an earlier one go whole and take no further part. Strings are brought together by the least
     24-byte gram inside them, which equal strings share: fragments of the gram order tell which grams are found twice
     (a gram that is everywhere comes once from each batch), and only text around those is cut into pieces and sent
-    to the bucket of its gram, equal pieces of a batch once. Each bucket, a bounded share of the text, is indexed by
+    to the bucket of its gram, equal pieces of a batch once. A gram with so many different pieces that they would fill a bucket (counted on
+    one document in SAMPLE) is hot: its pieces are cut to their strings, which are spread by their own hash, so equal strings still
+    meet, once from each batch. Each bucket of the others, a bounded share of the text, is indexed by
     shards: their Burrows-Wheeler transforms are merged by interleave refinement, whose final intervals are the repeated strings.
     """
     if match % SYMBOL or match < GRAM + 1:
@@ -443,11 +491,21 @@ def drop_repeats(docs: DataFrame, match: int = 100, id_col: str = "doc_id", text
     marked = written(marked, "suffix-runs")
     runs = marked.agg(F.coalesce(F.sum(F.length("counts")), F.lit(0))).first()[0]
     buckets = max(1, -(-runs * (match + 40) // BUCKET))
+    # A gram whose different pieces fill a bucket by themselves is hot. Which are flagged changes no result.
+    one_in = max(1, min(SAMPLE, BUCKET // ((match + 40) * 200)))
+    some = F.pmod("k1", F.lit(one_in)) == 0
+    sample = rows.filter(some).join(marked.filter(some), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "firsts", "counts", "places")
+    weights = sample.mapInArrow(_weighed(match), "gram long, digest long, count long").distinct().groupBy("gram").agg(
+        F.count("*").alias("n"), F.sum("count").alias("strings")
+    )
+    weights = weights.filter(F.col("n") > BUCKET / ((match + 40) * one_in)).toArrow()
+    hot = np.sort(weights.column("gram").to_numpy().view(np.uint64))
+    hot_buckets = max(1, -(-sum(weights.column("strings").to_pylist()) * one_in * STRING // BUCKET))
     cut = (
         rows.join(marked, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("ord", "k1", "k2", "text", "firsts", "counts", "places")
-        .mapInArrow(_cut(buckets, match), _CUT_TYPE)
+        .mapInArrow(_cut(buckets, match, hot, hot_buckets), _CUT_TYPE)
     )
-    spans = cut.groupBy("bucket").applyInArrow(_merged(match), _SPANS_TYPE).unionByName(whole)
+    spans = cut.groupBy("bucket").applyInArrow(_merged(match, buckets), _SPANS_TYPE).unionByName(whole)
     spans = written(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "suffix-spans")
     kind = docs.schema[id_col].dataType.simpleString()
     return (
