@@ -130,3 +130,14 @@ SELECT h.doc_id, CAST(length(h.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed
   sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM h LEFT JOIN k USING (doc_id)
 """
+
+# Every query against every other row.
+TOP_K = """
+WITH usable AS (SELECT vec_id, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM usable),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""

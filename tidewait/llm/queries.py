@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewait.llm import chat, decontaminate, jaccard, language, lines, mixing, oracles, packing, quality, sharding, suffixes
+from tidewait.llm import chat, decontaminate, jaccard, language, lines, mixing, oracles, packing, quality, sharding, suffixes, topk
 
 SHARD_BYTES = 1 << 20
 
@@ -74,6 +74,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.learn(docs.filter(~language.held_out(F.col("doc_id")))))
 
 
+def op11_uniform_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_perspective_rotation": op2_perspective_rotation,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extendible_shards": op8_extendible_shards,
     "op9_packed_tokens": op9_packed_tokens,
     "op10_language_id": op10_language_id,
+    "op11_uniform_threshold_topk": op11_uniform_threshold_topk,
 }
 
 ORACLES: dict[str, str] = {
@@ -95,4 +100,5 @@ ORACLES: dict[str, str] = {
     "op5_pareto_mix": oracles.MIX,
     "op7_suffix_dedup": oracles.REPEATS,
     "op8_extendible_shards": oracles.shards_sql(SHARD_BYTES),
+    "op11_uniform_threshold_topk": oracles.TOP_K,
 }
