@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewait.llm import chat, decontaminate, jaccard, language, lines, mixing, oracles, packing, quality, sharding, suffixes, topk
+from tidewait.llm import chat, decontaminate, divergence, jaccard, language, lines, mixing, oracles, packing, quality, sharding, suffixes, topk
 
 SHARD_BYTES = 1 << 20
 
@@ -78,6 +78,10 @@ def op11_uniform_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op13_transducer_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_perspective_rotation": op2_perspective_rotation,
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packed_tokens": op9_packed_tokens,
     "op10_language_id": op10_language_id,
     "op11_uniform_threshold_topk": op11_uniform_threshold_topk,
+    "op13_transducer_divergence": op13_transducer_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -101,4 +106,5 @@ ORACLES: dict[str, str] = {
     "op7_suffix_dedup": oracles.REPEATS,
     "op8_extendible_shards": oracles.shards_sql(SHARD_BYTES),
     "op11_uniform_threshold_topk": oracles.TOP_K,
+    "op13_transducer_divergence": oracles.DIVERGENCE,
 }
