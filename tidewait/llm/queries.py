@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewait.llm import chat, decontaminate, divergence, jaccard, language, lines, mixing, oracles, packing, quality, sharding, suffixes, topk
+from tidewait.llm import chat, decontaminate, divergence, jaccard, language, lines, mixing, negatives, oracles, packing, quality, sharding, suffixes, topk
 
 SHARD_BYTES = 1 << 20
 
@@ -78,6 +78,11 @@ def op11_uniform_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_gnat_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, shifted)
+
+
 def op13_transducer_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_table(spark, sf_dir, "documents"))
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packed_tokens": op9_packed_tokens,
     "op10_language_id": op10_language_id,
     "op11_uniform_threshold_topk": op11_uniform_threshold_topk,
+    "op12_gnat_hard_negatives": op12_gnat_hard_negatives,
     "op13_transducer_divergence": op13_transducer_divergence,
 }
 
@@ -106,5 +112,6 @@ ORACLES: dict[str, str] = {
     "op7_suffix_dedup": oracles.REPEATS,
     "op8_extendible_shards": oracles.shards_sql(SHARD_BYTES),
     "op11_uniform_threshold_topk": oracles.TOP_K,
+    "op12_gnat_hard_negatives": oracles.HARD_NEGATIVES,
     "op13_transducer_divergence": oracles.DIVERGENCE,
 }

@@ -13,7 +13,7 @@ LEAST, MOST = -(2**63), 2**63 - 1
 CHUNK = 256
 
 
-def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int, label: str, **more: Column) -> DataFrame:
+def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int, table: str, **more: Column) -> DataFrame:
     """Written rows (row, id, v, more): v is floor(scale * x) of every component, ends of the long range where it is passed.
 
     Rows whose vector is null or has a null or non-finite component are left out. `row` tells rows of one id apart."""
@@ -21,10 +21,10 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.filter(v.isNotNull() & ~bad)
     whole = F.transform(v, lambda x: F.floor(x * F.lit(float(scale))))
-    return written(rows.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), whole.alias("v"), *[c.alias(n) for n, c in more.items()]), label)
+    return written(rows.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), whole.alias("v"), *[c.alias(n) for n, c in more.items()]), table)
 
 
-def folded(rows: DataFrame, keys: list[str], keep: int, label: str) -> DataFrame:
+def folded(rows: DataFrame, keys: list[str], keep: int, table: str) -> DataFrame:
     """Rows of equal vector and keys as one written class: (class, v, keys, tie, members).
 
     members are its `keep` first rows (id, null last, then row): a search for no more than so many rows can return
@@ -33,7 +33,7 @@ def folded(rows: DataFrame, keys: list[str], keep: int, label: str) -> DataFrame
     first = rows.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= keep)
     classes = first.groupBy("v", *keys).agg(F.array_sort(F.collect_list(F.struct("_at", "id", "row"))).alias("members"))
     tie = F.coalesce(F.col("members")[0]["id"], F.lit(MOST))
-    return written(classes.select(F.monotonically_increasing_id().alias("class"), "v", *keys, tie.alias("tie"), "members"), label)
+    return written(classes.select(F.monotonically_increasing_id().alias("class"), "v", *keys, tie.alias("tie"), "members"), table)
 
 
 def first_members(found: DataFrame, classes: DataFrame, keys: list[str], keep: int) -> DataFrame:
