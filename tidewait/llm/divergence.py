@@ -9,10 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewait.llm.common import ascii_lower, pieces, string_bytes, written
-from tidewait.llm.transducer import LOWERED, Transducer, build, ordinals, term_spans
+from tidewait.llm.common import pieces, string_bytes, written
+from tidewait.llm.transducer import LOWERED, TERM, Transducer, build, ordinals, term_spans
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SHARD = 1 << 16  # terms of one transducer
 PACK = 32 << 20  # bytes of transducers that travel with the tasks at once
 HELD = 1 << 19  # different (group, term) counts a task holds before it sends them on
@@ -20,10 +19,28 @@ BLOCK = 256  # terms of a row of counts
 UNIT = 1_000_000_000
 
 
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, term, n): in how many texts of a piece of the task's rows each term stands."""
+    for batch in pieces(batches, "text"):
+        data, ends = string_bytes(batch.column("text"))
+        starts, stops, per_text = term_spans(data, ends)
+        if not len(starts):
+            continue
+        # Terms are all the term bytes there are, so these are the terms one after the other.
+        offsets = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int32)
+        terms = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(LOWERED[data[TERM[data]]])).dictionary_encode()
+        code = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        once = np.unique(np.repeat(np.arange(len(ends)), per_text) << 32 | code)
+        langs = batch.column("lang").dictionary_encode()
+        lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pairs, n = np.unique(lang[once >> 32] << 32 | once & 0xFFFFFFFF, return_counts=True)
+        yield pa.record_batch([langs.dictionary.take(pa.array(pairs >> 32)), terms.dictionary.take(pa.array(pairs & 0xFFFFFFFF)), pa.array(n)], ["lang", "term", "n"])
+
+
 def vocabulary(docs: DataFrame, min_docs: int) -> DataFrame:
     """(lang, term): the terms found in at least so many documents of the language. Counts merge before the shuffle."""
-    terms = docs.select("lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("term"))
-    return terms.groupBy("lang", "term").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("lang", "term")
+    found = docs.select("lang", "text").mapInArrow(_found, "lang string, term string, n long")
+    return found.groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("lang", "term")
 
 
 def _built(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -208,7 +225,7 @@ def source_divergence(
     in the task before they are sent. Sources are compared by blocks of terms.
     """
     own = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
-    kept = written(vocabulary(own.withColumn("text", ascii_lower(F.col("text"))), min_docs), "audit-terms")
+    kept = written(vocabulary(own, min_docs), "audit-terms")
     runs = written(transducers(kept), "audit-runs")
     counts = docs.sparkSession.createDataFrame([], "lang string, source string, ordinal long, n long")
     numbers = docs.sparkSession.createDataFrame([], "lang string, term string, ordinal long")
