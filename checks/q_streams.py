@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.bound import Bound, instants, one_route
 from checks.q_evidence import KEY, KEYS, _evidence
 from checks.registry import query
-from checks.views import shape, spark_sql
+from checks.views import SLOTS, shape, spark_sql
 from tidewait.functions.clock import add_minutes, combine_local, local_date, local_hhmm
 from tidewait.operators import ledger, live
 from tidewait.plans.service_record import service_records
@@ -62,20 +62,28 @@ shape("o_silent", """
 select terminal, service_date, s.hhmm, observed_at, status_text, late_minutes, fetch_status from v_board b join v_slots s using (terminal, slot) where fetch_status='ok'""")
 
 
+def _silent_board(b: Bound, rows: DataFrame) -> DataFrame:
+    """Board rows with their service's clock and no percentages; the slots are a lookup in the row, not a join."""
+    slots = F.create_map(*[F.lit(x) for r in SLOTS for x in (f"{r[0]}{r[1]}", r[2])])
+    timed = rows.withColumns(
+        {
+            "route": one_route(), "percent_available": F.lit(None).cast("int"),
+            "hhmm": F.try_element_at(slots, F.concat("terminal", F.col("slot").cast("string"))),
+        }
+    )
+    scheduled = combine_local(F.col("service_date"), F.col("hhmm"), b.params.zone)
+    return timed.withColumn("departed_hhmm", local_hhmm(add_minutes(scheduled, F.col("late_minutes")), b.params.zone))
+
+
 @query("str03_note_wait_timer", """
-select terminal, service_date, hhmm, case when first_gone is null or noted or watched - first_gone < interval 15 minute then 'unknown' else 'boarded' end as outcome from (
+select terminal, service_date, hhmm, 1 as times, case when first_gone is null or noted or watched - first_gone < interval 15 minute then 'unknown' else 'boarded' end as outcome from (
  select terminal, service_date, hhmm, min(observed_at) filter (late_minutes is not null or status_text ilike 'departed%') as first_gone, max(observed_at) as watched, bool_or(status_text ilike '%loading maximum%') as noted from o_silent group by 1,2,3)""")
 def _(b: Bound) -> DataFrame:
-    slots = b.view("v_slots")
-    rows = _stream(b, "v_board").join(F.broadcast(slots), ["terminal", "slot"]).withColumns(
-        {"route": one_route(), "percent_available": F.lit(None).cast("int")}
-    )
-    scheduled = combine_local(F.col("service_date"), F.col("hhmm"), b.params.zone)
-    board = rows.withColumn(
-        "departed_hhmm", local_hhmm(add_minutes(scheduled, F.col("late_minutes")), b.params.zone)
-    )
-    updates = _run(b, feeds.note_wait(board, "2 hours", b.params), feeds.write_updates)
-    return updates.groupBy("terminal", "service_date", "hhmm").agg(F.max_by("outcome", "batch").alias("outcome"))
+    done = _run(b, feeds.note_wait(_silent_board(b, _stream(b, "v_board")), "2 hours", b.params))
+    whole = _silent_board(b, instants(b.view("v_board")))
+    tail = feeds.note_wait_rest(feeds.held_back(whole, "observed_at", "2 hours"), b.params)
+    found = feeds.closed(done, tail, ["terminal", "service_date", "hhmm"])
+    return found.groupBy("terminal", "service_date", "hhmm").agg(F.count(F.lit(1)).cast("int").alias("times"), F.max("outcome").alias("outcome"))
 
 
 @query("str04_feed_freshness", """

@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import re
 
+# Terminal, slot and clock of the daily services.
+CLOCKS = {
+    "A": ("05:35", "07:25", "09:25", "11:45", "14:30", "16:55", "19:05", "21:00"),
+    "B": ("06:30", "08:20", "10:35", "12:55", "15:40", "18:00", "20:05", "22:00"),
+}
+SLOTS = [(t, k, clock) for t, clocks in CLOCKS.items() for k, clock in enumerate(clocks)]
+
 VIEWS = {
-    "v_slots": """
-select * from (values
- ('A',0,'05:35'),('A',1,'07:25'),('A',2,'09:25'),('A',3,'11:45'),('A',4,'14:30'),('A',5,'16:55'),('A',6,'19:05'),('A',7,'21:00'),
- ('B',0,'06:30'),('B',1,'08:20'),('B',2,'10:35'),('B',3,'12:55'),('B',4,'15:40'),('B',5,'18:00'),('B',6,'20:05'),('B',7,'22:00')) as s(terminal,slot,hhmm)""",
+    "v_slots": f"select * from (values {', '.join(map(str, SLOTS))}) as s(terminal,slot,hhmm)",
     "v_blocks": """
 select * from (values
  (1,'A',date '2024-01-01',date '2024-01-20','0123456','05:35,07:25,09:25,11:45,14:30,16:55,19:05,21:00'),

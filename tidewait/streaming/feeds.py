@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import date, datetime, timedelta, timezone
+from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidewait.functions.claims import is_moving, row_departed, says_full
 from tidewait.functions.clock import local_date, local_time
@@ -24,83 +24,126 @@ def dedupe_on_feed_time(positions: DataFrame, delay: str) -> DataFrame:
     )
 
 
-def _edges(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Stop-to-move edges of one vessel's day, in event order up to the watermark."""
-    berthed, times, moves = state.get if state.exists else (False, [], [])
-    held = [(int(t), bool(m)) for t, m in zip(times, moves, strict=True)]
-    for batch in batches:
-        held.extend(zip(batch["at"].astype("int64"), batch["moving"].astype(bool), strict=True))
-    limit = state.getCurrentWatermarkMs() * 1000
-    ready = sorted(x for x in held if x[0] <= limit)
-    waiting = sorted(x for x in held if x[0] > limit)
-    found = []
-    for at, moving in ready:
-        if moving and berthed:
-            found.append(at)
-        berthed = not moving
-    state.update((berthed, [t for t, _ in waiting], [m for _, m in waiting]))
-    if waiting:
-        state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, limit // 1000 + 1))
-    elif state.hasTimedOut:
-        state.remove()
-    else:
-        state.setTimeoutTimestamp(limit // 1000 + 86_400_000)
-    if found:
-        yield pd.DataFrame(
-            {"route": key[0], "vessel": key[1], "ledger_date": key[2],
-             "moment": pd.to_datetime(found, unit="us")}
-        )
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Edges(StatefulProcessor):
+    """Stop-to-move edges of one vessel's day.
+
+    Readings wait in a list until the watermark has passed them, as an earlier one may still arrive; a timer
+    at the earliest then takes all that are due, in order of feed time. A last timer, two days after
+    the day began, lets the state go."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, row_id long, moving boolean")
+        self.berthed = handle.getValueState("berthed", "berthed boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        fresh = [(r.at, r.row_id, r.moving) for r in rows]
+        if fresh:
+            self.waiting.appendList(fresh)
+            self.handle.registerTimer(min(fresh)[0] // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        limit = timerValues.getCurrentWatermarkInMs()
+        held = sorted(tuple(x) for x in self.waiting.get())
+        due, later = [x for x in held if x[0] < limit * 1000], [x for x in held if x[0] >= limit * 1000]
+        berthed = bool(self.berthed.exists() and self.berthed.get()[0])
+        found = []
+        for at, _, moving in due:
+            if moving and berthed:
+                found.append(at)
+            berthed = not moving
+        over = _day_start_ms(key[2]) + 2 * DAY_MS
+        if not later and limit >= over:
+            self.waiting.clear()
+            self.berthed.clear()
+        else:
+            self.waiting.put(later) if later else self.waiting.clear()
+            self.berthed.update((berthed,))
+            self.handle.registerTimer(later[0][0] // 1000 + 1 if later else max(over, limit + 1))
+        for at in found:
+            yield Row(route=key[0], vessel=key[1], ledger_date=key[2], moment=EPOCH + timedelta(microseconds=at))
+
+    def close(self) -> None:
+        pass
+
+
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+DAY_MS = 86_400_000
+
+
+def _day_start_ms(day: date) -> int:
+    return (day - EPOCH.date()).days * DAY_MS
 
 
 def departure_detection(positions: DataFrame, delay: str, params: Params) -> DataFrame:
     """Departures per (route, vessel, local date), emitted as the watermark passes them.
 
-    Readings may arrive in any order within the delay. A key is one vessel's day, so state
-    stays small and days of one busy vessel run on different tasks.
+    Readings may arrive in any order within the delay; ties of time go by row_id. A key is one vessel's day, so state
+    stays small and days of one busy vessel run on different tasks. State is kept by the session's RocksDB provider,
+    which is set here: the timers and lists of this operator need it.
     """
+    positions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     speaking = (
         positions.filter(F.col("reported_at").isNotNull())
         .withWatermark("reported_at", delay)
         .select(
             "route", "vessel", local_date(F.col("reported_at"), params.zone).alias("ledger_date"),
-            "reported_at", F.unix_micros("reported_at").alias("at"),
+            "reported_at", F.unix_micros("reported_at").alias("at"), F.col("row_id").cast("long").alias("row_id"),
             is_moving(F.col("status"), F.col("speed_knots")).alias("moving"),
         )
         .filter(F.col("moving").isNotNull())
     )
-    return speaking.groupBy("route", "vessel", "ledger_date").applyInPandasWithState(
-        _edges,
-        "route string, vessel string, ledger_date date, moment timestamp",
-        "berthed boolean, times array<bigint>, moves array<boolean>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+    return speaking.groupBy("route", "vessel", "ledger_date").transformWithState(
+        _Edges(), "route string, vessel string, ledger_date date, moment timestamp", "append", "eventTime"
     )
 
 
 def note_wait(board: DataFrame, delay: str, params: Params) -> DataFrame:
-    """Running verdict on the board's silence, restated whenever a service's rows change it.
+    """The verdict on the board's silence, once for every service.
 
-    Run in update mode: a service turns `boarded` once it was watched long enough after its
-    departure first showed, and back if a full note still lands. All rows of a service lie in
-    one local day, whose window lets the state go when the day is over.
+    All rows of a service lie in one local day. A full note may still land on its last minute, so the verdict is
+    final, and is emitted, when the watermark passes the end of that day; the state goes with it. Run in append mode.
     """
-    ok = board.filter((F.col("fetch_status") == "ok") & F.col("hhmm").isNotNull()).withColumn(
-        "local_at", local_time(F.col("observed_at"), params.zone)
-    )
-    gone = row_departed(F.col("departed_hhmm"), F.col("status_text"))
+    ok = silent_rows(board, params)
     totals = (
         ok.withWatermark("local_at", delay)
-        .groupBy(F.window("local_at", "1 day"), "route", "terminal", "service_date", "hhmm")
-        .agg(
-            F.min(F.when(gone, F.col("observed_at"))).alias("departed_first_seen"),
-            F.max("observed_at").alias("watched_until"),
-            F.bool_or(says_full(F.col("status_text"))).alias("left_full"),
-            F.count("percent_available").alias("n_percent"),
-        )
+        .groupBy(F.window("local_at", "1 day"), *SILENT_KEY)
+        .agg(*_silence())
     )
+    return _silent_verdict(totals, params)
+
+
+def note_wait_rest(board: DataFrame, params: Params) -> DataFrame:
+    """The same verdicts from a table: the batch twin, and the tail of an ended stream."""
+    return _silent_verdict(silent_rows(board, params).groupBy(F.window("local_at", "1 day"), *SILENT_KEY).agg(*_silence()), params)
+
+
+SILENT_KEY = ["route", "terminal", "service_date", "hhmm"]
+
+
+def silent_rows(board: DataFrame, params: Params) -> DataFrame:
+    """Board rows that name a service, with the local time they were seen at."""
+    named = board.filter((F.col("fetch_status") == "ok") & F.col("hhmm").isNotNull())
+    return named.withColumn("local_at", local_time(F.col("observed_at"), params.zone))
+
+
+def _silence() -> list[Column]:
+    gone = row_departed(F.col("departed_hhmm"), F.col("status_text"))
+    return [
+        F.min(F.when(gone, F.col("observed_at"))).alias("departed_first_seen"),
+        F.max("observed_at").alias("watched_until"),
+        F.bool_or(says_full(F.col("status_text"))).alias("left_full"),
+        F.count("percent_available").alias("n_percent"),
+    ]
+
+
+def _silent_verdict(totals: DataFrame, params: Params) -> DataFrame:
     return totals.filter(F.col("n_percent") == 0).select(
-        "route", "terminal", "service_date", "hhmm", "departed_first_seen", "watched_until",
-        silence_outcome(params).alias("outcome"),
+        *SILENT_KEY, "departed_first_seen", "watched_until", silence_outcome(params).alias("outcome")
     )
 
 
@@ -158,16 +201,3 @@ def write_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
         .option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()
     )
-
-
-def write_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append every update with the number of its batch; the highest number is current."""
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return (
-        stream.writeStream.foreachBatch(keep)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("update").trigger(availableNow=True).start()
-    )
