@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,18 +40,24 @@ IMPORT_ROWS = """select case when sailing_id%13=0 then '1997-02-30' else cast(r.
  from v_records r join v_slots s on s.terminal=r.origin and s.slot=r.slot"""
 
 
+# A row's cells as written; every 19th line ends two cells early, every 23rd has one too many.
+LINE = """service_date||','||origin||','||depart_hhmm||','||outcome||case when sailing_id%19=0 then '' else ','||coalesce(peak_queue,'')||','||coalesce(carryover,'')||','||coalesce(source,'')||case when sailing_id%23=0 then ',extra' else '' end end"""
+MALFORMED = "(sailing_id%19=0 or sailing_id%23=0)"
+
+
 @query("src03_import_outcomes", f"""
-select service_date, origin, depart_hhmm, outcome, case when outcome in ('waited_1','waited_2plus') then true when outcome='boarded' then false end as filled,
- case when reason is null then outcome in ('waited_1','waited_2plus') end as overload, case when reason is null then 'import:'||coalesce(source,'manual') end as method, cast(peak_queue as int) as peak_queue, reason, count(*) as n
-from (select service_date, origin, depart_hhmm, outcome, source, case when r is null then peak_queue end as peak_queue, r as reason from (select *, case when try_cast(service_date as date) is null then 'bad date' when origin not in ('A','B') then 'unknown terminal'
- when outcome not in ('boarded','waited_1','waited_2plus','cancelled') then 'unknown outcome' when depart_hhmm='5h35' then 'bad time' end as r from ({IMPORT_ROWS}))) x group by all""".replace(
-    "case when outcome in ('waited_1','waited_2plus') then true when outcome='boarded' then false end as filled",
-    "case when reason is null then case when outcome in ('waited_1','waited_2plus') then true when outcome='boarded' then false end end as filled",
-).replace("select service_date, origin, depart_hhmm, outcome, case when reason", "select service_date, origin, depart_hhmm, outcome, case when reason", 1))
+select service_date, origin, depart_hhmm, outcome, case when reason is null then case when outcome in ('waited_1','waited_2plus') then true when outcome='boarded' then false end end as filled,
+ case when reason is null then outcome in ('waited_1','waited_2plus') end as overload, case when reason is null then 'import:'||coalesce(source,'manual') end as method, cast(peak_queue as int) as peak_queue, reason, malformed, count(*) as n
+from (select service_date, origin, depart_hhmm, outcome, source, case when r is null then peak_queue end as peak_queue, r as reason, case when {MALFORMED} then {LINE} end as malformed from (
+ select *, case when {MALFORMED} then 'wrong number of columns' when try_cast(service_date as date) is null then 'bad date' when origin not in ('A','B') then 'unknown terminal'
+ when outcome not in ('boarded','waited_1','waited_2plus','cancelled') then 'unknown outcome' when depart_hhmm='5h35' then 'bad time' end as r from ({IMPORT_ROWS}))) x group by all""")
 def _(b: Bound) -> DataFrame:
     path = tables.fresh_dir(b.spark, "import")
-    b.sql(IMPORT_ROWS).drop("sailing_id").write.option("header", True).csv(path)
-    rows = imports.read_outcomes_csv(b.spark, path)
+    head = "service_date,origin,depart_hhmm,outcome,peak_queue,carryover,source"
+    # One file a task, each with its header, as a spreadsheet's exports are.
+    lines = b.sql(f"select {LINE} as value from ({IMPORT_ROWS})")
+    lines.mapInArrow(lambda batches: _with_header(batches, head), "value string").write.text(path)
+    rows = imports.read_outcomes_csv(b.spark, path, head.split(","))
     ends = b.terminals.select("route", "terminal", "destination")
     records, rejects = imports.import_outcomes(rows, ends, b.params)
     good = records.select(
@@ -61,26 +68,48 @@ def _(b: Bound) -> DataFrame:
     return both.groupBy(*both.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-HEADS = "case doc_id%7 when 0 then 'FFD8FFE0' when 1 then '89504E470D0A1A0A' when 2 then '474946383961' when 3 then '524946460000000057454250' when 4 then '524946460000000041564920' when 5 then '' else '3C68746D6C' end"
+def _with_header(batches, head: str):
+    yield pa.record_batch([pa.array([head])], ["value"])
+    yield from batches
+
+
+# Image files of every type: a JPEG whose frame segment lies behind others of varying length (one holds false markers),
+# the three forms of WEBP, PNG and GIF; every eleventh is cut after its signature.
+W, H = "doc_id%1900+20", "doc_id%1000+10"
+
+
+def _le(expr: str, count: int) -> str:
+    return "||".join(f"printf('%02X', cast(floor(({expr})/{256 ** i}) as bigint)%256)" for i in range(count))
+
+
+IMAGE = f"""case doc_id%7 when 0 then 'FFD8FFE0'||printf('%04X', 2+doc_id%40)||repeat('AB', cast(doc_id%40 as int))||'FFFFDB0006FFC0FFD9'||case when doc_id%2=0 then 'FFC0' else 'FFC2' end||'000B08'||printf('%04X', {H})||printf('%04X', {W})||'01011100'
+ when 1 then '89504E470D0A1A0A0000000D49484452'||printf('%08X', {W})||printf('%08X', {H})||'0802000000' when 2 then '474946383961'||{_le(W, 2)}||{_le(H, 2)}
+ when 3 then '524946460000000057454250'||case doc_id%3 when 0 then '5650382000000000000000'||'9D012A'||{_le(W, 2)}||{_le(H, 2)} when 1 then '5650384C000000002F'||{_le(f"({W}-1)+({H}-1)*16384", 4)} else '565038580A00000010000000'||{_le(f"{W}-1", 3)}||{_le(f"{H}-1", 3)} end
+ when 4 then '524946460000000041564920' when 5 then '' else '3C68746D6C' end"""
+FILE = f"case when doc_id%7=5 then '' when doc_id%11=0 then substr({IMAGE}, 1, case when doc_id%7=2 then 18 else 24 end) else {IMAGE}||hex(encode(text{{}})) end"
 
 
-@query("src04_frame_ingest", """
+@query("src04_frame_ingest", f"""
 select doc_id, case when n=0 then 'error' when k is null then 'error' else 'ok' end as status, case when k is not null then n end as bytes, case when k is not null then 'A/2024/01/'||printf('%02d', doc_id%28+1)||'/A_202401'||printf('%02d', doc_id%28+1)||'T'||printf('%02d', doc_id%24)||'0000.'||k end as path,
- case when k is not null then sha end as sha256, case when n=0 then 'empty response' when k is null then 'response was not an image (content-type=text/html)' end as error
+ case when k is not null then sha end as sha256, case when n=0 then 'empty response' when k is null then 'response was not an image (content-type=text/html)' end as error,
+ case when k is not null and doc_id%11<>0 then {W} end as width, case when k is not null and doc_id%11<>0 then {H} end as height, case when k is not null and doc_id%11=0 then 'image does not state its size' end as size_error
 from (select doc_id, octet_length(c) as n, sha256(c) as sha, case doc_id%7 when 0 then 'jpg' when 1 then 'png' when 2 then 'gif' when 3 then 'webp' end as k
- from (select doc_id, unhex(case doc_id%7 when 0 then 'FFD8FFE0' when 1 then '89504E470D0A1A0A' when 2 then '474946383961' when 3 then '524946460000000057454250' when 4 then '524946460000000041564920' when 5 then '' else '3C68746D6C' end || case when doc_id%7=5 then '' else hex(encode(text)) end) as c from {documents}))""")
+ from (select doc_id, unhex({FILE.format("")}) as c from {{documents}}))""")
 def _(b: Bound) -> DataFrame:
-    head = F.unhex(F.expr(HEADS))
-    body = F.when(F.col("doc_id") % 7 == 5, F.unhex(F.lit(""))).otherwise(F.encode("text", "utf-8"))
-    fetched = b.table("documents").select(
+    # Fetched files land in a table first, as the collector leaves them.
+    path = tables.fresh_dir(b.spark, "fetched")
+    b.sql(f"select doc_id, unhex({FILE.format(', ' + repr('utf-8'))}) as content from {{documents}}").write.parquet(path)
+    fetched = b.spark.read.schema("doc_id bigint, content binary").parquet(path).select(
         "doc_id", F.lit("A").alias("terminal"), F.lit("main").alias("camera"),
         F.expr("timestamp'2024-01-01' + make_dt_interval(cast(doc_id % 28 as int), cast(doc_id % 24 as int))").alias("captured_at"),
-        F.concat(head, body).alias("content"), F.lit("text/html").alias("content_type"),
-        F.lit(None).cast("string").alias("error"),
+        "content", F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("error"),
     )
-    return fr.ingest_frames(fetched, b.params).select(
-        "doc_id", "status", F.col("bytes").cast("bigint").alias("bytes"), "path", "sha256", "error"
+    frames = fr.ingest_frames(fetched, b.params).select(
+        "doc_id", "status", F.col("bytes").cast("bigint").alias("bytes"), "path", "sha256", "error",
+        F.col("width").cast("bigint").alias("width"), F.col("height").cast("bigint").alias("height"),
     )
+    named = fr.size_errors(fetched.withColumn("camera", F.col("doc_id"))).select(F.col("camera").alias("doc_id"), F.col("error").alias("size_error"))
+    return frames.join(named, "doc_id", "left")
 
 
 shape("o_offered", """
@@ -136,33 +165,52 @@ def _(b: Bound) -> DataFrame:
     )
 
 
-@query("snk02_insert_or_ignore", """
-select terminal, captured_at, frame_id from (select terminal, captured_at, min(frame_id) as frame_id from (select terminal, date_trunc('minute', captured_at) as captured_at, frame_id from v_readings where status='ok') group by 1,2)
+shape("o_held", """
+select terminal, captured_at, min(frame_id) as frame_id from (select terminal, date_trunc('minute', captured_at) as captured_at, frame_id from v_readings where status='ok') group by 1,2
 union all select terminal, null, frame_id from v_readings where status<>'ok'""")
+
+
+@query("snk02_insert_or_ignore", """
+select terminal, captured_at, frame_id, (select count(*) from o_held) as stored_first, (select count(*) from o_held where captured_at is null) as stored_again from o_held
+union all select terminal, captured_at, frame_id + 1000000000, (select count(*) from o_held), (select count(*) from o_held where captured_at is null) from o_held where captured_at is null""")
 def _(b: Bound) -> DataFrame:
     rows = b.view("v_readings").select(
         "terminal", F.when(F.col("status") == "ok", F.date_trunc("minute", "captured_at")).alias("captured_at"), "frame_id"
     )
-    key = ["terminal", "captured_at"]
-    # The table as it stands after one run, then the same rows offered again.
-    stored = sinks.new_rows(None, rows, key, ["frame_id"])
-    again = rows.filter("captured_at is not null").withColumn("frame_id", F.col("frame_id") + 1_000_000_000)
-    return sinks.insert_or_ignore(stored, again, key, ["frame_id"])
+    path, key = tables.fresh_dir(b.spark, "ignored"), ["terminal", "captured_at"]
+    first = sinks.append_new(path, rows, key, ["frame_id"])
+    # The same rows offered again: only those without a whole key are stored once more.
+    again = sinks.append_new(path, rows.withColumn("frame_id", F.col("frame_id") + 1_000_000_000), key, ["frame_id"])
+    held = b.spark.read.schema(rows.schema).parquet(path)
+    return held.withColumns({"stored_first": F.lit(first).cast("bigint"), "stored_again": F.lit(again).cast("bigint")})
 
 
 @query("snk03_upsert_and_replace", """
-select route, origin, scheduled, service_id, case when u.x is not null then 'sunday_holiday' else day_type end as day_type, season from o_uniq left join (select route as r, origin as o, scheduled as s, 1 as x from o_uniq where service_id%3=0) u on r=route and o=origin and s=scheduled
-union all select route, origin, scheduled + interval 1 day, service_id + 1000000000, 'saturday', 'winter' from o_uniq where service_id%5=0 and (route, origin, scheduled + interval 1 day) not in (select (route, origin, scheduled) from o_uniq)""")
+select route, origin, scheduled, case when replaced then service_id + 2000000000 else service_id end as service_id, case when replaced then 'friday' else day_type end as day_type, case when replaced then 'winter' else season end as season from (
+ select *, service_id < 1000000000 and service_id%7=0 as replaced from (
+  select route, origin, scheduled, service_id, case when service_id%3=0 then 'sunday_holiday' else day_type end as day_type, season from o_uniq
+  union all select route, origin, scheduled + interval 1 day, service_id + 1000000000, 'saturday', 'winter' from o_uniq where service_id%5=0 and (route, origin, scheduled + interval 1 day) not in (select (route, origin, scheduled) from o_uniq)))""")
 def _(b: Bound) -> DataFrame:
-    target = b.records.groupBy("route", "origin", "scheduled").agg(
+    key = ["route", "origin", "scheduled"]
+    target = b.records.groupBy(*key).agg(
         F.min("service_id").alias("service_id"), F.first("day_type").alias("day_type"), F.first("season").alias("season")
-    )
-    changed = target.filter("service_id % 3 = 0").withColumn("day_type", F.lit("sunday_holiday"))
+    ).withColumn("year", F.to_date(F.date_trunc("year", "scheduled")))
+    path = tables.fresh_dir(b.spark, "upserted")
+    sinks.write_keyed(path, target, key, ["service_id"], partition="year")
+    # Stored services change two columns, whatever else the batch says of them; new ones are added. The batch comes twice.
+    changed = target.filter("service_id % 3 = 0").withColumns({"service_id": F.col("service_id") + 9, "day_type": F.lit("sunday_holiday")})
     added = target.filter("service_id % 5 = 0").select(
         "route", "origin", add_minutes(F.col("scheduled"), 1440).alias("scheduled"),
         (F.col("service_id") + 1_000_000_000).alias("service_id"), F.lit("saturday").alias("day_type"), F.lit("winter").alias("season"),
-    ).join(target.select("route", "origin", "scheduled"), ["route", "origin", "scheduled"], "left_anti")
-    return sinks.upsert_services(target, changed.unionByName(added))
+    ).withColumn("year", F.to_date(F.date_trunc("year", "scheduled"))).join(target.select(*key), key, "left_anti")
+    for _again in range(2):
+        sinks.write_keyed(path, changed.unionByName(added), key, ["service_id"], update=["day_type", "season"], partition="year")
+    # And the form that replaces rows whole.
+    other = target.filter("service_id % 7 = 0").withColumns(
+        {"service_id": F.col("service_id") + 2_000_000_000, "day_type": F.lit("friday"), "season": F.lit("winter")}
+    )
+    sinks.write_keyed(path, other, key, ["service_id"], partition="year")
+    return b.spark.read.schema(target.schema).parquet(path).drop("year")
 
 
 shape("o_uniq", "select route, origin, scheduled, min(service_id) as service_id, any_value(day_type) as day_type, any_value(season) as season from o_records group by 1,2,3")
@@ -212,7 +260,7 @@ def _(b: Bound) -> DataFrame:
 
 
 # ---- forecasts as documents -------------------------------------------------------------
-MARINE = """concat('<marineData>', case when l_partkey%41=0 then '<broken>' else '' end, '<area> Outer   Strait </area><warnings', case when l_partkey%3=0 then ' name="WARNINGS"><event name="Gale warning" priority="urgent">in effect</event>' else '>' end, '</warnings>',
+MARINE = """concat('<marineData>', case when l_partkey%41=0 then '<broken>' else '' end, '<area> Outer   Strait </area><warnings', case when l_partkey%3=0 then case l_partkey%4 when 0 then ' name="WARNINGS"><event name="Gale warning" priority="urgent">in effect</event>' when 1 then ' title="a name=''x''"> <event priority="urgent" name="Gale"/> behind it ' when 2 then '>in  force<a type="t"><b>deep</b>tail</a>more' else ' type="storm"/><warnings>' end else '>' end, '</warnings>',
  '<regularForecast><dateTime zone="UTC"><timeStamp>', date_format(l_shipdate, 'yyyyMMdd'), '0930</timeStamp></dateTime><location name="south"><weatherCondition><wind>Wind north ', cast(cast(l_quantity as int) as string), ' knots</wind><periodOfCoverage>Today and tomorrow</periodOfCoverage></weatherCondition></location>',
  '<location name="North"><weatherCondition><wind>Wind west ', cast(l_linenumber*10 as string), ' to ', cast(l_linenumber*10+5 as string), ' knots</wind></weatherCondition></location></regularForecast>',
  '<extendedForecast><location><weatherCondition><forecastPeriod name="Thursday">Wind light</forecastPeriod><forecastPeriod name="Someday">Wind strong</forecastPeriod></weatherCondition></location></extendedForecast></marineData>')"""
@@ -221,10 +269,10 @@ DOC_ID = "concat(cast(l_orderkey as string),'-',cast(l_linenumber as string),'-'
 
 @query("scl18_marine_xml", f"""
 select doc_id, service_date, kind, wind, wind_max_kt, case when wind_max_kt>=48 then 'storm' when wind_max_kt>=34 then 'gale' when wind_max_kt>=20 then 'strong' else 'light' end as band,
- case when w then 'WARNINGS · Gale warning · urgent · in effect' end as warning, loc as location, 'Outer Strait' as area, cast(null as string) as error, count(*) as n from (
+ case w when 0 then 'WARNINGS · Gale warning · urgent · in effect' when 1 then 'Gale · urgent' when 2 then 'in force · t · deep' when 3 then 'storm' end as warning, loc as location, 'Outer Strait' as area, cast(null as string) as error, count(*) as n from (
  select {DOC_ID} as doc_id, d + unnest([0,1]) as service_date, 'regular' as kind, case when north then 'Wind west '||cast(l_linenumber*10 as string)||' to '||cast(l_linenumber*10+5 as string)||' knots' else 'Wind north '||cast(q as string)||' knots' end as wind,
-  case when north then l_linenumber*10+5 else q end as wind_max_kt, l_partkey%3=0 as w, case when north then 'North' else 'south' end as loc from o_marine where l_partkey%41<>0
- union all select {DOC_ID}, d + ahead, 'extended', 'Wind light', 10, l_partkey%3=0, case when north then 'North' else 'south' end from o_marine where l_partkey%41<>0 and ahead>1) group by all
+  case when north then l_linenumber*10+5 else q end as wind_max_kt, case when l_partkey%3=0 then l_partkey%4 end as w, case when north then 'North' else 'south' end as loc from o_marine where l_partkey%41<>0
+ union all select {DOC_ID}, d + ahead, 'extended', 'Wind light', 10, case when l_partkey%3=0 then l_partkey%4 end, case when north then 'North' else 'south' end from o_marine where l_partkey%41<>0 and ahead>1) group by all
 union all select {DOC_ID}, null, null, null, null, null, null, null, null, 'not well-formed XML', count(*) from o_marine where l_partkey%41=0 group by 1""")
 def _(b: Bound) -> DataFrame:
     docs = b.sql(
@@ -382,9 +430,9 @@ def _reads(b: Bound) -> DataFrame:
 
 
 @query("agg21_month_spend", """
-select day, reads, micros/1e6 as day_usd, sum(micros) over (partition by date_trunc('month', day) order by day)/1e6 as month_usd from (select day, count(*) as reads, sum(micros) as micros from o_reads group by 1)""")
+select day, reads, micros/1e6 as day_usd, sum(micros) over (partition by date_trunc('month', day) order by day)/1e6 as month_usd, greatest(20 - reads, 0) as frames_left from (select day, count(*) as reads, sum(micros) as micros from o_reads group by 1)""")
 def _(b: Bound) -> DataFrame:
-    return spend.daily_spend(_reads(b))
+    return spend.daily_spend(_reads(b), Params(zone="UTC", daily_frame_cap=20))
 
 
 # The processing order, coarse to fine; even one order holding most rows is split by its lines and parts.
@@ -392,15 +440,22 @@ LEVELS = ["month", "day", "block", "l_orderkey", "l_linenumber", "parts"]
 
 
 @query("str07_budget_stop", """
-select day, count(*) as read, cast(sum(micros) as bigint) as micros, cast(max(spent_before) as bigint) as most_spent_before from (
- select *, coalesce(sum(micros) over (partition by date_trunc('month', day) order by day, l_orderkey, l_linenumber, l_partkey, l_suppkey, micros, l_extendedprice rows between unbounded preceding and 1 preceding), 0) as spent_before from o_reads) where spent_before < 500000 group by 1""")
+select day, offered, coalesce(read, 0) as read, coalesce(micros, 0) as micros, most_spent_before, offered > 20 as day_full, coalesce(read, 0) < least(offered, 20) as month_spent from (select day, count(*) as offered from o_reads group by 1) left join (
+ select day, count(*) as read, cast(sum(micros) as bigint) as micros, cast(max(spent_before) as bigint) as most_spent_before from (
+  select *, coalesce(sum(micros) over (partition by date_trunc('month', day) order by day, l_orderkey, l_linenumber, l_partkey, l_suppkey, micros, l_extendedprice rows between unbounded preceding and 1 preceding), 0) as spent_before from (
+   select * from o_reads qualify row_number() over (partition by day order by l_orderkey, l_linenumber, l_partkey, l_suppkey, micros, l_extendedprice) <= 20)) where spent_before < 500000 group by 1) using (day)""")
 def _(b: Bound) -> DataFrame:
-    budget = Params(zone="UTC", monthly_budget_usd=0.5)
+    limits = Params(zone="UTC", monthly_budget_usd=0.5, daily_frame_cap=20)
     order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cost_micros", "l_extendedprice")]
-    kept = spend.within_budget(_reads(b), LEVELS, order, budget)
-    return kept.groupBy("day").agg(
+    kept = spend.admitted(_reads(b), LEVELS, order, limits).groupBy("day").agg(
         F.count(F.lit(1)).alias("read"), F.sum("cost_micros").alias("micros"), F.max("spent_before").alias("most_spent_before")
     )
+    offered = _reads(b).groupBy("day").agg(F.count(F.lit(1)).alias("offered"))
+    read, cap = F.coalesce("read", F.lit(0)), limits.daily_frame_cap
+    return offered.join(kept, "day", "left").select(
+        "day", "offered", read.alias("read"), F.coalesce("micros", F.lit(0)).alias("micros"), "most_spent_before",
+        (F.col("offered") > cap).alias("day_full"), (read < F.least("offered", F.lit(cap))).alias("month_spent"),
+    )
 
 
 @query("top02_latest_observation", """

@@ -46,11 +46,15 @@ def local_hhmm(ts: Column, zone: str) -> Column:
     return F.date_format(local_time(ts, zone), "HH:mm")
 
 
+# A clock of a day, seconds or more behind it ignored.
+DAY_CLOCK = r"^\s*(?:[01]?\d|2[0-3])\s*:\s*[0-5]?\d\s*(?::.*)?$"
+
+
 def hhmm_minutes(hhmm: Column) -> Column:
     """Minutes after midnight of an HH:MM text; NULL for text that is no clock of a day."""
-    parts = F.split(hhmm, ":")
-    hour, minute = (F.try_element_at(parts, F.lit(k)).try_cast("int") for k in (1, 2))
-    return F.when(hour.between(0, 23) & minute.between(0, 59), hour * 60 + minute)
+    hour = F.substring_index(hhmm, ":", 1)
+    minute = F.substring_index(F.substring_index(hhmm, ":", 2), ":", -1)
+    return F.when(hhmm.rlike(DAY_CLOCK), hour.cast("int") * 60 + minute.cast("int"))
 
 
 def minutes_hhmm(minutes: Column) -> Column:

@@ -164,9 +164,11 @@ def report_bounds(targets: DataFrame, reports: DataFrame, params: Params) -> Dat
     targets(route, origin, service_date, depart_hhmm, fill_minutes_before). Pools the same day
     type and long-weekend flag within the tolerance over every other date.
 
-    The reports are first folded to one row per (slot, date), then to one row per slot
-    carrying the best two dates for each figure, so leaving out a target's own date needs no
-    second look at the reports. A target then meets only the handful of slots near it.
+    The reports are folded to one row per (slot, date), then to one per slot with the best two dates for each figure.
+    Slots meet the different clock times asked for, not the targets: both are of the timetable's size, and meet in
+    buckets of minutes. Each clock time gets the best two dates over all slots near it, so a target, which joins its
+    own clock's one row, leaves out its date by taking the other. What its date added to the counts is
+    found among the few services of that date.
     """
     leads = with_calendar(
         reports.filter(F.col("joined_at").isNotNull()).withColumn(
@@ -212,44 +214,54 @@ def report_bounds(targets: DataFrame, reports: DataFrame, params: Params) -> Dat
         F.sum("n_missed").alias("n_missed"),
         F.count(F.lit(1)).alias("n_dates"),
         F.count(F.when(F.col("n_missed") > 0, 1)).alias("n_missed_dates"),
-    )
+    ).withColumn("_minutes", hhmm_minutes(F.col("depart_hhmm")))
+
+    like = ["route", "origin", "day_type", "long_weekend"]
+    tolerance = params.tolerance_minutes
+    width = max(1, tolerance)
+    wanted = with_calendar(
+        targets.select("route", "origin", "service_date", F.col("depart_hhmm").alias("target_hhmm"), "fill_minutes_before").distinct()
+    ).withColumn("target_minutes", hhmm_minutes(F.col("target_hhmm")))
+    # Clock times are folded to a set per kind of day before they are shuffled.
+    reach = F.sequence(F.expr(f"floor((target_minutes - {tolerance}) / {width})"), F.expr(f"floor((target_minutes + {tolerance}) / {width})"))
+    asked = wanted.filter(F.col("target_minutes").isNotNull()).select(*like, "target_hhmm", "target_minutes").distinct()
+    met = asked.withColumn("_bucket", F.explode(reach)).join(
+        slots.withColumn("_bucket", F.floor(F.col("_minutes") / width)), [*like, "_bucket"]
+    ).filter(F.abs(F.col("_minutes") - F.col("target_minutes")) <= tolerance)
 
-    wanted = with_calendar(targets.withColumn("target_minutes", hhmm_minutes(F.col("depart_hhmm"))))
-    near = wanted.select(
-        "route", "origin", "day_type", "long_weekend", "service_date",
-        F.col("depart_hhmm").alias("target_hhmm"), "target_minutes", "fill_minutes_before",
-    ).join(
-        slots.withColumn("_minutes", hhmm_minutes(F.col("depart_hhmm"))),
-        ["route", "origin", "day_type", "long_weekend"],
-    ).filter(F.abs(F.col("_minutes") - F.col("target_minutes")) <= params.tolerance_minutes)
-    own = dates.select(
-        "route", "origin", "depart_hhmm", "service_date",
-        F.lit(1).alias("own_date"),
-        F.col("n_boarded").alias("own_boarded"), F.col("n_missed").alias("own_missed"),
+    def candidates(best: str, second: str, lead: str) -> Column:
+        dated = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c)[lead].alias(lead), F.col(c)["service_date"].alias("service_date"), "depart_hhmm"))
+        return F.flatten(F.collect_list(F.array_compact(F.array(dated(best), dated(second)))))
+
+    # At most two dates of each slot within the tolerance.
+    near = met.groupBy(*like, "target_hhmm").agg(
+        F.sort_array(candidates("best_failed", "next_failed", "failed_lead"), asc=False).alias("_failed"),
+        F.sort_array(candidates("best_boarded", "next_boarded", "boarded_lead")).alias("_got_on"),
+        *[F.sum(c).alias(c) for c in ("n_boarded", "n_missed", "n_dates", "n_missed_dates")],
+    )
+    # The first of each list, and the first of another date.
+    other = lambda c: F.try_element_at(F.filter(c, lambda x: x["service_date"] != F.col(c)[0]["service_date"]), F.lit(1))
+    first = lambda c: F.try_element_at(F.col(c), F.lit(1))
+    near = near.select(
+        *like, "target_hhmm", "n_boarded", "n_missed", "n_dates", "n_missed_dates", first("_failed").alias("failed"), other("_failed").alias("failed_other"),
+        first("_got_on").alias("got_on"), other("_got_on").alias("got_on_other"),
     )
-    near = near.join(own, ["route", "origin", "depart_hhmm", "service_date"], "left")
-    mine = lambda best: F.col(f"{best}.service_date") == F.col("service_date")
-    left = near.select(
-        "route", "origin", "service_date", "target_hhmm", "target_minutes", "fill_minutes_before",
-        F.when(mine("best_failed"), F.col("next_failed")).otherwise(F.col("best_failed")).alias("f"),
-        F.when(mine("best_boarded"), F.col("next_boarded")).otherwise(F.col("best_boarded")).alias("b"),
-        "depart_hhmm",
-        (F.col("n_boarded") - F.coalesce("own_boarded", F.lit(0))).alias("nb"),
-        (F.col("n_missed") - F.coalesce("own_missed", F.lit(0))).alias("nm"),
-        (F.col("n_dates") - F.coalesce("own_date", F.lit(0))).alias("nd"),
-        (F.col("n_missed_dates") - F.coalesce((F.col("own_missed") > 0).cast("int"), F.lit(0))).alias("nmd"),
+    day = ["route", "origin", "service_date"]
+    own = wanted.select(*day, "target_hhmm", "target_minutes").distinct().join(
+        dates.select(*day, hhmm_minutes(F.col("depart_hhmm")).alias("_minutes"), F.col("n_boarded").alias("_b"), F.col("n_missed").alias("_m")), day
+    ).filter(F.abs(F.col("_minutes") - F.col("target_minutes")) <= tolerance).groupBy(*day, "target_hhmm").agg(
+        F.sum("_b").alias("own_boarded"), F.sum("_m").alias("own_missed"),
+        F.count(F.lit(1)).alias("own_dates"), F.count(F.when(F.col("_m") > 0, 1)).alias("own_missed_dates"),
     )
-    bounds = left.groupBy(
-        "route", "origin", "service_date", "target_hhmm", "target_minutes", "fill_minutes_before"
-    ).agg(
-        F.max(
-            F.when(F.col("f").isNotNull(), F.struct("f.failed_lead", "f.service_date", "depart_hhmm"))
-        ).alias("strongest"),
-        F.min("b.boarded_lead").alias("lowest_boarded"),
-        F.sum("nb").alias("n_boarded"),
-        F.sum("nm").alias("n_missed"),
-        F.sum("nd").alias("n_sailings"),
-        F.sum("nmd").alias("turned_away_sailings"),
+    met_own = wanted.join(near, [*like, "target_hhmm"]).join(own, [*day, "target_hhmm"], "left")
+    mine = lambda c: F.coalesce(F.col(c)["service_date"] == F.col("service_date"), F.lit(False))
+    less = lambda total, owned: (F.col(total) - F.coalesce(owned, F.lit(0))).alias(total)
+    bounds = met_own.select(
+        *day, "target_hhmm", "target_minutes", "fill_minutes_before",
+        F.when(mine("failed"), F.col("failed_other")).otherwise(F.col("failed")).alias("strongest"),
+        F.when(mine("got_on"), F.col("got_on_other")).otherwise(F.col("got_on"))["boarded_lead"].alias("lowest_boarded"),
+        less("n_boarded", "own_boarded"), less("n_missed", "own_missed"),
+        less("n_dates", "own_dates").alias("n_sailings"), less("n_missed_dates", "own_missed_dates").alias("turned_away_sailings"),
     )
     lead = F.col("strongest.failed_lead")
     tightens = lead.isNotNull() & (

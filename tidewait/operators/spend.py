@@ -23,8 +23,12 @@ def cost_usd(input_tokens: Column, output_tokens: Column, params: Params) -> Col
     ) / F.lit(1e6)
 
 
-def daily_spend(reads: DataFrame) -> DataFrame:
-    """Per day: reads, cost, and cost since the start of its month."""
+def daily_spend(reads: DataFrame, params: Params) -> DataFrame:
+    """Per day: reads, cost, cost since the start of its month, and what the daily cap leaves.
+
+    The cap counts frames read by any path; `frames_left` is NULL without a cap and never below 0, as paths that are
+    not capped may have gone past it."""
+    cap = params.daily_frame_cap
     day = F.to_date("created_at")
     days = reads.groupBy(day.alias("day")).agg(
         F.count(F.lit(1)).alias("reads"), F.sum("cost_micros").alias("day_micros")
@@ -36,9 +40,27 @@ def daily_spend(reads: DataFrame) -> DataFrame:
     return days.withColumn("month_micros", F.sum("day_micros").over(month)).select(
         "day", "reads", (F.col("day_micros") / 1e6).alias("day_usd"),
         (F.col("month_micros") / 1e6).alias("month_usd"),
+        (F.lit(None).cast("bigint") if cap is None else F.greatest(F.lit(cap) - F.col("reads"), F.lit(0)).cast("bigint")).alias("frames_left"),
     )
 
 
+def within_daily_cap(reads: DataFrame, levels: list[str], order: list[Column], params: Params) -> DataFrame:
+    """The reads a day has room for: the first so many of each, in processing order. Every task cuts its share
+    of a day before the shuffle. The first two levels are month and day."""
+    if params.daily_frame_cap is None:
+        return reads
+    place = F.row_number().over(W.partitionBy(*levels[:2]).orderBy(*levels[2:], *order))
+    return reads.withColumn("_place", place).filter(F.col("_place") <= params.daily_frame_cap).drop("_place")
+
+
+def admitted(reads: DataFrame, levels: list[str], order: list[Column], params: Params) -> DataFrame:
+    """Reads processed under both limits, in order: the day's cap of frames and the month's budget.
+
+    A read the day refuses costs the month nothing. Once a month is spent it admits no more, and up to there a day
+    has admitted all it had room for; so the cap can be applied first, and the budget to what is left."""
+    return within_budget(within_daily_cap(reads, levels, order, params), levels, order, params)
+
+
 def group_offsets(df: DataFrame, levels: list[str], value: str, name: str) -> DataFrame:
     """One row per finest group with the sum of `value` over all earlier groups of its first level.
 

@@ -75,6 +75,8 @@ class Params:
     typical_input_tokens: int = 800
     typical_output_tokens: int = 40
     monthly_budget_usd: float = 5.0
+    # Frames read in a day, by whatever path, before on-demand reading stops; None is no cap, 0 stops it.
+    daily_frame_cap: int | None = 120
 
     # ledger
     late_tolerance_minutes: int = 75

@@ -29,7 +29,11 @@ SHORE_SCHEMA = (
 # What may stand before a document type: declarations, comments and blanks, however long.
 DOCTYPE = r"(?is)\A\x{FEFF}?(?:\s++|<\?.*?\?>|<!--.*?-->)*+<!DOCTYPE"
 WARNINGS = r"""(?s)<warnings\b(?:[^>"'/]|/(?!>)|"[^"]*"|'[^']*')*+(?:/>|>.*?</warnings>)"""
-SPOKEN = r"""(?s)\b(?:name|type|event|priority)\s*=\s*(?:"[^"]*"|'[^']*')|>[^<]+<"""
+# One start tag with the text that stands directly behind it, if the tag is not closed in itself.
+STARTED = r"""(?s)<[A-Za-z_](?:[^>"']|"[^"]*"|'[^']*')*+>[^<]*"""
+ATTRIBUTE = r"""(?s)[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*')"""
+# The attributes a warning may be named by, in the order they are read.
+SPOKEN = ("name", "type", "event", "priority")
 OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 
@@ -67,11 +71,20 @@ def _pick(locations: Column, preferred: Column) -> Column:
 
 
 def warning_text(xml: Column) -> Column:
-    """Everything named or written in and below the warnings element, distinct, in order."""
+    """Everything named or written in and below the warnings element, distinct: of each element its name, type, event
+    and priority, then the text before its first child. Text that follows a closed element belongs to none."""
     block = F.regexp_replace(F.regexp_extract(xml, WARNINGS, 0), r"(?s)<!--.*?-->|<!\[CDATA\[|\]\]>", "")
-    pieces = F.regexp_extract_all(block, F.lit(SPOKEN), F.lit(0))
-    bare = lambda p: F.regexp_replace(p, r"""(?s)\A(?:\w+\s*=\s*["']|>)|["'<]\z""", "")
-    words = F.transform(pieces, lambda p: F.trim(F.regexp_replace(decode_references(bare(p)), r"\s+", " ")))
+
+    def spoken(piece: Column) -> Column:
+        tag = F.regexp_extract(piece, r"""(?s)\A<(?:[^>"']|"[^"]*"|'[^']*')*+>""", 0)
+        attributes = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0))
+        of = lambda key: F.try_element_at(F.filter(attributes, lambda a: F.regexp_extract(a, r"\A[\w:.-]+", 0) == key), F.lit(1))
+        value = lambda a: F.regexp_extract(a, r"""(?s)=\s*["'](.*)["']\z""", 1)
+        text = F.when(~tag.endswith("/>"), F.substring(piece, F.length(tag) + 1, F.length(piece)))
+        return F.array(*[value(of(k)) for k in SPOKEN], text)
+
+    pieces = F.flatten(F.transform(F.regexp_extract_all(block, F.lit(STARTED), F.lit(0)), spoken))
+    words = F.transform(F.array_compact(pieces), lambda p: F.trim(F.regexp_replace(decode_references(p), r"\s+", " ")))
     return F.nullif(F.array_join(F.array_distinct(F.filter(words, lambda w: w != "")), " · "), F.lit(""))
 
 

@@ -18,17 +18,22 @@ CSV_SCHEMA = (
 IMPORTABLE = ("boarded", "waited_1", "waited_2plus", "cancelled")
 
 
-def read_outcomes_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The file's columns by name; the last three may be absent."""
-    raw = spark.read.option("header", True).csv(path)
+def read_outcomes_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """The file's columns by name, and `malformed`, the text of a line with too few or too many cells.
+
+    The last three columns may be absent. `columns` states the file's columns in order; without it they are read off its header."""
+    columns = columns or spark.read.option("header", True).csv(path).columns
+    schema = ", ".join([*[f"`{c}` STRING" for c in columns], "`malformed` STRING"])
+    options = {"header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed", "columnPruning": False}
+    raw = spark.read.schema(schema).options(**options).csv(path)
     wanted = [c.split()[0] for c in CSV_SCHEMA.split(", ")]
-    return raw.select(
-        *[F.col(c).cast("string") if c in raw.columns else F.lit(None).cast("string").alias(c) for c in wanted]
-    )
+    return raw.select(*[F.col(c) if c in columns else F.lit(None).cast("string").alias(c) for c in wanted], "malformed")
 
 
 def import_outcomes(rows: DataFrame, terminals: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects). `filled` is refused: a hand-built file cannot know it."""
+    """(records, rejects). `filled` is refused: a hand-built file cannot know it. A malformed line is refused whole, whatever
+    its cells would say."""
+    malformed = F.col("malformed") if "malformed" in rows.columns else F.lit(None).cast("string")
     known = terminals.select(
         "route", F.col("terminal").alias("origin"), "destination"
     )
@@ -36,11 +41,12 @@ def import_outcomes(rows: DataFrame, terminals: DataFrame, params: Params) -> tu
         *[F.trim(c).alias(c) for c in ("service_date", "origin", "depart_hhmm", "outcome")],
         F.col("peak_queue").try_cast("int").alias("peak_queue"),
         F.col("carryover").try_cast("int").alias("carryover"),
-        "source",
+        "source", malformed.alias("malformed"),
     ).withColumn("_date", F.try_to_date("service_date", "yyyy-MM-dd"))
     judged = trimmed.join(known, "origin", "left").withColumn(
         "reason",
-        F.when(F.col("_date").isNull(), "bad date")
+        F.when(F.col("malformed").isNotNull(), "wrong number of columns")
+        .when(F.col("_date").isNull(), "bad date")
         .when(F.col("route").isNull(), "unknown terminal")
         .when(~F.coalesce(F.col("outcome").isin(*IMPORTABLE), F.lit(False)), "unknown outcome")
         .when(hhmm_minutes(F.col("depart_hhmm")).isNull(), "bad time"),
@@ -59,6 +65,6 @@ def import_outcomes(rows: DataFrame, terminals: DataFrame, params: Params) -> tu
         F.concat(F.lit("import:"), F.coalesce("source", F.lit("manual"))).alias("method"),
     )
     rejects = judged.filter(F.col("reason").isNotNull()).select(
-        "service_date", "origin", "depart_hhmm", "outcome", "reason"
+        "service_date", "origin", "depart_hhmm", "outcome", "reason", "malformed"
     )
     return records, rejects
