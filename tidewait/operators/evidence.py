@@ -56,12 +56,14 @@ def _ordered(*extra: Column) -> Column:
     return F.struct(F.col("captured_at"), F.col("frame_id"), *extra)
 
 
-def camera_summary(pairs: DataFrame, params: Params) -> DataFrame:
+def camera_summary(pairs: DataFrame, params: Params, carry: list[str] | None = None) -> DataFrame:
     """Everything the camera says about a service, one row each.
 
     `pairs` are the service's readings with `departed_at` (board or tracker, NULL when
-    neither timed it) on every row.
+    neither timed it) on every row; a row whose reading is NULL keeps a service without readings. `carry` names further columns of the
+    service, equal on all its rows, that the fold takes along.
     """
+    taken = [c for c in carry or [] if c not in (*SERVICE_KEY, "scheduled")]
     ts, count, band = F.col("captured_at"), F.col("vehicle_count"), F.col("band")
     dep, departed = F.col("scheduled"), F.col("departed_at")
     scheduled_settle = add_minutes(dep, params.settle_minutes)
@@ -96,7 +98,8 @@ def camera_summary(pairs: DataFrame, params: Params) -> DataFrame:
         & F.col("full_lanes_at_capacity")
     )
     return marked.groupBy(*SERVICE_KEY, "scheduled").agg(
-        F.count(F.lit(1)).alias("n_frames"),
+        *[F.first(c).alias(c) for c in taken],
+        F.count("captured_at").alias("n_frames"),
         F.first("left_at").alias("left_at"),
         F.first("still_at_dock").alias("still_at_dock"),
         F.max(F.when(before & counted, count)).alias("peak_queue"),

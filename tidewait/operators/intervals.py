@@ -44,6 +44,24 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str,
     return joined.filter(F.col(at).between(F.col(start), F.col(end))).drop("_hour", "_salt")
 
 
+def interval_fold_rows(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, *,
+                       salts: int = 1, width: int = HOUR) -> DataFrame:
+    """interval_join for a fold that must not lose a span: every span stays, and a point outside it is all NULL.
+
+    So whatever a span carries goes through the one join and the one grouping behind it, and need not be computed a second time
+    to be joined back. A span has a row without a point for each of its copies that meets none."""
+    own = [c for c in points.columns if c not in keys and c not in spans.columns]
+    salted = points.select(*keys, *own).withColumns(
+        {"_hour": _bucket(F.col(at), width), "_salt": F.pmod(F.xxhash64(F.col(at)), F.lit(salts)).cast("int")}
+    )
+    first, last = _bucket(F.col(start), width), _bucket(F.col(end), width)
+    copies = spans.withColumn("_hour", F.explode(F.sequence(first, F.greatest(first, last))))
+    copies = copies.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    joined = copies.join(salted, [*keys, "_hour", "_salt"], "left").drop("_hour", "_salt")
+    inside = F.coalesce(F.col(at).between(F.col(start), F.col(end)), F.lit(False))
+    return joined.select(*spans.columns, *[F.when(inside, F.col(c)).alias(c) for c in own])
+
+
 def unique_frames(frames: DataFrame) -> DataFrame:
     """First stored row of each (terminal, camera, captured_at); the archive's unique key.
 
@@ -169,6 +187,13 @@ def readings_in_window(services: DataFrame, readings: DataFrame, params: Params)
                          salts=params.salts)
 
 
+def services_with_readings(services: DataFrame, readings: DataFrame, params: Params) -> DataFrame:
+    """As readings_in_window, with every service kept: one without a reading has rows whose reading is NULL."""
+    spans = service_windows(services, params).withColumn("terminal", F.col("origin"))
+    return interval_fold_rows(readings.filter(F.col("usable")), spans, ["terminal"], "captured_at", "window_start", "window_end",
+                              salts=params.salts)
+
+
 def newest_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int,
                      rank: str = "rank") -> DataFrame:
     """The first n rows per group; Spark keeps only n per task before it shuffles."""

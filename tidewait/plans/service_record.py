@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewait.functions.claims import merge_claims, outcome_from_axes
 from tidewait.operators.board import board_summary
 from tidewait.operators.evidence import best_reading_per_frame, camera_summary, camera_verdict
-from tidewait.operators.intervals import readings_in_window
+from tidewait.operators.intervals import services_with_readings
 from tidewait.operators.ledger import departure_ledger, tracked_departures
 from tidewait.operators.reports import report_rollup
 from tidewait.operators.services import SERVICE_KEY, with_neighbours
@@ -80,8 +80,9 @@ def service_records(services: DataFrame, evidence: Evidence, params: Params,
                     dates: tuple[date, date] | None = None) -> DataFrame:
     """One record per scheduled service; of these dates, first to last, if they are given.
 
-    A range is pushed into all five feeds, so a refresh of a few days reads a few days. The feeds meet only on the service key, each already folded to one row per service; the
-    one wide join is readings to windows, which is keyed by terminal and hour.
+    A range is pushed into all five feeds, so a refresh of a few days reads a few days. Board, tracker and reports meet the services on
+    the service key, each folded to one row per service; the one wide join is readings to windows, keyed by terminal and hour,
+    and its fold carries the services along.
     """
     if dates is not None:
         first, last = dates
@@ -96,14 +97,10 @@ def service_records(services: DataFrame, evidence: Evidence, params: Params,
         evidence.readings.filter("usable"),
         ["terminal", "camera", "captured_at"], params.model_version,
     )
-    windows = timed.select(
-        *SERVICE_KEY, "scheduled", "previous_departure", "next_departure", "departed_at",
-        "full_lanes_at_capacity",
-    )
-    seen = camera_summary(readings_in_window(windows, readings, params), params).drop("scheduled")
+    # The services go through the camera's join and fold with all that is known of them.
+    seen = camera_summary(services_with_readings(timed, readings, params), params, timed.columns)
     joined = (
-        timed.join(seen, SERVICE_KEY, "left")
-        .join(report_rollup(evidence.reports), SERVICE_KEY, "left")
+        seen.join(report_rollup(evidence.reports), SERVICE_KEY, "left")
         .withColumn(
             "departure_seen",
             F.coalesce("left_at", "departed_at").isNotNull() | F.col("deck_space_min").isNotNull(),
