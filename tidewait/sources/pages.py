@@ -38,47 +38,42 @@ def _one_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def clock_segments(pages: DataFrame, expected: DataFrame) -> DataFrame:
-    """Each scheduled clock on a page with the text that runs to the next scheduled one.
+FEW_TERMINALS = 10_000  # whose clocks, at most 1,440 each, are sent to every task
 
-    pages(page_id, terminal, text), expected(terminal, depart_hhmm). A clock that is no
-    scheduled departure stays part of the text around it.
-    """
-    clocks = F.regexp_extract_all("text", F.lit(CLOCK_PATTERN), F.lit(0))
-    tails = F.slice(F.split("text", CLOCK_PATTERN, -1), F.lit(2), F.size(clocks))
-    found = pages.select(
-        "page_id", "terminal", F.posexplode(F.arrays_zip(clocks.alias("clock"), tails.alias("tail")))
-        .alias("place", "c"),
-    ).select("page_id", "terminal", "place", "c.clock", "c.tail")
-    timed = found.withColumn("hhmm", first_clock(F.col("clock")))
-    times = expected.select("terminal", F.col("depart_hhmm").alias("hhmm")).distinct().withColumn(
-        "scheduled", F.lit(True)
-    )
-    marked = timed.join(times, ["terminal", "hhmm"], "left").withColumn(
-        "entry",
-        F.sum(F.coalesce(F.col("scheduled").cast("int"), F.lit(0))).over(
-            W.partitionBy("page_id").orderBy("place")
-        ),
-    )
-    piece = F.struct("place", F.when(F.col("scheduled"), F.col("tail")).otherwise(F.concat("clock", "tail")).alias("t"))
-    return marked.filter(F.col("entry") > 0).groupBy("page_id", "terminal", "entry").agg(
-        F.min_by("hhmm", "place").alias("hhmm"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["t"]), "").alias("full"),
-    ).select(
-        "page_id", "terminal", "entry", "hhmm",
-        F.split("full", FOOTER, 2)[0].alias("segment"),
-    )
 
+def _clocks_of(expected: DataFrame) -> DataFrame:
+    """One row per terminal with its scheduled clocks, broadcast when their number has been checked."""
+    times = expected.groupBy("terminal").agg(F.collect_set("depart_hhmm").alias("times"))
+    return F.broadcast(times) if times.limit(FEW_TERMINALS + 1).count() <= FEW_TERMINALS else times
 
-def board_rows_from_pages(pages: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row per page and scheduled service: percentage, departure and note.
 
-    pages(page_id, terminal, html). The board prints a service more than once; its entries
-    are merged, any field one of them filled being kept, the longest note winning.
-    """
-    text = pages.select("page_id", "terminal", visible_text(F.col("html")).alias("text"))
-    segments = clock_segments(text, expected)
-    segment = F.col("segment")
+def _segments(text: Column, times: Column) -> Column:
+    """Each scheduled clock of a text, in order, with what runs to the next scheduled one, up to the page's footer.
+
+    A clock that is no scheduled departure stays part of the text around it. The whole text is walked inside its row."""
+    clocks = F.regexp_extract_all(text, F.lit(CLOCK_PATTERN), F.lit(0))
+    tails = F.slice(F.split(text, CLOCK_PATTERN, -1), F.lit(2), F.size(clocks))
+
+    def piece(clock: Column, tail: Column) -> Column:
+        return F.struct(clock.alias("clock"), tail.alias("tail"), F.get(F.array_intersect(F.array(first_clock(clock)), times), F.lit(0)).alias("hhmm"))
+
+    def cut(pieces: Column) -> Column:
+        numbered = F.transform(pieces, lambda p, i: F.struct(p["hhmm"].alias("hhmm"), (i + 1).alias("place")))
+        starts = F.filter(numbered, lambda p: p["hhmm"].isNotNull())
+
+        def entry(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1)["place"], F.size(pieces) + 1)
+            tail = lambda p: F.when(p["hhmm"].isNotNull(), p["tail"]).otherwise(F.concat(p["clock"], p["tail"]))
+            whole = F.array_join(F.transform(F.slice(pieces, start["place"], end - start["place"]), tail), "")
+            return F.struct(start["hhmm"].alias("hhmm"), F.split(whole, FOOTER, 2)[0].alias("segment"))
+
+        return F.transform(starts, entry)
+
+    return F.flatten(F.transform(F.array(F.zip_with(clocks, tails, piece)), cut))
+
+
+def _stated(hhmm: Column, segment: Column) -> Column:
+    """What one entry of the board says: percentage, departure and note."""
     cancelled = F.lower(F.regexp_extract(segment, STATUS_WORD, 1)).isin("cancelled", "canceled")
     percent_text = F.regexp_extract(segment, PERCENT, 0)
     value = F.regexp_extract(segment, PERCENT, 1).try_cast("int")
@@ -91,20 +86,37 @@ def board_rows_from_pages(pages: DataFrame, expected: DataFrame) -> DataFrame:
     clock = [F.regexp_extract(segment, DEPARTED_NOTE, i) for i in (1, 2, 3)]
     departed = F.when(clock[0] != "", clock_to_24h(*clock))
     note = F.nullif(_one_space(segment), F.lit(""))
-    entries = segments.select(
-        "page_id", "terminal", "hhmm", "entry",
-        F.when(~cancelled, percent).alias("percent"),
-        F.when(~cancelled, departed).alias("departed"),
+    return F.struct(
+        hhmm.alias("hhmm"), F.when(~cancelled, percent).alias("percent"), F.when(~cancelled, departed).alias("departed"),
         F.when(cancelled, F.lit("cancelled")).otherwise(note).alias("note"),
-    ).filter(F.col("percent").isNotNull() | F.col("note").isNotNull())
-    stated = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("entry")))
-    return entries.groupBy("page_id", "terminal", "hhmm").agg(
-        stated("percent").alias("percent_available"),
-        stated("departed").alias("departed_hhmm"),
-        F.max_by("note", F.when(F.col("note").isNotNull(), F.struct(F.length("note"), -F.col("entry")))).alias("status_text"),
     )
 
 
+def board_rows_from_pages(pages: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row per page and scheduled service: percentage, departure and note.
+
+    pages(page_id, terminal, html), expected(terminal, depart_hhmm). The board prints a service more than once; its entries
+    are merged, the first that fills a field being kept, the longest note winning. All of it happens inside a page's
+    row: no text is exploded, shuffled or gathered again.
+    """
+    text = pages.select("page_id", "terminal", visible_text(F.col("html")).alias("text"))
+    cut = text.join(_clocks_of(expected), "terminal").select("page_id", "terminal", _segments(F.col("text"), F.col("times")).alias("_cut"))
+    said = F.filter(F.transform("_cut", lambda e: _stated(e["hhmm"], e["segment"])), lambda e: e["percent"].isNotNull() | e["note"].isNotNull())
+
+    def merged(hhmm: Column) -> Column:
+        mine = F.filter("_said", lambda e: e["hhmm"] == hhmm)
+        first = lambda field: F.get(F.array_compact(F.transform(mine, lambda e: e[field])), F.lit(0))
+        longer = lambda kept, note: F.when(kept.isNull() | (F.length(note) > F.length(kept)), note).otherwise(kept)
+        notes = F.array_compact(F.transform(mine, lambda e: e["note"]))
+        return F.struct(
+            hhmm.alias("hhmm"), first("percent").alias("percent_available"), first("departed").alias("departed_hhmm"),
+            F.aggregate(notes, F.lit(None).cast("string"), longer).alias("status_text"),
+        )
+
+    named = cut.withColumn("_said", said).withColumn("_hhmm", F.array_distinct(F.transform("_said", lambda e: e["hhmm"])))
+    return named.select("page_id", "terminal", F.explode(F.transform("_hhmm", merged)).alias("row")).select("page_id", "terminal", "row.*")
+
+
 def fetch_status(pages: DataFrame, rows: DataFrame) -> DataFrame:
     """How each collected page is classified, with raw text kept only for diagnosis."""
     recognised = rows.select("page_id").distinct().withColumn("_rows", F.lit(True))
