@@ -113,6 +113,12 @@ class Bound:
             "sailing_id", "l_linenumber", "l_partkey", "scheduled",
         )
 
+    @cached_property
+    def event_reports(self) -> DataFrame:
+        """Reports about the services of the event feeds: what the merge reads of a report, and no more."""
+        rows = self._timed(self.view("v_event_reports"), "origin")
+        return rows.select(one_route(), "origin", "service_date", "depart_hhmm", "boarded", "sailings_waited")
+
     @cached_property
     def records(self) -> DataFrame:
         rows = with_calendar(self._timed(self.view("v_records"), "origin"))

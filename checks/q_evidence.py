@@ -201,7 +201,7 @@ def _timed(b: Bound) -> DataFrame:
 
 
 def _evidence(b: Bound) -> Evidence:
-    return Evidence(b.readings, b.board, b.positions, b.reports, b.terminals)
+    return Evidence(b.readings, b.board, b.positions, b.event_reports, b.terminals)
 
 
 def _summary(b: Bound) -> DataFrame:
@@ -355,6 +355,9 @@ def _(b: Bound) -> DataFrame:
 
 
 # ---- reports ----------------------------------------------------------------------------
+shape("o_told", """
+select origin, r.service_date, s.hhmm as depart_hhmm, case when not bool_or(not boarded) then 'boarded' when max(sailings_waited) filter (not boarded)>=2 then 'waited_2plus' when max(sailings_waited) filter (not boarded)>=1 then 'waited_1' else 'filled' end as outcome,
+ round(least(0.95e0, 0.8e0+0.05e0*count(*)),2) as confidence from v_event_reports r join v_slots s on s.terminal=r.origin and s.slot=r.slot group by 1,2,3""")
 shape("o_rep_sum", """
 select route, origin, service_date, depart_hhmm, count(*) as n, bool_or(not boarded) as missed, max(sailings_waited) filter (not boarded) as wait,
  case when not bool_or(not boarded) then 'boarded' when max(sailings_waited) filter (not boarded)>=2 then 'waited_2plus' when max(sailings_waited) filter (not boarded)>=1 then 'waited_1' else 'filled' end as outcome,
@@ -447,7 +450,7 @@ select t.origin, t.service_date, t.depart_hhmm, t.scheduled, t.departed_at, t.de
    when not {SEEN} then case when t.origin='A' then 'cancelled' else 'unknown' end when band_when_left='empty' then 'boarded' else 'filled' end
   else case when residual_queue is null or queue_at_departure is null or still then 'unknown' when residual_queue<5 then 'boarded'
    when not {SEEN} then case when t.origin='A' then 'cancelled' else 'unknown' end when residual_queue>125 then 'waited_2plus' else 'waited_1' end end as camera
-from {JOINED} left join o_rep_sum r on r.route='r1' and r.origin=t.origin and r.service_date=t.service_date and r.depart_hhmm=t.depart_hhmm""")
+from {JOINED} left join o_told r on r.origin=t.origin and r.service_date=t.service_date and r.depart_hhmm=t.depart_hhmm""")
 # The merge, one source after another, each a step over the last.
 shape("o_merge1", """
 select *, camera in ('waited_1','waited_2plus','filled') or null as f1, case when camera in ('waited_1','waited_2plus','filled') then true when camera='boarded' then false end as l1,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -382,15 +384,27 @@ def _(b: Bound) -> DataFrame:
     return quality.observed_range(b.frames, b.board, b.params)
 
 
-@query("agg19_capture_health", """
-select captures, failed, round(captures/4032,4) as capture_rate, round(bok/btot,4) as board_rate, busable as board_usable, awaiting, round(unusable/rd,4) as unusable_share, services, with_record, round(with_record/services,4) as coverage, last_capture_at, round(micros/1e6,4) as month_spend,
- concat_ws('; ', case when round(captures/4032,4)<0.95 then 'captures at '||cast(cast(floor(round(captures/4032,4)*100+0.5) as int) as string)||'%' end, case when timestamp '2024-01-30 00:00:00' - last_capture_at > interval 20 minute then 'no capture since '||strftime(last_capture_at,'%Y-%m-%dT%H:%M:%SZ') end,
-  case when round(bok/btot,4)<0.95 then 'board at '||cast(cast(floor(round(bok/btot,4)*100+0.5) as int) as string)||'%' end, case when round(micros/1e6,4)>4.5 then 'near the budget' end, case when round(with_record/services,4)<0.9 then 'records for '||cast(cast(floor(round(with_record/services,4)*100+0.5) as int) as string)||'%' end) as problems
+# Three set-ups: polled cameras with a stale and a current feed; none configured and an unread feed; cameras asked on demand.
+shape("o_setup", """
+select * from (values ('polled', 2, true, timestamp '1998-06-15 12:00:00', timestamp '2024-01-29 20:00:00'), ('bare', 0, true, null, timestamp '2024-01-29 20:00:00'), ('on demand', 2, false, timestamp '2024-01-29 13:00:00', timestamp '2024-01-29 11:00:00')) as t(setup, cameras, polls, marine_at, shore_at)""")
+shape("o_health", """
+select *, round(captures/nullif(case when polls then 2016*greatest(cameras,1) else 0 end,0),4) as capture_rate, round(bok/btot,4) as board_rate, round(with_record/services,4) as coverage, round(micros/1e6,4) as month_spend
 from (select count(*) filter (status='ok' and captured_at>=timestamp '2024-01-23') as captures, count(*) filter (status='error' and captured_at>=timestamp '2024-01-23') as failed, max(captured_at) filter (status='ok') as last_capture_at, count(*) filter (status='ok' and version<>'model') as awaiting,
   count(*) filter (status='ok' and version='model') as rd, count(*) filter (status='ok' and version='model' and not usable) as unusable from o_frames)
 cross join (select count(*) as btot, count(*) filter (fetch_status='ok') as bok, count(*) filter (fetch_status='ok') as busable from o_board where observed_at>=timestamp '2024-01-23')
 cross join (select count(*) as services, count(*) filter (coalesce(b.outcome,'unknown')<>'unknown') as with_record from o_services left join o_board_class b using (origin, service_date, depart_hhmm) where o_services.service_date between date '2024-01-23' and date '2024-01-30')
-cross join (select sum(cast(k*40*3+k*15 as bigint)) as micros from e where ts>=timestamp '2024-01-01' and ts<=timestamp '2024-01-30 00:00:00')""")
+cross join (select sum(cast(k*40*3+k*15 as bigint)) as micros from e where ts>=timestamp '2024-01-01' and ts<=timestamp '2024-01-30 00:00:00')
+cross join o_setup""")
+
+
+@query("agg19_capture_health", """
+select setup, captures, failed, capture_rate, board_rate, busable as board_usable, awaiting, round(unusable/rd,4) as unusable_share, services, with_record, coverage, last_capture_at, month_spend,
+ concat_ws('; ', case when polls and cameras=0 then 'no cameras are configured' end, case when capture_rate<0.95 then 'captures at '||cast(cast(floor(capture_rate*100+0.5) as int) as string)||'%' end,
+  case when polls and timestamp '2024-01-30 00:00:00' - last_capture_at > interval 20 minute then 'no capture since '||strftime(last_capture_at,'%Y-%m-%dT%H:%M:%SZ') end, case when polls and awaiting>800 then cast(awaiting as string)||' frames wait to be read' end,
+  case when board_rate<0.95 then 'board at '||cast(cast(floor(board_rate*100+0.5) as int) as string)||'%' end, case when month_spend>4.5 then 'near the budget' end, case when coverage<0.9 then 'records for '||cast(cast(floor(coverage*100+0.5) as int) as string)||'%' end,
+  case when marine_at is null then 'no marine forecast has been read yet' when timestamp '2024-01-30 00:00:00' - marine_at > interval 12 hour then 'the marine forecast is stale, last issued '||strftime(marine_at,'%Y-%m-%dT%H:%M:%SZ') end,
+  case when shore_at is null then 'no shore forecast has been read yet' when timestamp '2024-01-30 00:00:00' - shore_at > interval 12 hour then 'the shore forecast is stale, last issued '||strftime(shore_at,'%Y-%m-%dT%H:%M:%SZ') end) as problems
+from o_health""")
 def _(b: Bound) -> DataFrame:
     now = F.lit("2024-01-30 00:00:00").cast("timestamp")
     known = _known_services(b).select(*KEY, F.col("deck_outcome").alias("outcome"))
@@ -398,13 +412,28 @@ def _(b: Bound) -> DataFrame:
     spent = b.view("e").select(
         F.col("ts").alias("created_at"), (spend.cost_micros(F.col("k") * 40, F.col("k"), b.params) / 1e6).alias("cost_usd")
     )
-    report = quality.capture_totals(
-        b.frames, b.board, b.readings, services, spent, now, b.params, window_days=7, cameras=2
-    )
-    return report.select(
-        "captures", "failed", "capture_rate", "board_rate", "board_usable", "awaiting", "unusable_share", "services",
-        "with_record", "coverage", "last_capture_at", "month_spend", F.array_join("problems", "; ").alias("problems"),
-    )
+    # One issue a frame error, with the set-up's stamp as the newest good one.
+    errors = b.frames.filter("status = 'error'").select(F.col("captured_at").alias("issued_at"), F.lit("error").alias("fetch_status"))
+
+    def feed(stamp: str | None) -> DataFrame:
+        if stamp is None:
+            return errors
+        return errors.unionByName(b.spark.sql(f"select timestamp'{stamp}' as issued_at, 'ok' as fetch_status"))
+
+    out = None
+    for name, cameras, polls, marine, shore in (
+        ("polled", 2, True, "1998-06-15 12:00:00", "2024-01-29 20:00:00"), ("bare", 0, True, None, "2024-01-29 20:00:00"),
+        ("on demand", 2, False, "2024-01-29 13:00:00", "2024-01-29 11:00:00"),
+    ):
+        report = quality.capture_totals(
+            b.frames, b.board, b.readings, services, spent, now, replace(b.params, scheduled_capture=polls), window_days=7,
+            cameras=cameras, forecasts={"marine": feed(marine), "shore": feed(shore)},
+        ).select(
+            F.lit(name).alias("setup"), "captures", "failed", "capture_rate", "board_rate", "board_usable", "awaiting", "unusable_share", "services",
+            "with_record", "coverage", "last_capture_at", "month_spend", F.array_join("problems", "; ").alias("problems"),
+        )
+        out = report if out is None else out.unionByName(report)
+    return out
 
 
 @query("agg20_capture_strip", """

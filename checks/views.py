@@ -64,6 +64,10 @@ select r.route, r.origin, r.service_date, r.slot, r.sailing_id, l_returnflag<>'R
  concat(cast(l_orderkey as string),'-',cast(l_linenumber as string),'-',cast(l_partkey as string),'-',cast(l_suppkey as string),
   '-',cast(cast(floor(l_extendedprice*100+0.5) as bigint) as string),'-',cast(cast(floor(l_quantity*100+0.5) as bigint) as string)) as report_id
  from {lineitem} join v_records r on r.sailing_id=l_orderkey""",
+    # First-hand reports about the month of events: the feed that neither board nor tracker takes, for some slots.
+    "v_event_reports": """
+select event_id as row_id, case when user_id%2=0 then 'A' else 'B' end as origin, cast(ts as date) as service_date, k%8 as slot, user_id%3<>0 as boarded,
+ case when user_id%9=0 then 1 when user_id%9=3 then 2 end as sailings_waited from e where event_type='error' and k<16 and k%8 in (1,4,6)""",
     "v_forecasts": """
 select l_suppkey%10 as site, case when l_suppkey%2=0 then 'r1' else 'r2' end as route, cast(l_shipdate as date) as service_date,
  cast(l_shipdate as date)-l_linenumber as issued_on, l_partkey as issue_seq,

@@ -22,13 +22,16 @@ STEP_GAP_MINUTES = 25
 
 def capture_totals(frames: DataFrame, board: DataFrame, readings: DataFrame, services: DataFrame,
                    spend: DataFrame, now: Column, params: Params, *, window_days: int,
-                   cameras: int) -> DataFrame:
+                   cameras: int, forecasts: dict[str, DataFrame] | None = None) -> DataFrame:
     """One row of collection health over a window, and the problems it shows.
 
     services(service_date, outcome) is the timetable of the window with NULL or `unknown`
-    where nothing is known; spend(created_at, cost_usd). Each table is reduced to one row in a
-    single pass, and the single rows are folded into one.
+    where nothing is known; spend(created_at, cost_usd). `forecasts` are the configured forecast feeds by name
+    (issued_at, fetch_status); each is judged by its newest good issue, as an old forecast goes on being served. Captures, their
+    backlog and missing cameras are judged only where cameras are polled (Params.scheduled_capture); nothing is expected
+    of cameras asked on demand. Each table is reduced to one row in a single pass, and the single rows are folded into one.
     """
+    feeds = forecasts or {}
     since = add_minutes(now, -window_days * 1440)
     first_day = F.to_date(since)
     ok, recent = F.col("status") == "ok", F.col("captured_at") >= since
@@ -59,16 +62,21 @@ def capture_totals(frames: DataFrame, board: DataFrame, readings: DataFrame, ser
     spent = spend.filter((F.col("created_at") >= month) & (F.col("created_at") <= now)).groupBy().agg(
         F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("month_spend")
     )
+    issued = [
+        feed.filter(F.col("fetch_status") == "ok").groupBy().agg(F.max("issued_at").alias(f"{name}_issued_at"))
+        for name, feed in feeds.items()
+    ]
     sides = captured
-    for other in (scraped, read, waiting, covered, spent):
+    for other in (scraped, read, waiting, covered, spent, *issued):
         sides = sides.unionByName(other, allowMissingColumns=True)
     one = sides.groupBy().agg(*[F.max(c).alias(c) for c in sides.columns])
-    expected = (1440 // max(1, params.poll_minutes)) * window_days * max(1, cameras)
+    polled = params.scheduled_capture
+    expected = (1440 // max(1, params.poll_minutes)) * window_days * max(1, cameras) if polled else 0
     ratio = lambda a, b: F.when(b > 0, F.round(a / b, 4))
     figures = one.withColumns(
         {
             "expected": F.lit(expected),
-            "capture_rate": F.round(F.col("captures") / F.lit(expected), 4),
+            "capture_rate": ratio(F.col("captures"), F.lit(expected)),
             "board_rate": ratio(F.col("board_ok"), F.col("board_total")),
             "unusable_share": ratio(F.col("unusable"), F.col("read")),
             "coverage": F.coalesce(ratio(F.col("with_record"), F.col("services")), F.lit(0.0)),
@@ -76,12 +84,28 @@ def capture_totals(frames: DataFrame, board: DataFrame, readings: DataFrame, ser
         }
     )
     percent = lambda c: F.concat(F.round(F.col(c) * 100).cast("int").cast("string"), F.lit("%"))
-    problems = [
+    late = params.poll_minutes * 4 * 60
+    camera_problems = [
+        F.when(F.lit(cameras == 0), F.lit("no cameras are configured")),
         F.when(F.col("capture_rate") < 0.95, F.concat(F.lit("captures at "), percent("capture_rate"))),
         F.when(
-            seconds_between(now, F.col("last_capture_at")) > params.poll_minutes * 4 * 60,
+            seconds_between(now, F.col("last_capture_at")) > late,
             F.concat(F.lit("no capture since "), iso_text(F.col("last_capture_at"))),
         ),
+        F.when(
+            F.col("awaiting") > params.max_frames_per_run * 4,
+            F.concat(F.col("awaiting").cast("string"), F.lit(" frames wait to be read")),
+        ),
+    ]
+    feed_problems = [
+        F.when(F.col(f"{name}_issued_at").isNull(), F.lit(f"no {name} forecast has been read yet")).when(
+            seconds_between(now, F.col(f"{name}_issued_at")) > params.overdue_forecast_hours * 3600,
+            F.concat(F.lit(f"the {name} forecast is stale, last issued "), iso_text(F.col(f"{name}_issued_at"))),
+        )
+        for name in feeds
+    ]
+    problems = [
+        *(camera_problems if polled else []),
         F.when(F.col("board_rate") < 0.95, F.concat(F.lit("board at "), percent("board_rate"))),
         F.when((F.col("board_ok") > 0) & (F.col("board_usable") == 0), F.lit("board names no service")),
         F.when(F.col("board_total") == 0, F.lit("no board readings")),
@@ -90,6 +114,7 @@ def capture_totals(frames: DataFrame, board: DataFrame, readings: DataFrame, ser
             (F.col("services") > 0) & (F.col("coverage") < 0.90),
             F.concat(F.lit("records for "), percent("coverage")),
         ),
+        *feed_problems,
     ]
     return figures.withColumn("problems", F.array_compact(F.array(*problems)))
 

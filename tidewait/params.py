@@ -78,6 +78,10 @@ class Params:
     # Frames read in a day, by whatever path, before on-demand reading stops; None is no cap, 0 stops it.
     daily_frame_cap: int | None = 120
 
+    # collection: whether cameras are polled or asked on demand, and how many frames one reading run takes
+    scheduled_capture: bool = True
+    max_frames_per_run: int = 200
+
     # ledger
     late_tolerance_minutes: int = 75
     same_departure_minutes: int = 15
@@ -92,6 +96,8 @@ class Params:
     # forecasts
     stale_forecast_hours: int = 24
     min_band_days: int = 20
+    # Health calls a feed stale after this long without an issue.
+    overdue_forecast_hours: int = 12
     # Numbers above this in a wind sentence are no speeds.
     fastest_wind_kt: int = 150
 
