@@ -6,6 +6,7 @@ import random
 import statistics
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -371,3 +372,20 @@ def test_a_range_of_dates_gives_those_records_of_the_whole(spark):
     whole = service_records(b.services, _evidence(b), b.params).filter(asked).collect()
     part = service_records(b.services, _evidence(b), b.params, (first, last)).collect()
     assert whole and sorted(map(repr, part)) == sorted(map(repr, whole))
+
+
+def test_both_limits_admit_in_order(spark):
+    """A day's cap comes first; what it refuses costs the month nothing."""
+    rng = np.random.default_rng(8)
+    rows = [(1 + i // 400, i // 100, i, int(rng.integers(1, 9))) for i in range(800)] + [(1, 0, 10_000 + i, 3) for i in range(500)]
+    reads = spark.createDataFrame(rows, "month int, day int, id int, cost_micros long").repartition(5)
+    for cap, budget in ((7, 1e-3), (40, 4e-4), (None, 3e-4), (0, 1.0), (30, 0.0)):
+        limits = Params(daily_frame_cap=cap, monthly_budget_usd=budget)
+        got = {r.id for r in spend.admitted(reads, ["month", "day"], [F.col("id")], limits).collect()}
+        want, spent, used = set(), {}, {}
+        for month, day, i, cost in sorted(rows):
+            if (cap is not None and used.get(day, 0) >= cap) or (budget and spent.get(month, 0) >= round(budget * 1e6)):
+                continue
+            want.add(i)
+            used[day], spent[month] = used.get(day, 0) + 1, spent.get(month, 0) + cost
+        assert got == want, (cap, budget)

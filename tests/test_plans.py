@@ -69,3 +69,25 @@ def test_pixels_are_never_rows(spark):
     for name in ("pix02_hourly_background", "pix09_read_lane_frames", "pix10_read_extent_frames"):
         text = plan(spark, name).split("posexplode(background")[-1]
         assert "posexplode(pixels" not in text and "explode(pixels" not in text
+
+
+def exchanges(text: str) -> int:
+    return len(re.findall(r"(?<!Broadcast)Exchange (?:hash|range|Single)", text))
+
+
+def test_page_texts_are_never_shuffled(spark):
+    text = plan(spark, "scl15_board_text_extraction")
+    moved = [x for x in text.splitlines() if re.search(r"(?<!Broadcast)Exchange ", x)]
+    assert len(moved) == 1 and "hashpartitioning(terminal" in moved[0] and "Window" not in text
+
+
+def test_the_merge_folds_services_once(spark):
+    text = plan(spark, "agg14_service_record")
+    assert exchanges(text) <= 28 and text.count("FileScan") <= 14
+
+
+def test_report_bounds_never_join_targets_to_slots(shuffled):
+    # Only clock times, each a row per kind of day, meet slots: the join's key has a bucket of minutes in it.
+    text = plan(shuffled, "qry08_report_bounds")
+    coarse = [x for x in text.splitlines() if "Join" in x and "long_weekend" in x]
+    assert coarse and all("_bucket" in x or "target_hhmm" in x for x in coarse)
