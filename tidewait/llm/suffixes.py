@@ -145,12 +145,20 @@ def _repeated(table: pa.Table) -> pa.Table:
     keys, ends = string_bytes(table.column("keys").combine_chunks())
     keys = keys.view(np.uint32)
     which = string_bytes(table.column("which").combine_chunks())[0].view(np.uint32)
-    order = np.argsort(keys, kind="stable")
-    begin = np.flatnonzero(np.diff(keys[order].astype(np.int64), prepend=-1))
-    run = np.diff(np.append(begin, len(keys)))
+    # Thirty bytes an entry: order and keys stay at 32 bits, and runs of equal keys are told by their neighbours.
+    order = np.argsort(keys, kind="stable").astype(np.uint32)
+    keys = keys[order]
+    opens = np.ones(len(keys) + 1, bool)
+    np.not_equal(keys[1:], keys[:-1], out=opens[1:-1])
+    again = ~(opens[:-1] & opens[1:])
+    named = np.unique(keys[which[order] == WITNESS])
+    low, high = np.searchsorted(keys, named, "left"), np.searchsorted(keys, named, "right")
+    run = high - low
+    again[np.repeat(low - (np.cumsum(run) - run), run) + np.arange(run.sum())] = True
     shared = np.empty(len(keys), bool)
-    shared[order] = np.repeat((run > 1) | (np.maximum.reduceat(which[order], begin) == WITNESS), run)
+    shared[order] = again
     shared &= which != WITNESS
+    del keys, order, opens, again
     upto = np.concatenate([[0], np.cumsum(shared)])[ends // 4]
     nothing = binary_array(b"", np.zeros(len(table), np.int64))
     return pa.table([table.column("fragment"), table.column("task"), table.column("piece"), nothing, binary_array(which[shared], upto * 4)], _SENT)
