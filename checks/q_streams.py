@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,9 +101,10 @@ def _(b: Bound) -> DataFrame:
     whole = _evidence(b)
 
     def recompute(dates: DataFrame) -> DataFrame:
-        asked = dates.select("service_date").distinct()
-        span = asked.agg(F.min("service_date"), F.max("service_date")).first()
-        records = service_records(b.services, whole, b.params, tuple(span)).join(asked, "service_date", "left_semi")
+        # A batch touches few dates; each stretch of them is read by itself.
+        runs = feeds.date_runs(r.service_date for r in dates.select("service_date").distinct().collect())
+        parts = [service_records(b.services, whole, b.params, run) for run in runs]
+        records = reduce(DataFrame.unionByName, parts)
         return records.select(*KEY, "outcome", "n_frames", "method", "departed_at")
 
     arriving = _stream(b, "v_readings").select("service_date")

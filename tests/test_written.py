@@ -138,3 +138,9 @@ def test_a_verdict_is_given_once_when_its_day_is_over(spark):
     assert got == [("08:00", "boarded"), ("09:00", "unknown")]
     whole = feeds.note_wait_rest(spark.createDataFrame(sum(batches, []), schema), P)
     assert {(r.hhmm, r.outcome) for r in whole.collect()} == {*got, ("01:00", "unknown")}
+
+
+def test_far_dates_are_read_apart():
+    d = [date(2026, 7, k) for k in (3, 1, 2, 9, 3)] + [date(2024, 1, 1)]
+    assert feeds.date_runs(d) == [(date(2024, 1, 1),) * 2, (date(2026, 7, 1), date(2026, 7, 3)), (date(2026, 7, 9),) * 2]
+    assert feeds.date_runs([]) == []

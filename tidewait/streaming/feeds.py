@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import date, datetime, timedelta, timezone
 from typing import Any
 
@@ -170,6 +170,17 @@ def closed(emitted: DataFrame, tail: DataFrame, keys: list[str]) -> DataFrame:
     return emitted.unionByName(tail.join(emitted.select(*keys), keys, "left_anti").select(*emitted.columns))
 
 
+def date_runs(dates: Iterable[date]) -> list[tuple[date, date]]:
+    """Dates as stretches of consecutive ones, first and last: far dates do not bring the days between them."""
+    runs: list[tuple[date, date]] = []
+    for day in sorted(set(dates)):
+        if runs and day - runs[-1][1] <= timedelta(days=1):
+            runs[-1] = (runs[-1][0], day)
+        else:
+            runs.append((day, day))
+    return runs
+
+
 def trailing_reaggregation(stream: DataFrame, recompute: Callable[[DataFrame], DataFrame], path: str,
                            checkpoint: str, trailing_days: int = 3) -> StreamingQuery:
     """Recompute and overwrite the dates a batch touches and the days trailing its newest.
@@ -180,6 +191,8 @@ def trailing_reaggregation(stream: DataFrame, recompute: Callable[[DataFrame], D
 
     def apply(batch: DataFrame, _: int) -> None:
         touched = batch.select("service_date").distinct()
+        if touched.isEmpty():
+            return
         newest = touched.groupBy().agg(F.max("service_date").alias("d")).filter(F.col("d").isNotNull())
         trailing = newest.select(
             F.explode(F.sequence(F.date_sub("d", trailing_days - 1), F.col("d"))).alias("service_date")
