@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,33 +16,39 @@ from tidewait.llm.common import pieces, string_bytes
 
 OTHER = 0  # one symbol for a run of anything that is no letter
 FIRST_LETTER = 1
-FAILED = np.uint32(1 << 31)
+PIECE = 4 << 20  # bytes of text worked on in one go
 SPAN = 512  # symbols parsed in one go; a phrase ends where a span ends
 
 
 def learn(
-    labelled: DataFrame, max_languages: int = 128, sample_docs: int = 32, sample_chars: int = 1024,
+    labelled: DataFrame, sample_docs: int = 32, sample_chars: int = 1024, total_chars: int = 1 << 22,
     text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
 ) -> dict[str, str]:
-    """Sample text per language: of each of the max_languages most frequent labels the sample_docs texts of
-    the smallest id hashes (texts under 200 characters only if there are no others), sample_chars
-    characters of each. With the defaults at most 32 KB characters per language reach the driver, however
-    many labelled rows there are. Null labels and null texts teach nothing."""
+    """Sample text of every label: the sample_docs texts of the smallest id hashes (texts under 200 characters only
+    if there are no others), sample_chars characters of each. No label is left out: where there are so many that
+    these would exceed total_chars characters, each label gets an equal share of total_chars instead, in fewer texts, then
+    in shorter ones. So at most total_chars characters (one per label at least) reach the driver, however many labelled
+    rows there are. Null labels and null texts teach nothing."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    labels = max(1, rows.agg(F.count_distinct(F.col(lang_col).cast("string"))).first()[0])
+    docs, chars = shares(labels, sample_docs, sample_chars, total_chars)
     rows = rows.select(
         F.col(lang_col).cast("string").alias("lang"), (F.length(text_col) < 200).alias("short"),
-        F.xxhash64(F.col(id_col), F.lit("sample")).alias("h"), F.substring(F.col(text_col), 1, sample_chars).alias("text"),
+        F.xxhash64(F.col(id_col), F.lit("sample")).alias("h"), F.substring(F.col(text_col), 1, chars).alias("text"),
     )
-    # The limit on ranks runs before the shuffle too, so a language of half of all rows sends sample_docs rows a task.
+    # The limit on ranks runs before the shuffle too, so a language of half of all rows sends its share a task.
     first = Window.partitionBy("lang").orderBy("short", "h", "text")
-    chosen = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample_docs)
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
+    chosen = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= docs)
     found: dict[str, list[str]] = {}
-    for row in chosen.join(F.broadcast(frequent), "lang").orderBy("lang", "r").select("lang", "text").collect():
+    for row in chosen.orderBy("lang", "r").select("lang", "text").collect():
         found.setdefault(row.lang, []).append(row.text)
     return {lang: "\n".join(texts) for lang, texts in found.items()}
 
 
+def shares(labels: int, docs: int, chars: int, total: int) -> tuple[int, int]:
+    """Texts of each label and characters of each text, so that all labels together keep to the total."""
+    docs = max(1, min(docs, total // (labels * chars)))
+    return docs, max(1, min(chars, total // (labels * docs)))
 
 
 @lru_cache(maxsize=4)
@@ -48,9 +56,7 @@ def _automata(samples: tuple[tuple[str, str], ...]):
     """Byte classes and, per language, a transition table and the bits one phrase costs.
 
     Symbols are the bytes of letters (A-Z lowered) seen in any sample, one for a run of other ASCII, one for
-    other bytes above ASCII. A table entry is the next state times the number of symbols; where the automaton
-    has no transition it is the root's, and those are marked FAILED: there a phrase begins. A symbol
-    that the sample lacks is a phrase by itself.
+    other bytes above ASCII. A symbol that the sample lacks is a phrase by itself.
     """
     letters = np.zeros(256, np.uint8)
     letters[97:123] = np.arange(FIRST_LETTER, FIRST_LETTER + 26)
@@ -75,8 +81,19 @@ def _collapsed(symbols: np.ndarray) -> np.ndarray:
     return symbols[keep]
 
 
-def _table(symbols: list[int], width: int) -> np.ndarray:
-    """Suffix automaton by online construction: it accepts exactly the substrings of the sample."""
+class Table(NamedTuple):
+    """Transitions of one automaton, rows of all states laid into each other.
+
+    The entry of (state, symbol) is at base[state] + symbol if its upper half names that state; the lower half is the next
+    state. Any other entry means that the state has no such transition: a phrase begins, and the root's next state holds."""
+
+    base: np.ndarray
+    entry: np.ndarray
+    root: np.ndarray
+
+
+def _table(symbols: list[int], width: int) -> Table:
+    """Suffix automaton by online construction: it accepts exactly the substrings of the sample. Some 14 bytes a transition."""
     after: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -102,17 +119,44 @@ def _table(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[state] = split
         last = state
-    root = np.full(width, FAILED, np.uint32)
+    root = np.zeros(width, np.int64)
     for c, to in after[0].items():
-        root[c] = FAILED | np.uint32(to * width)
-    table = np.tile(root, (len(after), 1))
-    for state, row in enumerate(after[1:], 1):
-        for c, to in row.items():
-            table[state, c] = to * width
-    return table.ravel()
-
-
-def phrase_counts(symbols: np.ndarray, ends: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+        root[c] = to
+    return Table(*_interleaved(after, width), root)
+
+
+def _interleaved(after: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with several transitions go to the next place where they fit; those with one fill the gaps. The root has none."""
+    total = sum(map(len, after[1:]))
+    used = bytearray(width * (len(after) + 2) + total)
+    base = np.zeros(len(after), np.int32)
+    several = sorted((s for s in range(1, len(after)) if len(after[s]) > 1), key=lambda s: -len(after[s]))
+    top = 0
+    place = 0
+    for size, states in groupby(several, lambda s: len(after[s])):
+        place = 0 if size == 2 else place
+        for s in states:
+            row = sorted(after[s])
+            while used[place + row[0]] or used[place + row[-1]] or any(used[place + c] for c in row):
+                place += 1
+            for c in row:
+                used[place + c] = 1
+            base[s] = place
+            top = max(top, place)
+    single = [s for s in range(1, len(after)) if len(after[s]) == 1]
+    letter = np.array([next(iter(after[s])) for s in single], np.int32)
+    free = np.flatnonzero(np.frombuffer(used, np.uint8)[width:] == 0)[: len(single)].astype(np.int32) + width
+    base[single] = free - letter
+    size = int(max(base.max(initial=0), top)) + width
+    entry = np.full(size, -1, np.int64)
+    states = np.repeat(np.arange(1, len(after)), [len(row) for row in after[1:]])
+    keys = np.fromiter((c for row in after[1:] for c in row), np.int64, total)
+    nexts = np.fromiter((to for row in after[1:] for to in row.values()), np.int64, total)
+    entry[base[states] + keys] = states << 32 | nexts
+    return base, entry
+
+
+def phrase_counts(symbols: np.ndarray, ends: np.ndarray, tables: list[Table]) -> np.ndarray:
     """Phrases of the greedy cross-parse of each text in each language, texts in spans of SPAN symbols side by side."""
     sizes = np.diff(ends, prepend=0)
     spans = -(-sizes // SPAN)
@@ -126,12 +170,14 @@ def phrase_counts(symbols: np.ndarray, ends: np.ndarray, tables: list[np.ndarray
     counts = np.zeros((len(tables), len(ends)), np.int64)
     steps = [symbols[begin[:k] + p] for p, k in enumerate(active)]
     for which, table in enumerate(tables):
-        state = np.zeros(len(owner), np.uint32)
-        failed = np.zeros(len(owner), np.uint32)
+        state = np.zeros(len(owner), np.int64)
+        failed = np.zeros(len(owner), np.int64)
         for p, k in enumerate(active):
-            step = table[state[:k] + steps[p]]
-            failed[:k] += step >> np.uint32(31)
-            np.bitwise_and(step, ~FAILED, out=state[:k])
+            here, symbol = state[:k], steps[p]
+            entry = table.entry[table.base[here] + symbol]
+            fresh = (entry >> 32) != here
+            failed[:k] += fresh
+            state[:k] = np.where(fresh, table.root[symbol], entry & 0xFFFFFFFF)
         counts[which] = np.bincount(owner, weights=failed, minlength=len(ends)).astype(np.int64)
     return counts
 
@@ -140,13 +186,13 @@ def _judge(samples: tuple[tuple[str, str], ...]):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, tables, costs = _automata(samples)
         names = np.array([lang for lang, _ in samples] + ["und"], dtype=object)
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text", PIECE):
             data, ends = string_bytes(batch.column("text"))
             symbols = letters[data]
             keep = np.ones(len(symbols), bool)
             keep[1:] = (symbols[1:] != OTHER) | (symbols[:-1] != OTHER)
             keep[ends[:-1][ends[:-1] < len(symbols)]] = True
-            kept = np.concatenate([[0], np.cumsum(keep)])[ends]
+            kept = np.concatenate([[0], np.cumsum(keep, dtype=np.int32)])[ends]
             symbols = symbols[keep]
             lettered = _lettered(batch.column("text"), data, ends)
             if len(tables):
@@ -171,7 +217,7 @@ def _judge(samples: tuple[tuple[str, str], ...]):
 
 
 def _lettered(texts: pa.Array, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    plain = np.zeros(len(data) + 1, np.int64)
+    plain = np.zeros(len(data) + 1, np.int32)
     low = data | 32
     np.cumsum((low >= 97) & (low <= 122), out=plain[1:])
     has = plain[ends] > plain[np.concatenate([[0], ends[:-1]])]
@@ -193,7 +239,8 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text", i
     judged each by itself; a null id is hashed as an empty text. Other columns are not read.
 
     Plan: one pass without a shuffle. The samples (bounded, see learn) travel with the task; a worker builds
-    the automata once and steps through all spans of a batch at a time with array look-ups.
+    the automata once (some 2 MB for a full sample, 250 MB at most for total_chars) and steps through all spans of a
+    piece of text at a time with array look-ups.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
