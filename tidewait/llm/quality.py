@@ -9,7 +9,7 @@ from tidewait.llm.common import BLANKS, word_array, written
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("f0", "f1", "f2", "f3", "f4")
-#: Least standard deviation of each feature, so that a statistic most documents share is no yardstick of width 0.
+#: Standard deviation whose square is added to each feature's variance, so that a statistic most documents share is no yardstick of width 0.
 FLOORS = (0.5, 0.1, 0.7, 0.7, 0.7)
 CHI2_MEDIAN = 4.3515  # of five degrees of freedom
 
@@ -65,10 +65,10 @@ def _cells() -> list[tuple[int, int]]:
     return [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
 
 
-def _factored(estimates: DataFrame) -> DataFrame:
+def _factored(estimates: DataFrame, floors: tuple[float, ...]) -> DataFrame:
     """Cholesky factor l_ij and log determinant of the covariances c_ij, cell by cell as columns."""
     for i, j in _cells():
-        cell = F.col(f"c{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
+        cell = F.col(f"c{i}{j}") + (floors[i] ** 2 if i == j else 0.0)
         for k in range(j):
             cell = cell - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         estimates = estimates.withColumn(f"l{i}{j}", F.sqrt(cell) if i == j else cell / F.col(f"l{j}{j}"))
@@ -107,6 +107,7 @@ def _moments(rows: DataFrame) -> DataFrame:
 def robust_outliers(
     docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, core: float = 0.75, steps: int = 3, cutoff: float = 20.515,
     min_group: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+    floors: tuple[float, ...] = FLOORS,
 ) -> DataFrame:
     """One row per input row: doc_id, the five statistics, base_failed, distance, kept.
 
@@ -116,12 +117,15 @@ def robust_outliers(
     covariance determinant is sought by concentration steps from two starts (median and quartiles; mean and
     covariance); the better start of each group gives centre and scatter. distance is the squared Mahalanobis distance, reduced
     where needed so that its median is at most that of five normal variables; above cutoff the document is rejected (kept false). The
-    default cutoff is the 0.999 quantile of chi-square with five degrees of freedom.
+    default cutoff is the 0.999 quantile of chi-square with five degrees of freedom. It is held against distances that floors and the
+    reduction have made smaller, so the rule in force is milder than that quantile: the squares of floors are added to the variances
+    (a feature that hardly varies in its group then rejects from some 4.5 floors on: without symbols elsewhere, 22 of 100
+    characters), and a group whose median is above that of five normal variables is measured in its own median.
 
     Null text has no words and fails the base rule. Null language or source is a value like others. Groups with
-    fewer than min_group vectors are pooled by language, then altogether; a pool still smaller is not judged
-    and its documents stay. Rows of equal id are judged each by itself. Other columns are not read. An empty table gives
-    an empty result.
+    fewer than min_group vectors are pooled by language; documents whose pool is still smaller are held against an estimate from all vectors
+    of the table, so every document that passes the base rule is judged, in a table of any size. Rows of equal id
+    are judged each by itself. Other columns are not read. An empty table gives an empty result.
 
     Plan: texts are read once; the narrow rows are written. Each step is two aggregations with partial sums (a
     percentile sketch, then moments), so a source of a third of all rows reaches no task as a whole; the
@@ -141,6 +145,8 @@ def robust_outliers(
     )
     named = written(named, "quality-names")
     vectors = stats.filter("not base_failed").join(named, "both_key").select("grp", *[c.alias(n) for n, c in _transformed().items()])
+    if not named.filter("grp = 'all'").isEmpty():
+        vectors = vectors.filter("grp <> 'all'").unionByName(vectors.withColumn("grp", F.lit("all")))
     vectors = written(vectors, "quality-vectors")
     started = vectors.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
 
@@ -151,19 +157,19 @@ def robust_outliers(
         *[(spread[i] if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _cells()],
     )
     second = _moments(vectors.withColumn("start", F.lit(1)))
-    factors = written(_factored(first.unionByName(second)), "mcd-start")
+    factors = written(_factored(first.unionByName(second), floors), "mcd-start")
     for _ in range(steps):
         seen = _measured(started, factors, ["grp", "start"])
         limits = written(seen.groupBy("grp", "start").agg(F.percentile_approx("d2", core, 1000).alias("limit")), "mcd-limits")
         inner = _measured(started, factors.join(limits, ["grp", "start"]), ["grp", "start"]).filter("d2 <= limit")
-        factors = written(_factored(_moments(inner)), "mcd-step")
+        factors = written(_factored(_moments(inner), floors), "mcd-step")
     best = factors.groupBy("grp").agg(F.min_by(F.struct(*factors.columns[1:]), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
     best = written(best, "mcd-best")
-    medians = _measured(vectors, best, ["grp"]).groupBy("grp").agg(F.percentile_approx("d2", 0.5, 1000).alias("middle"), F.count("*").alias("n"))
+    medians = _measured(vectors, best, ["grp"]).groupBy("grp").agg(F.percentile_approx("d2", 0.5, 1000).alias("middle"))
     judges = written(named.join(best.join(medians, "grp"), "grp"), "mcd-judges")
     judged = _measured(stats.withColumns(_transformed()), judges.withColumnRenamed("both_key", "_key"), F.col("both_key") == F.col("_key"))
     distance = F.when(
-        ~F.col("base_failed") & (F.col("n") >= min_group), F.col("d2") * CHI2_MEDIAN / F.greatest(F.col("middle"), F.lit(CHI2_MEDIAN))
+        ~F.col("base_failed"), F.col("d2") * CHI2_MEDIAN / F.greatest(F.col("middle"), F.lit(CHI2_MEDIAN))
     )
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     verdict = judged.select(*out, distance.alias("distance"))
