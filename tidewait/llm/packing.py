@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewait.llm.common import pieces
 
@@ -125,30 +126,35 @@ def pack_tokens(
     docs: DataFrame, ranks_path: str, pattern: str, length: int = 2048, pad: int = 50256, dtype: str = "<u2",
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """One row per packed sequence: task, block, row, n_tokens, doc_ids, parts, cu_seqlens, ids.
+    """One row per packed sequence: task, block, row, n_tokens, doc_ids, parts, cu_seqlens, ids, resets.
 
     ids is one row of the id matrix: `length` little-endian numbers of dtype, padded at the end. cu_seqlens are the
-    cumulative segment lengths, 0 first: segment k is part parts[k] of document doc_ids[k], and positions restart at
-    each of its values (see position_ids). Texts longer than a row are cut into parts of `length` tokens and
+    cumulative segment lengths, 0 first: segment k is part parts[k] of document doc_ids[k]. resets are the places
+    of the row where positions begin at 0 again: where a segment of some tokens begins, and where padding does. Texts longer than a row are cut into parts of `length` tokens and
     a rest; the parts in order give every document back byte for byte.
 
     Null or empty text: one segment of no tokens, so that every row of the input is found in the output. Repeated rows
     and rows of one id are packed each by itself. Other columns are not read. An empty table gives no row.
 
     ranks_path: a byte-level vocabulary of base64 pieces and ranks, read on the driver and broadcast (its size does
-    not depend on the data: about 1 MB for 50,000 pieces). dtype must hold the vocabulary.
+    not depend on the data: about 1 MB for 50,000 pieces). dtype must hold the vocabulary and pad, else ValueError.
 
     Plan: one pass without a shuffle. A task packs 2**21 tokens at a time, so memory is bounded, hot sources and
     long texts make no difference, and a lost task repeats alone; at most the last bins of a block stay part empty.
     """
     with open(ranks_path, "rb") as file:
-        vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
+        ranks = file.read()
+    highest = max((int(line.split()[1]) for line in ranks.splitlines()), default=0)
+    if pad < 0 or max(highest, pad) > np.iinfo(dtype).max:
+        raise ValueError(f"ids up to {highest} and pad {pad} do not fit {dtype}")
+    vocabulary = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(
+    packed = rows.mapInArrow(
         _packer(vocabulary, pattern, length, pad, dtype),
         f"task int, block int, row int, n_tokens int, doc_ids array<{kind}>, parts array<int>, cu_seqlens array<int>, ids binary",
     )
+    return packed.withColumn("resets", F.array_distinct(F.filter("cu_seqlens", lambda at: at < length)))
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
