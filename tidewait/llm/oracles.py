@@ -84,17 +84,19 @@ FROM dw d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 CHAT = """
 WITH t AS (SELECT DISTINCT conv_id, coalesce(CAST(turn AS BIGINT), -1) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 people AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+b AS (SELECT *, CAST(floor(turn / 64) AS BIGINT) AS block FROM t),
+p AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY conv_id, block ORDER BY turn, role, text) - 1) / 1024) AS BIGINT) AS part FROM b),
 pieces AS (
-  SELECT t.conv_id, speaker, CAST(floor(turn / 64) AS BIGINT) AS block, turn, role, text, role = speaker AS own,
+  SELECT t.conv_id, speaker, block, part, turn, role, text, role = speaker AS own,
     '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
     replace(text, '<|', '<\\|') || '<|im_end|>' || chr(10) AS body
-  FROM t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-placed AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, block ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
+  FROM p t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id),
+placed AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, block, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
   - length(body) AS start FROM pieces)
-SELECT conv_id, speaker, block, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
+SELECT conv_id, speaker, block, part, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
   sha256(string_agg(head || body, '' ORDER BY turn, role, text)) AS text_sha256,
   sha256(coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(body) - 1 AS BIGINT), ',' ORDER BY turn, role, text) FILTER (own), '')) AS mask_sha256
-FROM placed GROUP BY conv_id, speaker, block
+FROM placed GROUP BY conv_id, speaker, block, part
 """
 
 # All pairs that share a shingle, by their exact counts; components by repeated minima.

@@ -25,7 +25,7 @@ def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
     ranges = F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string")))
     return out.select(
-        "conv_id", "speaker", "block", "n_turns", "n_own", F.sha2("text", 256).alias("text_sha256"),
+        "conv_id", "speaker", "block", "part", "n_turns", "n_own", F.sha2("text", 256).alias("text_sha256"),
         F.sha2(F.array_join(ranges, ","), 256).alias("mask_sha256"),
     )
 
