@@ -304,7 +304,7 @@ def test_distance_is_mahalanobis(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5))
     table = spark.createDataFrame([("g", 1, *map(float, r)) for r in x], "grp string, start int, f0 double, f1 double, f2 double, f3 double, f4 double")
-    got = quality._measured(table, quality._factored(quality._moments(table)), ["grp", "start"]).select("f0", "d2").collect()
+    got = quality._measured(table, quality._factored(quality._moments(table), quality.FLOORS), ["grp", "start"]).select("f0", "d2").collect()
     cov = np.cov(x.T, bias=True) + np.diag(np.square(quality.FLOORS))
     d = x - x.mean(axis=0)
     want = dict(zip(x[:, 0].tolist(), np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d).tolist(), strict=True))
