@@ -74,7 +74,7 @@ def _packed(values: np.ndarray, width: int) -> bytes:
     return values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
-def _unpacked(data: bytes, width: int) -> np.ndarray:
+def _unpacked(data: bytes | pa.Buffer, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(f"<u{width}").ravel().astype(np.uint32)
 
 
@@ -140,28 +140,38 @@ _SCATTERED = ["fragment", "task", "piece", "sets", "keys", "which"]
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """For each piece, how many of its sets' n-grams in this fragment some other set has too."""
+    """For each piece, which of its sets have n-grams in this fragment that some other set has too, and how many; a row per
+    piece that has any, as long as what it found, so the rows grow with the n-grams and not with pieces times fragments."""
     table = table.combine_chunks()
     if table.column("fragment")[0].as_py() < 0:
         return pa.table([table.column("task"), table.column("piece"), pa.array([True] * len(table)), table.column("keys")], _COUNTED)
     sets = table.column("sets").to_numpy().astype(np.int64)
-    keys, which, sizes = [], [], []
-    for gaps, sent, n in zip(table.column("keys").to_pylist(), table.column("which").to_pylist(), sets.tolist(), strict=True):
-        keys.append(np.cumsum(_unpacked(gaps, 4), dtype=np.uint32))
-        which.append(_unpacked(sent, 2 if n < 0xFFFF else 4))
-        which[-1][which[-1] == (0xFFFF if n < 0xFFFF else 0xFFFFFFFF)] = WITNESS
-        sizes.append(len(keys[-1]))
-    keys, which = np.concatenate(keys), np.concatenate(which)
-    base = np.repeat(np.cumsum(sets) - sets, sizes)
-    order = np.argsort(keys, kind="stable")
-    keys, which, base = keys[order], which[order], base[order]
-    begin = np.flatnonzero(np.diff(keys.astype(np.int64), prepend=-1))
-    run = np.diff(np.append(begin, len(keys)))
-    shared = (run > 1) | (np.maximum.reduceat(which, begin) == WITNESS)
-    hit = np.repeat(shared, run) & (which != WITNESS)
-    counts = np.bincount(base[hit] + which[hit], minlength=int(sets.sum())).astype(np.uint32)
+    first = np.cumsum(sets) - sets
+    entries = []  # the n-gram's key above, its set (or WITNESS) below
+    for gaps, sent, n, base in zip(table.column("keys"), table.column("which"), sets.tolist(), first.tolist(), strict=True):
+        which = _unpacked(sent.as_buffer(), 2 if n < 0xFFFF else 4)
+        entry = np.cumsum(_unpacked(gaps.as_buffer(), 4), dtype=np.uint32).astype(np.uint64) << np.uint64(32)
+        entry |= np.where(which == (0xFFFF if n < 0xFFFF else WITNESS), WITNESS, which + np.uint32(base))
+        entries.append(entry)
+    entries = np.concatenate(entries)
+    entries.sort()
+    which = entries.astype(np.uint32)
+    entries >>= np.uint64(32)
+    twin = np.zeros(len(which) + 1, bool)
+    np.equal(entries[1:], entries[:-1], out=twin[1:-1])
+    # A witness sorts last in its run, but several pieces may send one: any run of two is shared, and so is a witness alone.
+    hit = (twin[1:] | twin[:-1]) & (which != WITNESS)
+    counts = np.bincount(which[hit], minlength=int(sets.sum())).astype(np.uint32)
+    found = np.flatnonzero(counts)
+    cuts = np.searchsorted(found, np.append(first, sets.sum()))
+    per_piece = np.diff(cuts)
+    rows = np.flatnonzero(per_piece)
+    local = (found - np.repeat(first, per_piece)).astype(np.uint32)
+    data = np.stack([local, counts[found]], axis=1)
+    sent = pa.array(rows)
     return pa.table(
-        [table.column("task"), table.column("piece"), pa.array([False] * len(table)), binary_array(counts, np.cumsum(sets) * 4)], _COUNTED
+        [table.column("task").take(sent), table.column("piece").take(sent), pa.array([False] * len(rows), pa.bool_()), binary_array(data, cuts[1:][rows] * 8)],
+        _COUNTED,
     )
 
 
@@ -170,12 +180,14 @@ _COUNTED = ["task", "piece", "meta", "data"]
 
 def _survivors(table: pa.Table) -> pa.Table:
     total, sig, size = None, None, None
+    found = []
     for meta, data in zip(table.column("meta").to_pylist(), table.column("data").to_pylist(), strict=True):
         if meta:
-            sig, size, part = np.frombuffer(data, np.int64).reshape(3, -1)
+            sig, size, total = np.frombuffer(data, np.int64).reshape(3, -1).copy()
         else:
-            part = np.frombuffer(data, np.uint32).astype(np.int64)
-        total = part if total is None else total + part
+            found.append(np.frombuffer(data, np.uint32).reshape(-1, 2))
+    for which, count in (part.T for part in found):
+        total[which] += count
     return pa.table([pa.array(sig[total >= _needed(size)])], ["sig"])
 
 
@@ -234,7 +246,7 @@ class _Fragment:
         self.sig, self.size = sig[order], size[order]
         flat, ends = string_bytes(table.column("grams").combine_chunks())
         lengths = np.diff(ends, prepend=0) // 8
-        place = np.empty(len(sig), np.int64)
+        place = np.empty(len(sig), np.int32)
         place[order] = np.arange(len(sig))
         self.owner = np.repeat(place, lengths)
         self.grams = flat.view(np.uint64)
@@ -249,19 +261,21 @@ class _Fragment:
         """Keeps n-grams of several sets, by (n-gram, owner); which of them are look-ups; the group of each."""
         order = np.lexsort((self.owner, self.grams))
         grams, owner = self.grams[order], self.owner[order]
+        self.grams = self.owner = order = None  # not needed any more
         begin = np.flatnonzero(np.diff(grams, prepend=~grams[:1]) != 0)
         run = np.diff(np.append(begin, len(grams)))
-        often = np.repeat(run, run)
-        rarest = np.lexsort((grams, often, owner))
-        rank = np.empty(len(grams), np.int64)
-        starts = np.searchsorted(owner[rarest], np.arange(len(self.sig)))
-        rank[rarest] = np.arange(len(grams)) - starts[owner[rarest]]
-        self.score = np.bincount(owner, weights=np.log(often), minlength=len(self.sig)) / np.bincount(owner, minlength=len(self.sig))
+        often = np.repeat(run.astype(np.int32), run)
+        size = np.bincount(owner, minlength=len(self.sig))
+        rarest = np.lexsort((grams, often, owner)).astype(np.int32)
+        grams = begin = None
+        rank = np.empty(len(owner), np.int32)
+        rank[rarest] = np.arange(len(owner), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
+        rarest = None
+        self.score = np.bincount(owner, weights=np.log(often), minlength=len(self.sig)) / size
         keep = often > 1
-        self.entry = owner[keep]
-        self.probe = (rank < self.probes[owner])[keep]
+        self.entry = owner[keep].astype(np.int64)
+        self.probe = rank[keep] < self.probes[self.entry]
         self.run = run[run > 1]
-        self.grams = self.owner = None  # not needed any more
         self.begin = np.cumsum(self.run) - self.run
         self.group = np.repeat(np.arange(len(self.run)), self.run)
 
