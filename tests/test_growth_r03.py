@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewait.operators import ledger
 from tidewait.params import Params
+from tidewait.sources import forecast_xml
 
 P = Params(zone="UTC")
 DAY = datetime(2024, 1, 5)
@@ -50,3 +51,34 @@ def test_no_frame_of_the_ledger_reaches_to_the_end_of_a_day(spark):
     # Anchors at 2 and 5 disagree (odd distance, same end); those at 5 and 10 agree.
     assert [r.segment for r in cut.orderBy("position").collect()] == [0, 0, 1, 1, 2, 2, 2, 2, 2, 2, 2, 2]
     assert "unboundedfollowing" not in _plan(cut)
+
+
+def test_a_warning_is_read_once_a_document(spark):
+    xml = """<marineData><area> Outer  Strait </area><warnings name="W &amp; G"><event type='t' priority="urgent">in  effect</event><a/> tail</warnings>
+<regularForecast><dateTime zone="UTC"><timeStamp>202401050930</timeStamp></dateTime><location name="south"><weatherCondition><wind>Wind  west 10 to 15 knots</wind><periodOfCoverage> </periodOfCoverage></weatherCondition></location></regularForecast>
+<extendedForecast><location><weatherCondition><forecastPeriod name="Sunday">Wind light</forecastPeriod><forecastPeriod name="Someday">x</forecastPeriod></weatherCondition></location></extendedForecast></marineData>"""
+    docs = spark.createDataFrame([(1, xml, "south"), (2, "<marineData><warnings>", None), (3, None, None)], "doc_id long, xml string, preferred string")
+    rows = forecast_xml.marine_forecast_rows(docs, P)
+    got = [(r.doc_id, r.service_date, r.kind, r.period, r.wind, r.wind_max_kt, r.warning, r.area) for r in rows.filter("error is null").collect()]
+    said = "W & G · t · urgent · in effect"
+    assert got == [
+        (1, date(2024, 1, 5), "regular", None, "Wind west 10 to 15 knots", 15, said, "Outer Strait"),
+        (1, date(2024, 1, 6), "regular", None, "Wind west 10 to 15 knots", 15, said, "Outer Strait"),
+        (1, date(2024, 1, 7), "extended", "Sunday", "Wind light", 10, said, "Outer Strait"),
+    ]
+    lines = _plan(rows).splitlines()
+    generate = next(k for k, line in enumerate(lines) if "Generate explode" in line)
+    assert not any("<warnings" in line for line in lines[:generate])
+
+
+def test_a_half_day_reads_its_label_once(spark):
+    xml = """<siteData><location><name>Some  Town</name></location><forecastGroup><dateTime zone="UTC"><timeStamp>20240105180000</timeStamp></dateTime><dateTime zone="PST"><timeStamp>20240105100000</timeStamp></dateTime>
+<forecast><period textForecastName="Sunday night">x</period><textSummary>Rain.</textSummary><abbreviatedForecast><textSummary> </textSummary><pop units="%">40</pop></abbreviatedForecast><temperatures><temperature class="low">3</temperature></temperatures></forecast>
+<forecast><period> this  evening </period></forecast></forecastGroup></siteData>"""
+    rows = forecast_xml.shore_forecast_rows(spark.createDataFrame([(1, xml)], "doc_id long, xml string"))
+    got = [(r.service_date, r.kind, r.period, r.condition, r.pop, r.temp_high, r.temp_low, r.summary) for r in rows.collect()]
+    assert got == [
+        (date(2024, 1, 7), "night", "Sunday night", None, 40, None, 3, "Rain."),
+        (date(2024, 1, 5), "day", "this evening", None, None, None, None, None),
+    ]
+    assert _plan(rows).count("_VALUE, \\s+") <= 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,14 @@ SPOKEN = ("name", "type", "event", "priority")
 OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once per row; an expression named twice inside a lambda is run twice."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _text(c: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+    """Blanks run together; NULL if nothing is left."""
+    return F.try_element_at(F.filter(F.array(F.trim(F.regexp_replace(c, r"\s+", " "))), lambda t: t != ""), F.lit(1))
 
 
 def _stamps(stamps: Column, zone_is_utc: bool, digits: str) -> Column:
@@ -75,13 +83,19 @@ def warning_text(xml: Column) -> Column:
     and priority, then the text before its first child. Text that follows a closed element belongs to none."""
     block = F.regexp_replace(F.regexp_extract(xml, WARNINGS, 0), r"(?s)<!--.*?-->|<!\[CDATA\[|\]\]>", "")
 
+    of = lambda attributes, key: F.try_element_at(F.filter(attributes, lambda a: F.regexp_extract(a, r"\A[\w:.-]+", 0) == key), F.lit(1))
+    value = lambda a: F.regexp_extract(a, r"""(?s)=\s*["'](.*)["']\z""", 1)
+
+    def parted(piece: Column, tag: Column) -> Column:
+        return F.struct(
+            F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)).alias("attributes"),
+            F.when(~tag.endswith("/>"), F.substring(piece, F.length(tag) + 1, F.length(piece))).alias("text"),
+        )
+
     def spoken(piece: Column) -> Column:
         tag = F.regexp_extract(piece, r"""(?s)\A<(?:[^>"']|"[^"]*"|'[^']*')*+>""", 0)
-        attributes = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0))
-        of = lambda key: F.try_element_at(F.filter(attributes, lambda a: F.regexp_extract(a, r"\A[\w:.-]+", 0) == key), F.lit(1))
-        value = lambda a: F.regexp_extract(a, r"""(?s)=\s*["'](.*)["']\z""", 1)
-        text = F.when(~tag.endswith("/>"), F.substring(piece, F.length(tag) + 1, F.length(piece)))
-        return F.array(*[value(of(k)) for k in SPOKEN], text)
+        part = _once(tag, lambda t: parted(piece, t))
+        return _once(part, lambda p: F.array(*[value(of(p["attributes"], k)) for k in SPOKEN], p["text"]))
 
     pieces = F.flatten(F.transform(F.regexp_extract_all(block, F.lit(STARTED), F.lit(0)), spoken))
     words = F.transform(F.array_compact(pieces), lambda p: F.trim(F.regexp_replace(decode_references(p), r"\s+", " ")))
@@ -107,18 +121,23 @@ def marine_forecast_rows(documents: DataFrame, params: Params) -> DataFrame:
         _text(F.col("d.area")).alias("area"), regular.alias("r"), extended.alias("e"),
     ).withColumn("_issued", local_date(F.col("issued_at"), params.zone))
     condition = F.col("r.weatherCondition")
+    told = F.struct(
+        _text(condition["periodOfCoverage"]).alias("period"), _text(condition["wind"]).alias("wind"),
+        _text(condition["weatherVisibility"]).alias("visibility"),
+    )
     regular_days = F.when(
         condition.isNotNull(),
-        F.array(
-            *[
-                F.struct(
-                    F.date_add("_issued", o).alias("service_date"), F.lit("regular").alias("kind"),
-                    _text(condition["periodOfCoverage"]).alias("period"),
-                    _text(condition["wind"]).alias("wind"),
-                    _text(condition["weatherVisibility"]).alias("visibility"),
-                )
-                for o in (0, 1)
-            ]
+        _once(
+            told,
+            lambda t: F.array(
+                *[
+                    F.struct(
+                        F.date_add("_issued", o).alias("service_date"), F.lit("regular").alias("kind"),
+                        t["period"].alias("period"), t["wind"].alias("wind"), t["visibility"].alias("visibility"),
+                    )
+                    for o in (0, 1)
+                ]
+            ),
         ),
     )
     periods = F.transform(
@@ -147,9 +166,10 @@ def marine_forecast_rows(documents: DataFrame, params: Params) -> DataFrame:
         .when(F.col("issued_at").isNull(), "no UTC issue time in the document")
         .when(F.size("days") == 0, "no forecast periods found")
     )
-    rows = listed.withColumn("error", problem).select(
-        "doc_id", "issued_at", "area", F.col("r._name").alias("location"),
-        warning_text(F.col("xml")).alias("warning"), "error",
+    # Read once per document: an expression beside a generator is run for each of its rows.
+    warned = listed.withColumns({"error": problem, "warning": warning_text(F.col("xml"))})
+    rows = warned.select(
+        "doc_id", "issued_at", "area", F.col("r._name").alias("location"), "warning", "error",
         F.explode_outer(F.when(F.col("error").isNull(), F.col("days"))).alias("day"),
     )
     knots = wind_speed(F.col("wind"), params.fastest_wind_kt)
@@ -179,9 +199,7 @@ def shore_forecast_rows(documents: DataFrame) -> DataFrame:
         F.coalesce(group["forecast"], F.array()).alias("f"),
     )
 
-    def half_day(f: Column) -> Column:
-        label = F.coalesce(f["period"]["_textForecastName"], _text(f["period"]["_VALUE"]))
-        date, half = period_date(label, F.col("_day"))
+    def told(f: Column) -> Column:
         temperature = lambda which: _int(
             F.try_element_at(
                 F.filter(
@@ -191,14 +209,19 @@ def shore_forecast_rows(documents: DataFrame) -> DataFrame:
             )["_VALUE"]
         )
         return F.struct(
-            date.alias("service_date"), half.alias("kind"), label.alias("period"),
+            F.coalesce(f["period"]["_textForecastName"], _text(f["period"]["_VALUE"])).alias("period"),
             _text(f["abbreviatedForecast"]["textSummary"]).alias("condition"),
             _int(f["abbreviatedForecast"]["pop"]).alias("pop"),
             temperature("high").alias("temp_high"), temperature("low").alias("temp_low"),
             _text(f["textSummary"]).alias("summary"),
         )
 
-    halves = F.filter(F.transform("f", half_day), lambda h: h["service_date"].isNotNull())
+    def half_day(t: Column) -> Column:
+        date, half = period_date(t["period"], F.col("_day"))
+        rest = [t[c].alias(c) for c in ("period", "condition", "pop", "temp_high", "temp_low", "summary")]
+        return F.struct(date.alias("service_date"), half.alias("kind"), *rest)
+
+    halves = F.filter(F.transform(F.transform("f", told), half_day), lambda h: h["service_date"].isNotNull())
     listed = read.withColumn("halves", halves)
     problem = (
         F.when(F.col("_refused"), "document declares a DOCTYPE; refusing to parse")
