@@ -7,6 +7,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidewait.operators import ledger
+from tidewait.operators.reports import validate_reports
 from tidewait.params import Params
 from tidewait.sources import forecast_xml
 
@@ -53,6 +54,29 @@ def test_no_frame_of_the_ledger_reaches_to_the_end_of_a_day(spark):
     assert "unboundedfollowing" not in _plan(cut)
 
 
+def test_reports_are_looked_up_by_service_and_not_by_terminal(spark):
+    services = _services(spark, ["07:25", "09:25"])
+    ends = spark.createDataFrame([("r1", "A")], "route string, terminal string")
+    board = spark.createDataFrame([("r1", "A", DAY.date(), "07:25", datetime(2024, 1, 5, 7, 40))], "route string, terminal string, service_date date, hhmm string, departed_at timestamp")
+    sent = spark.createDataFrame(
+        [(1, "r1", "A", DAY.date(), "07:25"), (2, "r1", "A", DAY.date(), "07:25"), (3, "r1", "Z", DAY.date(), "07:25"),
+         (4, "r1", "A", DAY.date(), "03:33"), (5, None, "A", DAY.date(), "07:25"), (6, "r1", "A", None, "09:25")],
+        "report_id long, route string, origin string, service_date date, depart_hhmm string",
+    ).withColumns({
+        "boarded": F.lit(True), "sailings_waited": F.lit(None).cast("int"), "joined_at": F.lit(datetime(2024, 1, 5, 7, 0)),
+        "departed_at": F.lit(None).cast("timestamp"), "deck_fullness": F.lit("full"), "source": F.lit("web"),
+        "submitted_at": F.lit(datetime(2024, 1, 5, 9, 0)),
+    })
+    done = validate_reports(sent, services, ends, board, P)
+    assert {r.report_id: r.reason for r in done.collect()} == {
+        1: None, 2: None, 3: "unknown terminal", 4: "not in timetable", 5: "unknown terminal", 6: "not in timetable",
+    }
+    # What meets on a terminal alone has been made distinct first.
+    lines = _plan(done).splitlines()
+    joins = [k for k, line in enumerate(lines) if "Join" in line and "origin" in line and "depart_hhmm" not in line]
+    assert joins and all("Aggregate" in lines[k + 1] for k in joins), [lines[k + 1] for k in joins]
+
+
 def test_a_warning_is_read_once_a_document(spark):
     xml = """<marineData><area> Outer  Strait </area><warnings name="W &amp; G"><event type='t' priority="urgent">in  effect</event><a/> tail</warnings>
 <regularForecast><dateTime zone="UTC"><timeStamp>202401050930</timeStamp></dateTime><location name="south"><weatherCondition><wind>Wind  west 10 to 15 knots</wind><periodOfCoverage> </periodOfCoverage></weatherCondition></location></regularForecast>
