@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import statistics
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tidewait.functions import stats
 from tidewait.operators import ledger
 from tidewait.operators.reports import validate_reports
 from tidewait.params import Params
@@ -77,6 +79,24 @@ def test_reports_are_looked_up_by_service_and_not_by_terminal(spark):
     assert joins and all("Aggregate" in lines[k + 1] for k in joins), [lines[k + 1] for k in joins]
 
 
+def test_ranks_keep_no_key_of_a_task_in_a_table(spark):
+    rows = [("a", x, y) for x, y in ((1, 5), (2, 5), (2, 7), (2, 7), (4, 1))] + [("b", 1, 1), ("b", None, 2), (None, 1, 2), (None, 2, 4), (None, 3, 3)]
+    rho = stats.rank_correlation(spark.createDataFrame(rows, "k string, x int, y int"), ["k"], "x", "y")
+    got = {r.k: (r.n, r.rho if r.rho is None else round(r.rho, 9)) for r in rho.collect()}
+
+    def rank(v, values):
+        return sum(w < v for w in values) + (sum(w == v for w in values) + 1) / 2
+
+    def brute(pairs):
+        rx = [rank(x, [p[0] for p in pairs]) for x, _ in pairs]
+        ry = [rank(y, [p[1] for p in pairs]) for _, y in pairs]
+        return round(statistics.correlation(rx, ry), 9)
+
+    assert got == {"a": (5, brute([r[1:] for r in rows[:5]])), "b": (1, None), None: (3, brute([r[1:] for r in rows[7:]]))}
+    # One grouping, that of equal pairs, which is shared out by the whole pair.
+    assert _plan(rho).count("Aggregate [") == 1
+
+
 def test_a_warning_is_read_once_a_document(spark):
     xml = """<marineData><area> Outer  Strait </area><warnings name="W &amp; G"><event type='t' priority="urgent">in  effect</event><a/> tail</warnings>
 <regularForecast><dateTime zone="UTC"><timeStamp>202401050930</timeStamp></dateTime><location name="south"><weatherCondition><wind>Wind  west 10 to 15 knots</wind><periodOfCoverage> </periodOfCoverage></weatherCondition></location></regularForecast>

@@ -61,14 +61,19 @@ def rank_correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFram
         peers = F.sum("n").over(W.partitionBy(*keys, v))
         return below - peers + (peers + 1) / 2
 
-    ranked = cells.withColumns({"rx": average_rank(x), "ry": average_rank(y)})
-    total = lambda c: F.sum(F.col("n") * c)
+    # The sums are windows over the keys and not a grouping: the rows lie in their order already, so each key is summed
+    # as it passes by, where a grouping would hold every key of a task twice.
+    by_x = cells.select(*keys, y, "n", average_rank(x).alias("rx"))
+    ranked = by_x.select(*keys, y, "n", "rx", average_rank(y).alias("ry"))
+    group = W.partitionBy(*keys)
+    total = lambda c: F.sum(F.col("n") * c).over(group)
     rx, ry = F.col("rx"), F.col("ry")
-    sums = ranked.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
+    summed = ranked.select(
+        *keys, y, F.sum("n").over(group).alias("n"),
         total(rx).alias("sx"), total(ry).alias("sy"),
         total(rx * rx).alias("sxx"), total(ry * ry).alias("syy"), total(rx * ry).alias("sxy"),
     )
+    sums = summed.withColumn("_row", F.row_number().over(group.orderBy(y))).filter(F.col("_row") == 1)
     n = F.col("n")
     dx = n * F.col("sxx") - F.col("sx") * F.col("sx")
     dy = n * F.col("syy") - F.col("sy") * F.col("sy")
