@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewait.llm.common import _power_tables, binary_array, mixed, pieces, row_key, string_bytes, written
@@ -455,6 +455,11 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _order(doc_id: Column) -> Column:
+    """Ids as whole numbers, null before all others."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)).cast("long"))
+
+
 def drop_repeats(docs: DataFrame, match: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept (binary: what is left of the UTF-8 bytes).
 
@@ -476,8 +481,7 @@ def drop_repeats(docs: DataFrame, match: int = 100, id_col: str = "doc_id", text
     """
     if match % SYMBOL or match < GRAM + 1:
         raise ValueError(f"match must be a multiple of {SYMBOL}")
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), order.alias("ord"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _order(F.col(id_col)).alias("ord"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("*", *row_key(F.col("ord"), F.col("text")))
     narrow = written(
         rows.select("ord", "k1", "k2", F.octet_length("text").cast("long").alias("size"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2")),
@@ -509,14 +513,17 @@ def drop_repeats(docs: DataFrame, match: int = 100, id_col: str = "doc_id", text
     weights = weights.filter(F.col("n") > BUCKET / ((match + 40) * one_in)).toArrow()
     hot = np.sort(weights.column("gram").to_numpy().view(np.uint64))
     hot_buckets = max(1, -(-sum(weights.column("strings").to_pylist()) * one_in * STRING // BUCKET))
+    # Texts are dealt by row key once: both joins take the same columns of them, in one plan, so the second reads the first's shuffle.
+    keyed = rows.select("doc_id", "text", "k1", "k2")
     cut = (
-        rows.join(marked, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("ord", "k1", "k2", "text", "firsts", "counts", "places")
+        keyed.join(marked, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).withColumn("ord", _order(F.col("doc_id")))
+        .select("ord", "k1", "k2", "text", "firsts", "counts", "places")
         .mapInArrow(_cut(buckets, match, hot, hot_buckets), _CUT_TYPE)
     )
     spans = cut.groupBy("bucket").applyInArrow(_merged(match, buckets), _SPANS_TYPE).unionByName(whole)
-    spans = written(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "suffix-spans")
+    spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     kind = docs.schema[id_col].dataType.simpleString()
     return (
-        rows.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+        keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
         .mapInArrow(_kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     )
