@@ -58,7 +58,7 @@ def test_empty_corpus(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations"):
+    for table in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     got = QUERIES[name](spark, SMALL)
     cur = con.execute(ORACLES[name])
