@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewait.llm.common import NOT_BLANK, binary_array, mixed, pieces, row_key, string_bytes, word_hashes, written
@@ -20,6 +21,8 @@ FRAGMENT = 1 << 21  # n-grams in a fragment, on average: bounds a task's memory;
 EXPAND = 1 << 20  # pairs or look-ups laid out at a time in a task; changes no result
 FEW = 5  # sets of one n-gram that are paired at once; changes no result
 HUBS = 4  # sets of one n-gram that all others are paired with at once; changes no result
+PARTNERS = 3  # candidates a set keeps of the first round's, whatever the number of fragments; changes no result
+DOUBT = 4  # n-grams not in common that are added to each pair's, so that few n-grams seen tell little; changes no result
 PIECE = 4 << 20  # bytes of text a task works on at a time; changes no result
 SMALL = 1 << 20  # documents left whose keys (16 MB) go to the texts; more of them, and the texts are shuffled
 WITNESS = np.uint32(0xFFFFFFFF)
@@ -194,6 +197,19 @@ def _survivors(table: pa.Table) -> pa.Table:
 # -- Fragments of the sets that are left ----------------------------------------------------------------------
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each text, once in a piece."""
+    for batch in pieces(batches, "text", PIECE):
+        sets = {}
+        for grams in gram_sets(*string_bytes(batch.column("text"))):
+            if len(grams):
+                sets.setdefault(_signature(grams), grams)
+        if sets:
+            ends = np.cumsum([0, *(len(g) for g in sets.values())]).astype(np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(sets.values())).view(np.int64)))
+            yield pa.record_batch([pa.array(np.fromiter(sets, np.int64, len(sets))), grams], ["sig", "grams"])
+
+
 def _cut(bits: int):
     """One row per (set, fragment): its n-grams there and how many of them, rarest first, must be looked up.
 
@@ -202,39 +218,41 @@ def _cut(bits: int):
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", PIECE):
-            sets = {}
-            for grams in gram_sets(*string_bytes(batch.column("text"))):
-                if len(grams):
-                    sets.setdefault(_signature(grams), grams)
-            if not sets:
-                continue
-            sizes = np.array([len(g) for g in sets.values()], np.int64)
-            grams = np.concatenate(list(sets.values()))
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            fragment = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
-            cuts = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(fragment, prepend=-1) != 0))
-            ends = np.append(cuts[1:], len(grams))
-            rows, of = ends - cuts, owner[cuts]
-            probes = np.zeros(len(sizes), np.int64)
-            first = np.searchsorted(of, np.arange(len(sizes) + 1))
-            for k, n in enumerate(sizes.tolist()):
-                most, q, parts = n - _needed(n) + 1, 0, rows[first[k] : first[k + 1]]
-                while (lacking := most - int(np.minimum(parts, q).sum())) > 0:
-                    q += -(-lacking // len(parts))
-                probes[k] = q
-            sig = np.fromiter(sets, np.int64, len(sets))
-            yield pa.record_batch(
-                [
-                    pa.array(sig[of]), pa.array(sizes[of]), pa.array(fragment[cuts]), pa.array(np.minimum(probes[of], rows)),
-                    binary_array(grams, ends * 8),
-                ],
-                ["sig", "n", "fragment", "probes", "grams"],
-            )
+        for batch in batches:
+            sig, upto = batch.column("sig").to_numpy(), np.cumsum(pc.list_value_length(batch.column("grams")).to_numpy())
+            first = 0
+            while first < len(sig):
+                begin = upto[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(upto, begin + PIECE // 8, "right")))
+                yield _cut_sets(sig[first:last], np.diff(upto[first:last], prepend=begin), batch.column("grams")[first:last], bits)
+                first = last
 
     return cut
 
 
+def _cut_sets(sig: np.ndarray, sizes: np.ndarray, lists: pa.ListArray, bits: int) -> pa.RecordBatch:
+    grams = lists.flatten().to_numpy().view(np.uint64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    fragment = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+    cuts = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(fragment, prepend=-1) != 0))
+    ends = np.append(cuts[1:], len(grams))
+    rows, of = ends - cuts, owner[cuts]
+    probes = np.zeros(len(sizes), np.int64)
+    first = np.searchsorted(of, np.arange(len(sizes) + 1))
+    for k, n in enumerate(sizes.tolist()):
+        most, q, parts = n - _needed(n) + 1, 0, rows[first[k] : first[k + 1]]
+        while (lacking := most - int(np.minimum(parts, q).sum())) > 0:
+            q += -(-lacking // len(parts))
+        probes[k] = q
+    return pa.record_batch(
+        [
+            pa.array(sig[of]), pa.array(sizes[of]), pa.array(fragment[cuts]), pa.array(np.minimum(probes[of], rows)),
+            binary_array(grams, ends * 8),
+        ],
+        ["sig", "n", "fragment", "probes", "grams"],
+    )
+
+
 class _Fragment:
     """The sets of one fragment as flat arrays, entries sorted by (n-gram, set size, set)."""
 
@@ -251,6 +269,7 @@ class _Fragment:
         self.owner = np.repeat(place, lengths)
         self.grams = flat.view(np.uint64)
         self.probes = table.column("probes").to_numpy()[order]
+        self.here = lengths[order]  # n-grams of each set in this fragment
         self.label = self.shared = None
         if known is not None:
             named, row = np.unique(known.column("known").to_numpy(), return_index=True)
@@ -326,13 +345,13 @@ _PAIRS = "a long, b long, n_a long, n_b long"
 def _neighbours(table: pa.Table) -> pa.Table:
     """Each looked-up n-gram pairs its set with the next one in size that has it (with all, if they are few) and with the
     HUBS whose n-grams are the most common: the original and the least edited of its copies. Few pairs, most components.
-    One row without a pair tells how many of each set's n-grams here any other set has."""
+    Each pair tells the n-grams it has in common here and those of either set. One row without a pair tells how many of each set's n-grams here any other set has."""
     f = _Fragment(table)
     f.shared_entries()
     shared = np.bincount(f.entry, minlength=len(f.sig))
     listed = pa.StructArray.from_arrays([pa.array(f.sig), pa.array(shared)], ["sig", "shared"])
     column = pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)
-    counts = pa.table([*[pa.nulls(1, pa.int64())] * 4, column], ["a", "b", "n_a", "n_b", "counts"])
+    counts = pa.table([*[pa.nulls(1, pa.int64())] * 6, column], ["a", "b", "n_a", "n_b", "common", "either", "counts"])
     if not len(f.entry):
         return counts
     steps = []
@@ -348,7 +367,10 @@ def _neighbours(table: pa.Table) -> pa.Table:
         steps.append((np.minimum(f.entry[own[has]], hub), np.maximum(f.entry[own[has]], hub)))
     a, b = (np.concatenate(side) for side in zip(*steps, strict=True))
     ok = (a != b) & f.linkable(a, b)
-    pairs = f.pairs(a[ok], b[ok])
+    code = np.unique(a[ok] * len(f.sig) + b[ok])
+    a, b = code // len(f.sig), code % len(f.sig)
+    common = f.common(a, b)
+    pairs = f.pairs(a, b).append_column("common", pa.array(common)).append_column("either", pa.array(f.here[a] + f.here[b] - common))
     return pa.concat_tables([pairs.append_column("counts", pa.nulls(len(pairs), column.type)), counts])
 
 
@@ -395,41 +417,25 @@ def _across(segments: pa.Table, known: pa.Table) -> pa.Table:
     return f.pairs(a[ok], b[ok])
 
 
-def _overlaps(segments: pa.Table, pairs: pa.Table) -> pa.Table:
-    """n-grams that the two sets of each pair have in common in this fragment."""
-    names = ["a", "b", "n_a", "n_b", "common"]
-    if not len(segments) or not len(pairs):
-        empty = pa.array([], pa.int64())
-        return pa.table([empty] * 5, names)
-    f = _Fragment(segments)
-    f.shared_entries()
-    by_sig = np.argsort(f.sig)
-    sorted_sig = f.sig[by_sig]
-
-    def place(column: str) -> tuple[np.ndarray, np.ndarray]:
-        sig = pairs.column(column).to_numpy()
-        at = np.minimum(np.searchsorted(sorted_sig, sig), len(sorted_sig) - 1)
-        return by_sig[at], sorted_sig[at] == sig
-
-    (a, has_a), (b, has_b) = place("a"), place("b")
-    both = np.flatnonzero(has_a & has_b)
-    common = np.zeros(len(a), np.int64)
-    if len(f.run):
-        common[both] = f.common(a[both], b[both])
-    keep = pa.array(np.flatnonzero(common))
-    return pa.table([*(pairs.column(c).take(keep) for c in names[:4]), pa.array(common[common > 0])], names)
-
-
-def _links(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """Pairs of similarity LEAST / OF or more: overlaps are counted fragment by fragment and summed per pair."""
-    pairs = written(pairs.filter("b is not null").distinct(), "jaccard-pairs")
-    where = segments.select(F.col("sig").alias("a"), F.col("fragment").alias("meeting"))
-    meet = pairs.join(where, "a").select("meeting", "a", "b", "n_a", "n_b").distinct()
-    parts = segments.groupBy("fragment").cogroup(meet.groupBy("meeting")).applyInArrow(_overlaps, _PAIRS + ", common long")
-    return (
-        parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
-        .filter(F.col("common") * OF >= (F.col("n_a") + F.col("n_b") - F.col("common")) * LEAST).select("a", "b")
-    )
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Of each set's pairs the PARTNERS most alike, by the overlaps counted apart in fragments that met them and summed per pair.
+
+    So the pairs that are checked grow with the sets and not with the fragments. What is left out here and still lies
+    across components is met again in the second round, which keeps all.
+    """
+    summed = pairs.groupBy("a", "b").agg((F.sum("common") / (F.sum("either") + DOUBT)).alias("alike"))
+    sides = summed.select("*", F.explode(F.array("a", "b")).alias("side"))
+    rank = F.row_number().over(Window.partitionBy("side").orderBy(F.desc("alike"), "a", "b"))
+    return sides.withColumn("rank", rank).filter(F.col("rank") <= PARTNERS).select("a", "b")
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of similarity LEAST / OF or more. A pair is one row here, however many fragments its sets lie in."""
+    pairs = written(pairs.distinct(), "jaccard-pairs")
+    of_a, of_b = (sets.select(F.col("sig").alias(side), F.col("grams").alias(f"grams_{side}")) for side in ("a", "b"))
+    common = F.size(F.array_intersect("grams_a", "grams_b")).cast("long")
+    both = F.size("grams_a").cast("long") + F.size("grams_b")
+    return pairs.join(of_a, "a").join(of_b, "b").filter(common * (OF + LEAST) >= both * LEAST).select("a", "b")
 
 
 def _bits(grams: int) -> int:
@@ -451,10 +457,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Plan (vertical partitioning): the n-gram order is cut by hash into fragments of about two million n-grams. First, fragments
     tell how many n-grams of each set any other set has; a set needs 80 % of its own, which few have. Texts of
     one document per remaining class are then cut into fragments. In each, every set looks up its rarest n-grams,
-    enough in all fragments together that one look-up must meet any partner. Candidates are verified by counting
-    overlaps in each fragment separately and summing per pair. Candidates come in two rounds, neighbours in size first:
-    components joined by them need no further pairs, so large groups of copies cost a few pairs per
-    document instead of all pairs; then all pairs that still lie across components.
+    enough in all fragments together that one look-up must meet any partner. Fragments count the overlap of the pairs they
+    meet; the sums per pair rank a set's candidates, and those kept are checked by intersecting the two sets, one row a pair.
+    Candidates come in two rounds, neighbours in size first: components joined by them need no further pairs, so large
+    groups of copies cost a few pairs per document instead of all pairs; then all pairs that still lie across components.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("*", *row_key(F.col("doc_id"), F.col("text")))
@@ -475,17 +481,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = _bits(grams)
     keys = chosen.select("k1", "k2")
     texts = rows.join(F.broadcast(keys) if left <= SMALL else keys, ["k1", "k2"], "left_semi").select("text")
-    segments = written(texts.mapInArrow(_cut(bits), "sig long, n long, fragment long, probes long, grams binary"), "jaccard-segments")
+    sets = written(texts.mapInArrow(_whole, "sig long, grams array<long>").dropDuplicates(["sig"]), "jaccard-sets")
+    segments = written(sets.mapInArrow(_cut(bits), "sig long, n long, fragment long, probes long, grams binary"), "jaccard-segments")
 
-    found = segments.groupBy("fragment").applyInArrow(_neighbours, _PAIRS + ", counts array<struct<sig: long, shared: long>>")
+    found = segments.groupBy("fragment").applyInArrow(_neighbours, _PAIRS + ", common long, either long, counts array<struct<sig: long, shared: long>>")
     near = written(found, "jaccard-neighbours")
-    links = written(_links(near.select("a", "b", "n_a", "n_b"), segments), "jaccard-links")
+    links = written(_links(_likeliest(near.filter("b is not null")), sets), "jaccard-links")
     first = written(components(links), "jaccard-roots").withColumnRenamed("node", "sig")
     shared = near.filter("b is null").select(F.explode("counts").alias("c")).groupBy("c.sig").agg(F.sum("c.shared").alias("shared"))
     known = written(shared.join(first, "sig", "left").select("sig", "shared", F.coalesce("root", "sig").alias("root")), "jaccard-known")
     where = segments.select(F.col("sig").alias("known"), F.col("fragment").alias("there"))
     told = known.withColumnRenamed("sig", "known").join(where, "known").select("there", "known", "root", "shared")
-    more = _links(segments.groupBy("fragment").cogroup(told.groupBy("there")).applyInArrow(_across, _PAIRS), segments)
+    more = _links(segments.groupBy("fragment").cogroup(told.groupBy("there")).applyInArrow(_across, _PAIRS).select("a", "b"), sets)
     more = written(more, "jaccard-links")
     roots = written(components(links.unionByName(more)), "jaccard-roots")
 
