@@ -21,8 +21,9 @@ FRAGMENT = 1 << 21  # n-grams in a fragment, on average: bounds a task's memory;
 EXPAND = 1 << 20  # pairs or look-ups laid out at a time in a task; changes no result
 FEW = 5  # sets of one n-gram that are paired at once; changes no result
 HUBS = 4  # sets of one n-gram that all others are paired with at once; changes no result
-PARTNERS = 3  # candidates a set keeps of the first round's, whatever the number of fragments; changes no result
+PARTNERS = 3  # candidates a set keeps of the first two rounds', whatever the number of fragments; changes no result
 DOUBT = 4  # n-grams not in common that are added to each pair's, so that few n-grams seen tell little; changes no result
+SKETCH = 4, 1 << 15  # bits of a set's sketch for each of its n-grams, rounded up to a power of two, and at most; changes no result
 PIECE = 4 << 20  # bytes of text a task works on at a time; changes no result
 SMALL = 1 << 20  # documents left whose keys (16 MB) go to the texts; more of them, and the texts are shuffled
 WITNESS = np.uint32(0xFFFFFFFF)
@@ -213,7 +214,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(bits: int):
     """One row per (set, fragment): its n-grams there and how many of them, rarest first, must be looked up.
 
-    Of a set of n, n - needed may be missing in a set it links to. The look-ups of all its fragments together
+    Of the n-grams of a set, all but needed may be missing in a set it links to. The look-ups of all its fragments together
     are one more than that, so at least one of them finds every partner.
     """
 
@@ -231,26 +232,88 @@ def _cut(bits: int):
 
 
 def _cut_sets(sig: np.ndarray, sizes: np.ndarray, lists: pa.ListArray, bits: int) -> pa.RecordBatch:
-    grams = lists.flatten().to_numpy().view(np.uint64)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return _cut_grams(sig, sizes, sizes, lists.flatten().to_numpy().view(np.uint64), bits)[0]
+
+
+def _cut_grams(sig: np.ndarray, sizes: np.ndarray, have: np.ndarray, grams: np.ndarray, bits: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The rows, and of which set each is. have: how many n-grams of each set of the given size are among these, in order."""
+    owner = np.repeat(np.arange(len(sizes)), have)
     fragment = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
     cuts = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(fragment, prepend=-1) != 0))
     ends = np.append(cuts[1:], len(grams))
     rows, of = ends - cuts, owner[cuts]
     probes = np.zeros(len(sizes), np.int64)
     first = np.searchsorted(of, np.arange(len(sizes) + 1))
-    for k, n in enumerate(sizes.tolist()):
-        most, q, parts = n - _needed(n) + 1, 0, rows[first[k] : first[k + 1]]
+    for k, (n, m) in enumerate(zip(sizes.tolist(), have.tolist(), strict=True)):
+        most, q, parts = m - _needed(n) + 1, 0, rows[first[k] : first[k + 1]]
         while (lacking := most - int(np.minimum(parts, q).sum())) > 0:
             q += -(-lacking // len(parts))
         probes[k] = q
-    return pa.record_batch(
+    batch = pa.record_batch(
         [
             pa.array(sig[of]), pa.array(sizes[of]), pa.array(fragment[cuts]), pa.array(np.minimum(probes[of], rows)),
             binary_array(grams, ends * 8),
         ],
         ["sig", "n", "fragment", "probes", "grams"],
     )
+    return batch, of
+
+
+def _outside(segments: pa.Table, known: pa.Table) -> pa.Table:
+    """Of each set in this fragment the n-grams that a set of another component has too: only these can be common to sets
+    that are still to be linked."""
+    if not len(segments) or not len(known):
+        return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.binary())], ["sig", "n", "root", "grams"])
+    f = _Fragment(segments, known)
+    order = np.lexsort((f.label[f.owner], f.grams))
+    grams, label = f.grams[order], f.label[f.owner[order]]
+    begin = np.flatnonzero(np.diff(grams, prepend=~grams[:1]) != 0)
+    last = np.append(begin[1:], len(grams)) - 1
+    several = np.repeat(label[begin] != label[last], last - begin + 1)
+    kept = order[several]
+    kept = kept[np.lexsort((f.grams[kept], f.owner[kept]))]
+    count = np.bincount(f.owner[kept], minlength=len(f.sig))
+    sent = np.flatnonzero(count)
+    return pa.table(
+        [pa.array(f.sig[sent]), pa.array(f.size[sent]), pa.array(f.label[sent]), binary_array(f.grams[kept], np.cumsum(count[sent]) * 8)],
+        ["sig", "n", "root", "grams"],
+    )
+
+
+def _sketches(have: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set, bits that tell of how many of its n-grams the hash ends so, odd or even, as 64-bit words end to end; and
+    where the words of each set end. The bits in which two sketches differ are at most the n-grams that only one of the sets has."""
+    wide = np.minimum(SKETCH[1], np.maximum(64, 1 << np.ceil(np.log2(SKETCH[0] * np.maximum(have, 1))).astype(np.int64)))
+    ends = np.cumsum(wide // 64)
+    at = np.repeat((ends * 64 - wide), have) + (grams & np.repeat(wide - 1, have).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(wide.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8"), ends
+
+
+def _cut_open(bits: int):
+    """As _cut, of what each set has in common with other components; each row also has the set's component, the number of
+    those n-grams and their sketch."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("grams")
+            have = batch.column("have").to_numpy()
+            first, before = 0, np.concatenate([[0], np.cumsum(have)])
+            while first < len(have):
+                last = max(first + 1, int(np.searchsorted(before[1:], before[first] + PIECE // 8, "right")))
+                sig, n, root = (batch.column(c)[first:last].to_numpy() for c in ("sig", "n", "root"))
+                own = have[first:last]
+                parts = lists[first:last].flatten()
+                grams = string_bytes(parts)[0].view(np.uint64)
+                owner = np.repeat(np.arange(len(own)), own)
+                grams = grams[np.lexsort((grams, owner))]
+                rows, of = _cut_grams(sig, n, own, grams, bits)
+                words, ends = _sketches(own, grams)
+                sketches = binary_array(words, ends * 8).take(pa.array(of))
+                yield pa.record_batch([*rows.columns, pa.array(root[of]), pa.array(own[of]), sketches], [*rows.schema.names, "root", "have", "sketch"])
+                first = last
+
+    return cut
 
 
 class _Fragment:
@@ -270,11 +333,16 @@ class _Fragment:
         self.grams = flat.view(np.uint64)
         self.probes = table.column("probes").to_numpy()[order]
         self.here = lengths[order]  # n-grams of each set in this fragment
-        self.label = self.shared = None
+        self.label = self.have = None
         if known is not None:
             named, row = np.unique(known.column("known").to_numpy(), return_index=True)
-            row = row[np.searchsorted(named, self.sig)]
-            self.label, self.shared = (known.column(c).to_numpy()[row] for c in ("root", "shared"))
+            self.label = known.column("root").to_numpy()[row[np.searchsorted(named, self.sig)]]
+        elif "sketch" in table.column_names:
+            self.label, self.have = (table.column(c).to_numpy()[order] for c in ("root", "have"))
+            bits, ends = string_bytes(table.column("sketch").combine_chunks())
+            self.sketch, ends = bits.view(np.uint64), ends // 8
+            words = np.diff(ends, prepend=0)
+            self.at, self.words = (ends - words)[order], words[order]
 
     def shared_entries(self) -> None:
         """Keeps n-grams of several sets, by (n-gram, owner); which of them are look-ups; the group of each."""
@@ -290,7 +358,7 @@ class _Fragment:
         rank = np.empty(len(owner), np.int32)
         rank[rarest] = np.arange(len(owner), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
         rarest = None
-        self.score = np.bincount(owner, weights=np.log(often), minlength=len(self.sig)) / size
+        self.score = np.bincount(owner, weights=np.log(often), minlength=len(self.sig)) / size if self.have is None else self.have / self.size
         keep = often > 1
         self.entry = owner[keep].astype(np.int64)
         self.probe = rank[keep] < self.probes[self.entry]
@@ -299,10 +367,10 @@ class _Fragment:
         self.group = np.repeat(np.arange(len(self.run)), self.run)
 
     def linkable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the sizes let a pair link: the intersection has at most what either set shares with any other."""
+        """Whether the sizes let a pair link: the intersection has at most what either set shares with other components."""
         most = np.minimum(self.size[a], self.size[b])
-        if self.shared is not None:
-            most = np.minimum(most, np.minimum(self.shared[a], self.shared[b]))
+        if self.have is not None:
+            most = np.minimum(most, np.minimum(self.have[a], self.have[b]))
         return most * OF >= (self.size[a] + self.size[b] - most) * LEAST
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -326,34 +394,36 @@ class _Fragment:
         return found
 
     def hopeful(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether a pair can link, seen what it has in common here and what its sets share elsewhere with any other."""
-        elsewhere = self.shared - np.bincount(self.entry, minlength=len(self.sig))
+        """Whether a pair can link, seen what it has in common here and what its sets share elsewhere with other components."""
+        elsewhere = self.have - self.here
         most = self.common(a, b) + np.minimum(elsewhere[a], elsewhere[b])
         return most * OF >= (self.size[a] + self.size[b] - most) * LEAST
 
-    def pairs(self, a: np.ndarray, b: np.ndarray) -> pa.Table:
-        code = np.unique(a * len(self.sig) + b)
-        a, b = code // max(1, len(self.sig)), code % max(1, len(self.sig))
-        return pa.table(
-            [pa.array(self.sig[a]), pa.array(self.sig[b]), pa.array(self.size[a]), pa.array(self.size[b])], ["a", "b", "n_a", "n_b"]
-        )
-
-
-_PAIRS = "a long, b long, n_a long, n_b long"
-
-
-def _neighbours(table: pa.Table) -> pa.Table:
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The similarity that each pair has at most, by the sketches of its sets."""
+        found = np.zeros(len(a))
+        if not len(a):
+            return found
+        kind = self.words[a] << 32 | self.words[b]
+        for both in np.unique(kind):
+            rows = np.flatnonzero(kind == both)
+            wide = int(both) >> 32, int(both) & 0xFFFFFFFF
+            step = max(1, EXPAND // max(wide))
+            for k in range(0, len(rows), step):
+                pair = rows[k : k + step]
+                sides = []
+                for of, w in zip((a[pair], b[pair]), wide, strict=True):  # the longer is folded to the shorter one's bits
+                    bits = self.sketch[self.at[of][:, None] + np.arange(w)].reshape(len(pair), -1, min(wide))
+                    sides.append(np.bitwise_xor.reduce(bits, axis=1))
+                apart = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
+                found[pair] = self.have[a[pair]] + self.have[b[pair]] - apart
+        both = self.size[a] + self.size[b]
+        return found / (2 * both - found)
+
+
+def _beside(f: _Fragment) -> np.ndarray:
     """Each looked-up n-gram pairs its set with the next one in size that has it (with all, if they are few) and with the
-    HUBS whose n-grams are the most common: the original and the least edited of its copies. Few pairs, most components.
-    Each pair tells the n-grams it has in common here and those of either set. One row without a pair tells how many of each set's n-grams here any other set has."""
-    f = _Fragment(table)
-    f.shared_entries()
-    shared = np.bincount(f.entry, minlength=len(f.sig))
-    listed = pa.StructArray.from_arrays([pa.array(f.sig), pa.array(shared)], ["sig", "shared"])
-    column = pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)
-    counts = pa.table([*[pa.nulls(1, pa.int64())] * 6, column], ["a", "b", "n_a", "n_b", "common", "either", "counts"])
-    if not len(f.entry):
-        return counts
+    HUBS whose n-grams are the most common: the original and the least edited of its copies. Few pairs, most components."""
     steps = []
     for step in range(1, FEW):  # to the next in size; in groups of FEW sets at most, to all
         at = np.flatnonzero(f.probe[:-step] & (f.group[step:] == f.group[:-step]) & ((f.run[f.group[:-step]] <= FEW) | (step == 1)))
@@ -367,26 +437,61 @@ def _neighbours(table: pa.Table) -> pa.Table:
         steps.append((np.minimum(f.entry[own[has]], hub), np.maximum(f.entry[own[has]], hub)))
     a, b = (np.concatenate(side) for side in zip(*steps, strict=True))
     ok = (a != b) & f.linkable(a, b)
-    code = np.unique(a[ok] * len(f.sig) + b[ok])
+    return np.unique(a[ok] * len(f.sig) + b[ok])
+
+
+def _neighbours(table: pa.Table) -> pa.Table:
+    """The pairs of _beside. Each tells the n-grams it has in common here and those of either set."""
+    f = _Fragment(table)
+    f.shared_entries()
+    if not len(f.entry):
+        return pa.table([pa.array([], pa.int64())] * 4, ["a", "b", "common", "either"])
+    code = _beside(f)
     a, b = code // len(f.sig), code % len(f.sig)
     common = f.common(a, b)
-    pairs = f.pairs(a, b).append_column("common", pa.array(common)).append_column("either", pa.array(f.here[a] + f.here[b] - common))
-    return pa.concat_tables([pairs.append_column("counts", pa.nulls(len(pairs), column.type)), counts])
+    return pa.table(
+        [pa.array(f.sig[a]), pa.array(f.sig[b]), pa.array(common), pa.array(f.here[a] + f.here[b] - common)], ["a", "b", "common", "either"]
+    )
+
+
+def _across(partners: int | None):
+    """All pairs that a look-up finds, that the links so far leave in different components and that can link by their sketches;
+    or, of such pairs as _beside makes, those with the partners most alike of each set, by their sketches.
 
+    The pairs are looked at about EXPAND at a time, and only those kept are held.
+    """
 
-def _across(segments: pa.Table, known: pa.Table) -> pa.Table:
-    """All pairs that a look-up finds and that the links so far leave in different components.
+    def across(segments: pa.Table) -> pa.Table:
+        f = _Fragment(segments)
+        f.shared_entries()
+        held, found = _kept(f, [], partners), []
+        for code in _met(f) if partners is None else [_beside(f)] if len(f.entry) else []:
+            a, b = code // len(f.sig), code % len(f.sig)
+            code = code[f.label[a] != f.label[b]]
+            alike = f.alike(code // len(f.sig), code % len(f.sig))
+            found.append((code[alike >= LEAST / OF], alike[alike >= LEAST / OF]))
+            if sum(len(c) for c, _ in found) >= EXPAND:
+                held, found = _kept(f, [held, *found], partners), []
+        code, alike = _kept(f, [held, *found], partners)
+        a, b = code // max(1, len(f.sig)), code % max(1, len(f.sig))
+        if partners is None:
+            ok = f.hopeful(a, b)
+            a, b, alike = a[ok], b[ok], alike[ok]
+        return pa.table([pa.array(f.sig[a]), pa.array(f.sig[b]), pa.array(alike)], ["a", "b", "alike"])
+
+    return across
+
+
+def _met(f: _Fragment) -> Iterator[np.ndarray]:
+    """All pairs across components that a look-up finds, some EXPAND at a time; a pair may come more than once.
 
     In a group of sets with one n-gram only those outside its main component, or those that look it up if they are
     fewer, are set against the rest.
     """
-    if not len(segments) or not len(known):
-        return pa.table([pa.array([], pa.int64())] * 4, ["a", "b", "n_a", "n_b"])
-    f = _Fragment(segments, known)
-    f.shared_entries()
-    roots = np.unique(f.label, return_inverse=True)[1]
-    root = roots[f.entry]
-    probing = np.add.reduceat(f.probe, f.begin) if len(f.begin) else np.zeros(0)
+    if not len(f.entry):
+        return
+    root = np.unique(f.label, return_inverse=True)[1][f.entry]
+    probing = np.add.reduceat(f.probe, f.begin, dtype=np.int64)
     order = np.lexsort((root, f.group))
     new = np.flatnonzero((np.diff(f.group[order], prepend=-1) != 0) | (np.diff(root[order], prepend=-1) != 0))
     count = np.diff(np.append(new, len(order)))
@@ -394,37 +499,52 @@ def _across(segments: pa.Table, known: pa.Table) -> pa.Table:
     last = np.flatnonzero(np.diff(f.group[order][new][by_size], append=-1))
     main = root[order][new][by_size][last]
     largest = count[by_size][last]
-    outside = root != main[f.group] if len(main) else np.zeros(0, bool)
+    outside = root != main[f.group]
     mixed_groups = (largest < f.run) & (probing > 0)
     fewer = probing < f.run - largest
-    lead = np.flatnonzero(mixed_groups[f.group] & np.where(fewer[f.group], f.probe, outside)) if len(main) else np.zeros(0, np.int64)
+    lead = np.flatnonzero(mixed_groups[f.group] & np.where(fewer[f.group], f.probe, outside))
+    lead = lead[np.argsort(f.entry[lead], kind="stable")]  # a set's pairs come together, each once
     width = f.run[f.group[lead]]
     upto = np.cumsum(width)
-    codes, k = [], 0
+    k = 0
     while k < len(lead):
         stop = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + EXPAND, "right")))
-        x = np.repeat(lead[k:stop], width[k:stop])
-        into = np.arange(len(x)) - np.repeat(np.cumsum(width[k:stop]) - width[k:stop], width[k:stop])
-        y = f.begin[f.group[x]] + into
+        w = width[k:stop]
+        x = np.repeat(lead[k:stop], w)
+        y = np.arange(len(x)) + np.repeat(f.begin[f.group[lead[k:stop]]] - np.cumsum(w) + w, w)
         low, high = np.minimum(x, y), np.maximum(x, y)  # entries of a group are in order of size
-        a, b = f.entry[low], f.entry[high]
-        ok = (root[x] != root[y]) & f.probe[low] & f.linkable(a, b)
-        codes.append(np.unique(a[ok] * len(f.sig) + b[ok]))
+        ok = f.probe[low] & (root[x] != root[y])
+        a, b = f.entry[low[ok]], f.entry[high[ok]]
+        code = np.unique(a * len(f.sig) + b)
+        a, b = code // len(f.sig), code % len(f.sig)
+        yield code[f.linkable(a, b)]
         k = stop
-    code = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
-    a, b = code // max(1, len(f.sig)), code % max(1, len(f.sig))
-    ok = f.hopeful(a, b)
-    return f.pairs(a[ok], b[ok])
+
+
+def _kept(f: _Fragment, found: list[tuple[np.ndarray, np.ndarray]], partners: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once; only those that are among the partners most alike of either set, if these are limited."""
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0)
+    code, alike = (np.concatenate(x) for x in zip(*found, strict=True))
+    code, first = np.unique(code, return_index=True)
+    alike = alike[first]
+    if partners is not None and len(code):
+        side = np.concatenate([code // len(f.sig), code % len(f.sig)])
+        order = np.lexsort((np.tile(code, 2), -np.tile(alike, 2), side))
+        begin = np.flatnonzero(np.diff(side[order], prepend=-1))
+        rank = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+        ok = np.unique(order[rank < partners] % len(code))
+        code, alike = code[ok], alike[ok]
+    return code, alike
 
 
 def _likeliest(pairs: DataFrame) -> DataFrame:
-    """Of each set's pairs the PARTNERS most alike, by the overlaps counted apart in fragments that met them and summed per pair.
+    """Of each set's pairs (a, b, alike) the PARTNERS most alike.
 
     So the pairs that are checked grow with the sets and not with the fragments. What is left out here and still lies
-    across components is met again in the second round, which keeps all.
+    across components is met again in the last round, which keeps all.
     """
-    summed = pairs.groupBy("a", "b").agg((F.sum("common") / (F.sum("either") + DOUBT)).alias("alike"))
-    sides = summed.select("*", F.explode(F.array("a", "b")).alias("side"))
+    sides = pairs.select("*", F.explode(F.array("a", "b")).alias("side"))
     rank = F.row_number().over(Window.partitionBy("side").orderBy(F.desc("alike"), "a", "b"))
     return sides.withColumn("rank", rank).filter(F.col("rank") <= PARTNERS).select("a", "b")
 
@@ -438,6 +558,21 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of_a, "a").join(of_b, "b").filter(common * (OF + LEAST) >= both * LEAST).select("a", "b")
 
 
+def _open(segments: DataFrame, roots: DataFrame) -> DataFrame:
+    """The fragments of the sets that can still be linked with another component: of the n-grams of a set, needed must be in
+    sets of other components. n-grams of one component alone are left out."""
+    where = segments.select(F.col("sig").alias("known"), F.col("fragment").alias("there"))
+    told = where.join(roots.withColumnRenamed("node", "known"), "known", "left").select("there", "known", F.coalesce("root", "known").alias("root"))
+    parts = segments.select("sig", "n", "fragment", "probes", "grams").groupBy("fragment").cogroup(told.groupBy("there"))
+    sets = parts.applyInArrow(_outside, "sig long, n long, root long, grams binary").groupBy("sig").agg(
+        F.first("n").alias("n"), F.first("root").alias("root"), F.sum(F.octet_length("grams") / 8).cast("long").alias("have"), F.collect_list("grams").alias("grams")
+    )
+    sets = written(sets.filter(F.col("have") * OF >= F.col("n") * LEAST), "jaccard-open")
+    bits = _bits(sets.agg(F.coalesce(F.sum("have"), F.lit(0))).first()[0])
+    cut = sets.mapInArrow(_cut_open(bits), "sig long, n long, fragment long, probes long, grams binary, root long, have long, sketch binary")
+    return written(cut, "jaccard-segments")
+
+
 def _bits(grams: int) -> int:
     return max(0, (-(-grams // FRAGMENT) - 1).bit_length())
 
@@ -459,8 +594,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one document per remaining class are then cut into fragments. In each, every set looks up its rarest n-grams,
     enough in all fragments together that one look-up must meet any partner. Fragments count the overlap of the pairs they
     meet; the sums per pair rank a set's candidates, and those kept are checked by intersecting the two sets, one row a pair.
-    Candidates come in two rounds, neighbours in size first: components joined by them need no further pairs, so large
-    groups of copies cost a few pairs per document instead of all pairs; then all pairs that still lie across components.
+    Candidates come in three rounds, neighbours in size first: components joined by them need no further pairs, so large
+    groups of copies cost a few pairs per document instead of all pairs. Then only sets that share enough n-grams with other
+    components are left, cut anew into fragments by these n-grams alone, each with a sketch of a few bits per n-gram that tells
+    how alike a pair can be at most: first the most alike of each set across components, then all pairs that still lie across
+    components. Pairs that cannot link by their sketches are not sent.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("*", *row_key(F.col("doc_id"), F.col("text")))
@@ -484,17 +622,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(texts.mapInArrow(_whole, "sig long, grams array<long>").dropDuplicates(["sig"]), "jaccard-sets")
     segments = written(sets.mapInArrow(_cut(bits), "sig long, n long, fragment long, probes long, grams binary"), "jaccard-segments")
 
-    found = segments.groupBy("fragment").applyInArrow(_neighbours, _PAIRS + ", common long, either long, counts array<struct<sig: long, shared: long>>")
-    near = written(found, "jaccard-neighbours")
-    links = written(_links(_likeliest(near.filter("b is not null")), sets), "jaccard-links")
-    first = written(components(links), "jaccard-roots").withColumnRenamed("node", "sig")
-    shared = near.filter("b is null").select(F.explode("counts").alias("c")).groupBy("c.sig").agg(F.sum("c.shared").alias("shared"))
-    known = written(shared.join(first, "sig", "left").select("sig", "shared", F.coalesce("root", "sig").alias("root")), "jaccard-known")
-    where = segments.select(F.col("sig").alias("known"), F.col("fragment").alias("there"))
-    told = known.withColumnRenamed("sig", "known").join(where, "known").select("there", "known", "root", "shared")
-    more = _links(segments.groupBy("fragment").cogroup(told.groupBy("there")).applyInArrow(_across, _PAIRS).select("a", "b"), sets)
-    more = written(more, "jaccard-links")
-    roots = written(components(links.unionByName(more)), "jaccard-roots")
+    found = segments.groupBy("fragment").applyInArrow(_neighbours, "a long, b long, common long, either long")
+    summed = written(found, "jaccard-neighbours").groupBy("a", "b").agg((F.sum("common") / (F.sum("either") + DOUBT)).alias("alike"))
+    links = written(_links(_likeliest(summed), sets), "jaccard-links")
+    roots = written(components(links), "jaccard-roots")
+    for partners in (PARTNERS, None):
+        segments = _open(segments, roots)
+        pairs = segments.groupBy("fragment").applyInArrow(_across(partners), "a long, b long, alike double")
+        if partners is not None:
+            pairs = _likeliest(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")))
+        links = written(links.unionByName(_links(pairs.select("a", "b"), sets)), "jaccard-links")
+        roots = written(components(links), "jaccard-roots")
 
     rooted = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
