@@ -364,7 +364,7 @@ class _Fragment:
         self.probe = rank[keep] < self.probes[self.entry]
         self.run = run[run > 1]
         self.begin = np.cumsum(self.run) - self.run
-        self.group = np.repeat(np.arange(len(self.run)), self.run)
+        self.group = np.repeat(np.arange(len(self.run), dtype=np.int32), self.run)
 
     def linkable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the sizes let a pair link: the intersection has at most what either set shares with other components."""
@@ -482,42 +482,42 @@ def _across(partners: int | None):
     return across
 
 
-def _met(f: _Fragment) -> Iterator[np.ndarray]:
-    """All pairs across components that a look-up finds, some EXPAND at a time; a pair may come more than once.
-
-    In a group of sets with one n-gram only those outside its main component, or those that look it up if they are
-    fewer, are set against the rest.
-    """
-    if not len(f.entry):
-        return
-    root = np.unique(f.label, return_inverse=True)[1][f.entry]
+def _leads(f: _Fragment, root: np.ndarray) -> np.ndarray:
+    """The entries that are set against all others of their n-gram: those outside its sets' main component, or those that look it
+    up if they are fewer. A set's come together."""
     probing = np.add.reduceat(f.probe, f.begin, dtype=np.int64)
     order = np.lexsort((root, f.group))
-    new = np.flatnonzero((np.diff(f.group[order], prepend=-1) != 0) | (np.diff(root[order], prepend=-1) != 0))
+    group, label = f.group[order], root[order]
+    new = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))
     count = np.diff(np.append(new, len(order)))
-    by_size = np.lexsort((count, f.group[order][new]))
-    last = np.flatnonzero(np.diff(f.group[order][new][by_size], append=-1))
-    main = root[order][new][by_size][last]
-    largest = count[by_size][last]
-    outside = root != main[f.group]
-    mixed_groups = (largest < f.run) & (probing > 0)
+    group, label = group[new], label[new]
+    order = np.lexsort((count, group))
+    last = order[np.flatnonzero(np.diff(group[order], append=-1))]
+    main, largest = label[last], count[last]
     fewer = probing < f.run - largest
-    lead = np.flatnonzero(mixed_groups[f.group] & np.where(fewer[f.group], f.probe, outside))
-    lead = lead[np.argsort(f.entry[lead], kind="stable")]  # a set's pairs come together, each once
-    width = f.run[f.group[lead]]
-    upto = np.cumsum(width)
+    mixed_groups = (largest < f.run) & (probing > 0)
+    lead = np.flatnonzero(mixed_groups[f.group] & np.where(fewer[f.group], f.probe, root != main[f.group])).astype(np.int32)
+    return lead[np.argsort(f.entry[lead], kind="stable")]
+
+
+def _met(f: _Fragment) -> Iterator[np.ndarray]:
+    """All pairs across components that a look-up finds, some EXPAND at a time; a pair may come more than once."""
+    if not len(f.entry):
+        return
+    root = np.unique(f.label, return_inverse=True)[1].astype(np.int32)[f.entry]
+    lead = _leads(f, root)
+    upto = np.cumsum(f.run[f.group[lead]])
     k = 0
     while k < len(lead):
         stop = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + EXPAND, "right")))
-        w = width[k:stop]
+        group = f.group[lead[k:stop]]
+        w = f.run[group]
         x = np.repeat(lead[k:stop], w)
-        y = np.arange(len(x)) + np.repeat(f.begin[f.group[lead[k:stop]]] - np.cumsum(w) + w, w)
+        y = np.arange(len(x), dtype=np.int32) + np.repeat(f.begin[group] - np.cumsum(w) + w, w).astype(np.int32)
         low, high = np.minimum(x, y), np.maximum(x, y)  # entries of a group are in order of size
         ok = f.probe[low] & (root[x] != root[y])
-        a, b = f.entry[low[ok]], f.entry[high[ok]]
-        code = np.unique(a * len(f.sig) + b)
-        a, b = code // len(f.sig), code % len(f.sig)
-        yield code[f.linkable(a, b)]
+        code = np.unique(f.entry[low[ok]] * len(f.sig) + f.entry[high[ok]])
+        yield code[f.linkable(code // len(f.sig), code % len(f.sig))]
         k = stop
 
 
