@@ -568,7 +568,7 @@ def _open(segments: DataFrame, roots: DataFrame) -> DataFrame:
         F.first("n").alias("n"), F.first("root").alias("root"), F.sum(F.octet_length("grams") / 8).cast("long").alias("have"), F.collect_list("grams").alias("grams")
     )
     sets = written(sets.filter(F.col("have") * OF >= F.col("n") * LEAST), "jaccard-open")
-    bits = _bits(sets.agg(F.coalesce(F.sum("have"), F.lit(0))).first()[0])
+    bits = _bits(2 * sets.agg(F.coalesce(F.sum("have"), F.lit(0))).first()[0])  # smaller fragments, as the sketches come on top
     cut = sets.mapInArrow(_cut_open(bits), "sig long, n long, fragment long, probes long, grams binary, root long, have long, sketch binary")
     return written(cut, "jaccard-segments")
 
